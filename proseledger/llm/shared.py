@@ -28,12 +28,18 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which :func:`sweep` deletes."""
+    path = f"{shared_root(spark).rstrip('/')}/proseledger/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: the lineage ends there, and lost executors cost no rerun of it."""
     spark = df.sparkSession
-    path = f"{shared_root(spark).rstrip('/')}/proseledger/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
