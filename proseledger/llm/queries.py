@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import line_dedup
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -17,6 +19,37 @@ def _vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document; a token across two lines goes to the one with most of its characters."""
+    from .token_counts import attribute_tokens
+
+    return attribute_tokens(_table(spark, sf_dir, "documents"), _vocabulary(), sections="lines", rule="largest")
+
+
+def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents written as one file in document order, and read back."""
+    from .shared import shared_path
+    from .token_file import read_token_file, write_token_file
+
+    path = shared_path(spark, "token-file")
+    write_token_file(_table(spark, sf_dir, "documents"), path, _vocabulary())
+    return read_token_file(spark, path)
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that ten or more sources share, but for each line's first place."""
+    from .line_dedup import drop_spread_lines
+
+    return drop_spread_lines(_table(spark, sf_dir, "documents"), min_sites=10, counts=True).select("doc_id", "n_lines", "n_removed", "text")
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of nearly equal bytes."""
+    from .sharding import shard
+
+    return shard(_table(spark, sf_dir, "documents"), shards=40)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import digest_texts
 
@@ -24,7 +57,13 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
+    "op3_token_file": op3_token_file,
+    "op5_line_dedup": op5_line_dedup,
     "op7_bpe": op7_bpe,
+    "op9_sharding": op9_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_line_dedup": line_dedup.ORACLE_SQL,
+}
