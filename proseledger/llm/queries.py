@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import line_dedup
 
+if TYPE_CHECKING:
+    from .quality import NeighbourVote
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -43,6 +48,35 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_spread_lines(_table(spark, sf_dir, "documents"), min_sites=10, counts=True).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from the labelled documents that aren't held out."""
+    from .quality import score_documents
+
+    docs = _table(spark, sf_dir, "documents")
+    scored = score_documents(docs, _quality_model(spark, docs, sf_dir))
+    return scored.select("doc_id", (_remainder() == 0).alias("held_out"), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
+
+
+QUALITY_CUT = 0.3
+
+
+def _remainder() -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % 5
+
+
+def _quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> NeighbourVote:
+    from .quality import fit
+
+    return fit(docs, _table(spark, sf_dir, "labels").where(_remainder() != 0))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item."""
+    from .decontaminate import find_items
+
+    return find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of nearly equal bytes."""
     from .sharding import shard
@@ -61,7 +95,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_file": op3_token_file,
     "op5_line_dedup": op5_line_dedup,
     "op7_bpe": op7_bpe,
+    "op8_quality": op8_quality,
     "op9_sharding": op9_sharding,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
