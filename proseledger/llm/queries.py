@@ -41,6 +41,13 @@ def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_file(spark, path)
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document, at a weighted Jaccard similarity of 0.8 of five-word shingles."""
+    from .near_dup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the lines that ten or more sources share, but for each line's first place."""
     from .line_dedup import drop_spread_lines
@@ -93,6 +100,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_token_file": op3_token_file,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_line_dedup": op5_line_dedup,
     "op7_bpe": op7_bpe,
     "op8_quality": op8_quality,
