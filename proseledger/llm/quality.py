@@ -130,8 +130,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Fit on at most ``max_labelled`` labelled documents, chosen by a hash of their ids; document frequencies are of all documents."""
     seen, n = document_frequencies(docs, text_col)
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_label"))
+    # the sample is drawn from the labels, so that only so many ids are sent to the tasks that read the texts
+    known = known.orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
     texts = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
-    sample = texts.join(known, "_id").select("_id", "_label", "_text").orderBy(F.xxhash64("_id"), "_id", "_text").limit(max_labelled)
+    sample = texts.join(F.broadcast(known), "_id").select("_id", "_label", "_text")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     kind = sample.schema["_id"].dataType.simpleString()
     rows = sample.mapInArrow(describe, f"_id {kind}, _label {sample.schema['_label'].dataType.simpleString()}, counts binary").collect()
-    rows.sort(key=lambda r: r["_id"])
+    rows.sort(key=lambda r: (r["_id"], r["counts"]))
     idf = np.log((1 + n) / (1 + seen)).astype(np.float32) + 0.1
     if not rows:
         return NeighbourVote(idf, np.zeros((DIMENSIONS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), 0.5, neighbours)

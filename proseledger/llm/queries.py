@@ -91,6 +91,13 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_table(spark, sf_dir, "documents"), shards=40)
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, compared with each other and with the next document's."""
+    from .fingerprint import compare_with_next
+
+    return compare_with_next(_table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import digest_texts
 
@@ -102,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_file": op3_token_file,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_line_dedup": op5_line_dedup,
+    "op6_fingerprints": op6_fingerprints,
     "op7_bpe": op7_bpe,
     "op8_quality": op8_quality,
     "op9_sharding": op9_sharding,

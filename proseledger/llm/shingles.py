@@ -12,7 +12,7 @@ WIDTH = 5
 _TO_SPACE = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
-_powers = np.ones(1, np.uint64)
+_powers = _inverse = np.ones(1, np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -23,14 +23,18 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def substring_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end] for many spans at once, from running sums."""
-    global _powers
+    """64-bit hashes of data[start:end] for many spans at once, from running sums.
+
+    A substring has the same hash wherever and in whichever data it stands.
+    """
+    global _powers, _inverse
     if len(_powers) <= len(data):
-        _powers = np.cumprod(np.r_[_U(1), np.full(2 * len(data) + 4096, _BASE, np.uint64)])
+        n = 2 * len(data) + 4096
+        _powers = np.cumprod(np.r_[_U(1), np.full(n, _BASE, np.uint64)])
+        _inverse = np.cumprod(np.r_[_U(1), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)])
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + _U(1)) * _powers[: len(data)], out=sums[1:])
-    # the same substring gets the same number wherever it stands: all are shifted to the end
-    return mix((sums[ends] - sums[starts]) * _powers[len(data) - starts] + (ends - starts).astype(np.uint64))
+    return mix((sums[ends] - sums[starts]) * _inverse[starts] + (ends - starts).astype(np.uint64))
 
 
 def shingles(text: str, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
