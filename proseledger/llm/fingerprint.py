@@ -3,7 +3,7 @@
 A document's UTF-8 bytes are parsed into phrases, each the longest known phrase and one more byte (LZ78). The hashes of
 the phrases form a set; a minimum hash is taken in each of 64 equal ranges of hashes, and ranges without a phrase
 borrow the next one's. The likeness of two fingerprints, the share of equal minima, estimates the Jaccard similarity
-of the phrase sets. Phrases of fewer than ``LEAST`` bytes tell documents little apart and are left out, unless a document has no other.
+of the phrase sets.
 
 Each document is also compared with the next one in descending order of ids and with an edited text: its last half
 replaced by as many first code points of the next document. Neighbours come together by one shuffle in ranges of ids; a
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .shared import text_of
 from .shingles import mix, substring_hashes
 
-LANES, LEAST = 64, 5
+LANES = 64
 _U = np.uint64
 
 
@@ -70,9 +70,6 @@ def minima(data: bytes, parser: PhraseParser) -> str:
     if not data:
         return ""
     starts, ends = parser.spans()
-    long = ends - starts >= LEAST
-    if long.any():
-        starts, ends = starts[long], ends[long]
     h = np.sort(substring_hashes(np.frombuffer(data, np.uint8), starts, ends))
     lower = np.arange(LANES, dtype=np.uint64) << _U(58)
     at = np.searchsorted(h, lower)

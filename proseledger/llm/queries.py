@@ -8,7 +8,7 @@ from typing import TYPE_CHECKING
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup
+from . import license_scan, line_dedup
 
 if TYPE_CHECKING:
     from .quality import NeighbourVote
@@ -31,6 +31,13 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribute_tokens(_table(spark, sf_dir, "documents"), _vocabulary(), sections="lines", rule="largest")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence signatures of every document."""
+    from .license_scan import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
 def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents written as one file in document order, and read back."""
     from .shared import shared_path
@@ -106,6 +113,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_license_scan": op2_license_scan,
     "op3_token_file": op3_token_file,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_line_dedup": op5_line_dedup,
@@ -117,5 +125,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_license_scan": license_scan.oracle_sql(),
     "op5_line_dedup": line_dedup.ORACLE_SQL,
 }
