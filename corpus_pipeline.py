@@ -12,16 +12,46 @@ from proseledger.llm.shared import staged
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject."""
+    return queries.keep_good(spark, docs, sf_dir)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that many sources share; n_chars follows the text."""
+    return queries.without_spread_lines(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    from proseledger.llm.near_dup import keep_one
+
+    return keep_one(docs)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    from proseledger.llm.decontaminate import drop_contaminated
+
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document that is left."""
     from proseledger.llm.bpe import digest_texts
 
-    return digest_texts(docs, queries._vocabulary())
+    return digest_texts(docs, queries.vocabulary())
 
 
-STAGES: list[tuple[str, Stage]] = [("bpe", encode)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", drop_low_quality),
+    ("lines", drop_repeated_lines),
+    ("near-duplicates", drop_near_duplicates),
+    ("decontamination", drop_benchmark_leaks),
+    ("bpe", encode),
+]
 
-#: SQL can't express the classifier, the sketches of the near-duplicate stage or byte-pair encoding.
+#: SQL can't express the classifier, the samples of the near-duplicate stage or byte-pair encoding.
 ORACLE_SQL = None
 
 

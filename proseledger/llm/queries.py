@@ -18,17 +18,48 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _vocabulary() -> str:
+def vocabulary() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: A document counts as good from this score on.
+QUALITY_CUT = 0.3
+
+#: A line on so many sources is boilerplate.
+MIN_SITES = 10
+
+
+def _remainder() -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % 5
+
+
+def _quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> NeighbourVote:
+    from .quality import fit
+
+    return fit(docs, _table(spark, sf_dir, "labels").where(_remainder() != 0))
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents whose quality score is at the cut or above, with all their columns."""
+    from .quality import score_documents
+
+    scored = score_documents(docs, _quality_model(spark, docs, sf_dir), keep=docs.columns)
+    return scored.where(F.col("_score") >= QUALITY_CUT).select(*docs.columns)
+
+
+def without_spread_lines(docs: DataFrame) -> DataFrame:
+    """The documents without lines that many sources share, each with the number of characters it then has."""
+    left = line_dedup.drop_spread_lines(docs, min_sites=MIN_SITES)
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every line of every document; a token across two lines goes to the one with most of its characters."""
     from .token_counts import attribute_tokens
 
-    return attribute_tokens(_table(spark, sf_dir, "documents"), _vocabulary(), sections="lines", rule="largest")
+    return attribute_tokens(_table(spark, sf_dir, "documents"), vocabulary(), sections="lines", rule="largest")
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +75,7 @@ def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_file import read_token_file, write_token_file
 
     path = shared_path(spark, "token-file")
-    write_token_file(_table(spark, sf_dir, "documents"), path, _vocabulary())
+    write_token_file(_table(spark, sf_dir, "documents"), path, vocabulary())
     return read_token_file(spark, path)
 
 
@@ -59,7 +90,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the lines that ten or more sources share, but for each line's first place."""
     from .line_dedup import drop_spread_lines
 
-    return drop_spread_lines(_table(spark, sf_dir, "documents"), min_sites=10, counts=True).select("doc_id", "n_lines", "n_removed", "text")
+    return drop_spread_lines(_table(spark, sf_dir, "documents"), min_sites=MIN_SITES, counts=True).select("doc_id", "n_lines", "n_removed", "text")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,19 +102,6 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_remainder() == 0).alias("held_out"), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
 
 
-QUALITY_CUT = 0.3
-
-
-def _remainder() -> Column:
-    return F.crc32(F.col("doc_id").cast("string")) % 5
-
-
-def _quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> NeighbourVote:
-    from .quality import fit
-
-    return fit(docs, _table(spark, sf_dir, "labels").where(_remainder() != 0))
-
-
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, with the item."""
     from .decontaminate import find_items
@@ -108,7 +126,7 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import digest_texts
 
-    return digest_texts(_table(spark, sf_dir, "documents"), _vocabulary())
+    return digest_texts(_table(spark, sf_dir, "documents"), vocabulary())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

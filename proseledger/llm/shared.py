@@ -1,63 +1,15 @@
-"""What every operator of this subpackage needs: safe column access, and tables written to the shared folder."""
+"""What the operators of this subpackage share."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
+from ..folders import shared_path, shared_root, staged, sweep
+
+__all__ = ["shared_path", "shared_root", "staged", "sweep", "text_of"]
 
 
 def text_of(name: str = "text") -> Column:
     """The text column with null read as the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or in a local session a new folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, which :func:`sweep` deletes."""
-    path = f"{shared_root(spark).rstrip('/')}/proseledger/{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: the lineage ends there, and lost executors cost no rerun of it."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def sweep() -> int:
-    """Delete every staged table of this driver; call it once the results that came from them are written."""
-    n = 0
-    while _written:
-        spark, path = _written.pop()
-        try:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            n += bool(target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True))
-        except Exception as why:  # the session may have ended already; the files are then the cluster's to clear
-            print(f"not deleted: {path} ({type(why).__name__})")
-            break
-    return n
-
-
-@atexit.register
-def _at_exit() -> None:
-    if _written and _written[-1][0].sparkContext._jsc is not None:
-        sweep()
