@@ -21,7 +21,7 @@ _BITS0, _BITS_WEIGHT = 18, 12  # of the order-0 distribution, of the mixing weig
 _BITS = _BITS0 + _BITS_WEIGHT
 _LEAST, _DIGIT = 32, 16  # a lane puts out a digit once its range is under 2**_LEAST
 _SLOTS2 = 1 << 17
-_COUNT_EVERY, _WEIGH_EVERY = 16, 4
+_COUNT_EVERY, _WEIGH_EVERY = 8, 4
 
 
 class _Model:
@@ -51,7 +51,7 @@ class _Model:
         self.cum[-1] = 1 << _BITS0
         self.own = np.diff(self.cum)
         if self._lookup:
-            self.holder = np.repeat(np.arange(self.vocabulary), self.own)
+            self.holder = np.repeat(np.arange(self.vocabulary, dtype=np.int32), self.own)
 
     def _weigh(self) -> None:
         w = self.seen * ((1 << _BITS_WEIGHT) - 32) // self.seen.sum(1, keepdims=True)
@@ -86,7 +86,7 @@ class _Model:
         in_a, in_b = (value >= a0) & (value < a1), (value >= b0) & (value < b1)
         plain = value - ma * (value >= a1) - mb * (value >= b1)
         plain[in_a | in_b] = 0
-        ids = self.holder.take(plain // self.w)
+        ids = self.holder.take(plain // self.w).astype(np.int64)
         np.copyto(ids, a, where=in_a)
         np.copyto(ids, b, where=in_b)
         return ids
@@ -112,7 +112,7 @@ class _Model:
 
 def lanes_for(n: int) -> int:
     """Lanes of a block of n ids: many for large blocks, one for small ones."""
-    return max(1, min(2048, n // 256))
+    return max(1, min(8192, n // 512))
 
 
 def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
@@ -194,7 +194,7 @@ def decode_block(block: bytes) -> np.ndarray:
                 rng[full] <<= _DIGIT
             out[step] = ids
             model.learn(ids, step)
-    except (zlib.error, IndexError) as why:
+    except (zlib.error, IndexError, ValueError) as why:
         raise ValueError(f"damaged block: {why}") from why
     ids = np.ascontiguousarray(out.T).reshape(-1)[:n].astype("<u4")
     if zlib.crc32(ids) != crc:

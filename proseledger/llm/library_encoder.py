@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
+import regex
 from tokenizers import Tokenizer
 
-from .bpe import byte_letters
+from .bpe import BYTE_LEVEL_PATTERN, byte_letters
 from .pieces import PieceTable
 
 
@@ -17,8 +20,10 @@ class LibraryEncoder:
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
         added = {i: t.content for i, t in self._tokenizer.get_added_tokens_decoder().items()}
-        self.table = PieceTable(self._whole, tuple(added.values()))
+        self.table = PieceTable(self._whole, tuple(added.values()), self._piece)
         letters = byte_letters()
+        self._letters = {b: c for c, b in letters.items()}
+        self._pretoken = regex.compile(BYTE_LEVEL_PATTERN)
         self.n_bytes = np.zeros(1 + max([*self._tokenizer.get_vocab().values()]), np.int64)
         for token, i in self._tokenizer.get_vocab().items():
             self.n_bytes[i] = len(token) if i not in added and all(c in letters for c in token) else len(token.encode())
@@ -26,6 +31,13 @@ class LibraryEncoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        """A piece without added tokens: its pre-tokens go straight to the library's model."""
+        model, ids = self._tokenizer.model, []
+        for word in self._pretoken.findall(piece):
+            ids += [t.id for t in model.tokenize(word.encode().decode("latin-1").translate(self._letters))]
+        return array("I", ids).tobytes()
+
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(self.table.encode(text), "<u4")
 

@@ -20,13 +20,14 @@ class PieceTable(dict):
     so memory is bounded and results never depend on what is kept.
     """
 
-    def __init__(self, encode: Callable[[str], bytes], special: tuple[str, ...] = (), limit: int = 700_000) -> None:
+    def __init__(self, encode: Callable[[str], bytes], special: tuple[str, ...] = (), encode_piece: Callable[[str], bytes] | None = None, limit: int = 1_000_000) -> None:
         super().__init__()
         self._encode, self._special, self._limit = encode, special, limit
+        self._encode_piece = encode_piece or encode
 
     def __missing__(self, piece: str) -> bytes:
         # cut() marks a piece that began with a space by leaving the space out
-        ids = self._encode(piece if piece[:1] == "\n" else " " + piece)
+        ids = self._encode_piece(piece if piece[:1] == "\n" else " " + piece)
         if len(self) < self._limit and len(piece) <= 64:
             self[piece] = ids
         return ids

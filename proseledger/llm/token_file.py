@@ -34,7 +34,7 @@ from .shared import text_of
 SCHEMA = "part long, block long, first long, n_ids long, doc_ids array<long>, n_tokens array<long>, payload binary"
 
 
-def write_token_file(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, block_ids: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_token_file(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, block_ids: int = 1 << 22, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode the whole texts with the tokenizers library and write their ids, in ascending order of ``id_col``.
 
     One shuffle: the texts are dealt out by ranges of ids. Each task streams its range, a block at a time.
