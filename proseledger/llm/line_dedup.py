@@ -32,12 +32,12 @@ def spread_lines(lines: DataFrame, min_sites: int, lg_k: int = 12, margin: float
     """Keys of the lines that are on ``min_sites`` sites or more, each with its first occurrence."""
     sketches = lines.groupBy(*_KEY).agg(
         F.count("*").alias("n"),
-        F.hll_sketch_agg(F.coalesce("_site", F.lit("")), F.lit(lg_k)).alias("sites"),
-        F.max(F.col("_site").isNull().cast("int")).alias("nulls"),  # counted as one site above
+        # null sites aren't counted; the prefix is there since sketches pass over empty strings
+        F.hll_sketch_agg(F.concat(F.lit("="), "_site"), F.lit(lg_k)).alias("sites"),
         F.min(F.struct("_id", "_text", "_pos")).alias("first"),
     )
     # fewer lines than sites asked for need no estimate
-    told = sketches.where(F.col("n") >= min_sites).select(*_KEY, "first", (F.hll_sketch_estimate("sites") - F.col("nulls")).alias("estimate"))
+    told = sketches.where(F.col("n") >= min_sites).select(*_KEY, "first", F.hll_sketch_estimate("sites").alias("estimate"))
     told = staged(told.where(F.col("estimate") >= min_sites * (1 - margin)), "line-spread")
     sure = told.where(F.col("estimate") > min_sites * (1 + margin))
     near = told.where(F.col("estimate") <= min_sites * (1 + margin))
@@ -51,13 +51,13 @@ def drop_spread_lines(docs: DataFrame, min_sites: int = 10, id_col: str = "doc_i
     lines = staged(_lines(docs, id_col, text_col, site_col), "line-hashes")
     spread = spread_lines(lines, min_sites, lg_k, margin)
     place = F.struct("_id", "_text", "_pos")
-    gone = lines.join(spread, _KEY).where(~place.eqNullSafe(F.col("first"))).groupBy("_id", "_text").agg(F.collect_set("_pos").alias("_gone"))
-    gone = gone.withColumnsRenamed({"_id": "_gone_id", "_text": "_gone_text"})
-    both = docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone_id")) & (F.xxhash64(text_of(text_col)) == F.col("_gone_text")), "left")
+    gone = lines.join(spread, _KEY).where(~place.eqNullSafe(F.col("first"))).groupBy("_id", "_text").agg(F.collect_set("_pos").alias("_pl_gone"))
+    gone = gone.withColumnsRenamed({"_id": "_pl_gone_id", "_text": "_pl_gone_text"})
+    both = docs.join(gone, docs[id_col].eqNullSafe(F.col("_pl_gone_id")) & (F.xxhash64(text_of(text_col)) == F.col("_pl_gone_text")), "left")
     parts = F.split(text_of(text_col), "\n")
-    left = F.filter(parts, lambda _, k: ~F.array_contains("_gone", k))
-    out = [docs[c] if c != text_col else F.when(F.col("_gone").isNull(), text_of(text_col)).otherwise(F.array_join(left, "\n")).alias(c) for c in docs.columns]
-    extra = [F.size(parts).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed")]
+    left = F.filter(parts, lambda _, k: ~F.array_contains("_pl_gone", k))
+    out = [docs[c] if c != text_col else F.when(F.col("_pl_gone").isNull(), text_of(text_col)).otherwise(F.array_join(left, "\n")).alias(c) for c in docs.columns]
+    extra = [F.size(parts).cast("long").alias("n_lines"), F.coalesce(F.size("_pl_gone"), F.lit(0)).cast("long").alias("n_removed")]
     return both.select(*out, *(extra if counts else []))
 
 
