@@ -160,17 +160,18 @@ def score_documents(docs: DataFrame, model: NeighbourVote, id_col: str = "doc_id
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(pickle.dumps(model))
     kept = [id_col] if keep is None else keep
-    rows = docs.select(*(docs[c].alias(f"k{n}") for n, c in enumerate(kept)), text_of(text_col).alias("_text"))
+    rows = docs.select(*(docs[c].alias(f"k{n}") for n, c in enumerate(kept)), *([] if text_col in kept else [text_of(text_col).alias("text")]))
     kinds = [f"k{n} {rows.schema[f'k{n}'].dataType.simpleString()}" for n in range(len(kept))]
+    at_text = kept.index(text_col) if text_col in kept else len(kept)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = pickle.loads(sent.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                scores = fitted.score(np.stack([features(t.as_py()) for t in part.column("_text")]))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(scores)], [*part.schema.names[:-1], "_score"])
+                scores = fitted.score(np.stack([features(t.as_py() or "") for t in part.column(at_text)]))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(scores)], [*part.schema.names[: len(kept)], "_pl_score"])
 
-    scored = rows.mapInArrow(vote, ", ".join([*kinds, "_score double"]))
+    scored = rows.mapInArrow(vote, ", ".join([*kinds, "_pl_score double"]))
     names = {f"k{n}": c for n, c in enumerate(kept)}
-    return scored.select(*(F.col(k).alias(c) for k, c in names.items()), F.col("_score").alias("score" if keep is None else "_score"))
+    return scored.select(*(F.col(k).alias(c) for k, c in names.items()), F.col("_pl_score").alias("score" if keep is None else "_pl_score"))

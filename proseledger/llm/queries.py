@@ -46,7 +46,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from .quality import score_documents
 
     scored = score_documents(docs, _quality_model(spark, docs, sf_dir), keep=docs.columns)
-    return scored.where(F.col("_score") >= QUALITY_CUT).select(*docs.columns)
+    return scored.where(F.col("_pl_score") >= QUALITY_CUT).select(*docs.columns)
 
 
 def without_spread_lines(docs: DataFrame) -> DataFrame:

@@ -1,0 +1,123 @@
+import random
+import zlib
+
+import numpy as np
+import odd
+from pyspark.sql import functions as F
+
+from proseledger.llm import queries
+from proseledger.llm.decontaminate import ItemIndex, drop_contaminated, find_items, overlap, question_and_answer, words_of
+from proseledger.llm.quality import NeighbourVote, features, fit, score_documents
+
+
+def test_op8_on_held_out_rows(spark, sf):
+    sf = sf.replace("sf0.001", "sf0.01")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = queries.op8_quality(spark, sf).collect()
+    assert len(rows) == 1000 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+    held = [(r.predicted, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
+    assert len(held) > 50 and np.mean([p == y for p, y in held]) > 0.95
+
+
+def test_votes_are_exact():
+    rng = np.random.default_rng(0)
+    model = NeighbourVote(np.ones(4352 + 16, np.float32), rng.standard_normal((4368, 8)).astype(np.float32), np.zeros((0, 1)), rng.integers(0, 2, 300).astype(float), 0.7, 9)
+    counts = np.abs(rng.standard_normal((320, 4368))).astype(np.float32)
+    model.vectors = model.project(counts[:300])
+    counts[310] = 0
+    got, vectors = model.score(counts), model.project(counts)
+    for k in range(300, 320):
+        near = vectors[k].astype(float) @ model.vectors.T.astype(float)
+        top = np.argsort(-near)[:9]
+        w = np.maximum(near[top], 0) ** 2
+        assert abs(got[k] - ((w * model.labels[top]).sum() / w.sum() if k != 310 else 0.7)) < 1e-4
+    assert NeighbourVote(model.idf, model.axes, model.vectors[:0], np.zeros(0), 0.5).score(counts[:3]).tolist() == [0.5] * 3
+
+
+def test_quality_of_odd_rows(spark):
+    docs = odd.odd(spark)
+    labels = spark.createDataFrame([(4, 1), (4, 1), (7, 0), (9, None), (77, 1), (None, 1), (3, 0)], "doc_id long, quality int")
+    model = fit(docs, labels)
+    assert len(model.labels) == 3
+    rows = score_documents(docs, model).collect()
+    assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows)
+    kept = score_documents(docs, model, keep=docs.columns)
+    assert kept.columns == [*docs.columns, "_pl_score"] and kept.drop("_pl_score").exceptAll(docs).count() == 0
+    assert score_documents(odd.empty(spark), fit(odd.empty(spark), labels)).count() == 0
+    assert {r.score for r in score_documents(docs, fit(docs, labels.where("1 = 0"))).collect()} == {0.5}
+    assert not features("").any() and len(features("x")) == len(features(odd.LONG))
+
+
+def brute_items(rows, items, share, question, answer):
+    """Every window of every document against every item, with BM25 in full."""
+    index = ItemIndex(items, share)
+    bags = {i: words_of(t or "") for i, t in items}
+    n, mean = len([b for b in bags.values() if b]), np.mean([len(b) for b in bags.values() if b])
+    df = {w: sum(w in set(b) for b in bags.values()) for b in bags.values() for w in b}
+    found = set()
+    for k, text in rows:
+        words = words_of(text or "")
+        for at in range(0, max(1, len(words)), index.stride):
+            passage = words[at : at + 2 * index.stride]
+            for i, bag in bags.items():
+                own = {w: np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * bag.count(w) * 2.2 / (bag.count(w) + 1.2 * (0.25 + 0.75 * len(bag) / mean)) for w in set(bag)}
+                if own and sum(own[w] for w in set(passage) & set(bag)) >= share * sum(own.values()) - 1e-9:
+                    q, a = question_and_answer(dict(items)[i])
+                    if overlap(q, passage) >= question and overlap(a, passage) >= answer:
+                        found.add((k, i))
+    return found
+
+
+def made(rng, n_items=60, n_docs=80):
+    words = [f"{a}{b}" for a in ("th", "er", "on", "an", "re", "st") for b in ("the", "ing", "ed", "a", "ion", "ly")]
+    items = [(k, ". ".join(" ".join(rng.choices(words, k=rng.randint(3, 20))) for _ in range(rng.randint(1, 3)))) for k in range(n_items)] + [(900, ""), (901, None), (902, "...")]
+    rows = []
+    for k in range(n_docs):
+        text = rng.choices(words, k=rng.randint(0, 300))
+        if rng.random() < 0.5:
+            item = words_of(rng.choice(items[:n_items])[1])
+            part = [w.decode().upper() if rng.random() < 0.2 else w.decode() for w in item if rng.random() < rng.choice([1, 1, 0.95, 0.7])]
+            at = rng.randint(0, len(text))
+            text[at:at] = part
+        rows.append((k, " ".join(text)))
+    return rows, items
+
+
+def test_items_as_brute_force(spark):
+    rows, items = made(random.Random(4))
+    docs = odd.table(spark, [*rows, (500, None), (501, "")])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute_items(rows, items, 0.6, 0.6, 0.5)
+    assert len(want) > 10
+    assert {(r.doc_id, r.item_id) for r in find_items(docs, bench).collect()} == want
+    clean = drop_contaminated(docs, bench)
+    assert clean.columns == docs.columns
+    assert {r.doc_id for r in clean.collect()} == {k for k, _ in rows} - {k for k, _ in want} | {500, 501}
+
+
+def test_items_in_parts_are_all_found(spark):
+    rng = random.Random(9)
+    items = [(k, " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))) for k in range(40)]
+    docs = odd.table(spark, [(k, f"before {items[k][1]} after") for k in range(40)] + [(99, "clean")])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in find_items(docs, bench, index_items=7).collect()} == {(k, k) for k in range(40)}
+    assert [r.doc_id for r in drop_contaminated(docs, bench, index_items=7).collect()] == [99]
+
+
+def test_odd_rows_and_empty_tables(spark):
+    bench = spark.createDataFrame([(1, odd.COPY), (2, odd.COPY), (None, "x"), (3, None)], "item_id long, text string")
+    hits = sorted((r.doc_id, r.item_id) for r in find_items(odd.odd(spark), bench).collect())
+    assert hits == [(4, 1), (4, 2), (5, 1), (5, 2), (6, 1), (6, 1), (6, 2), (6, 2)]
+    assert drop_contaminated(odd.odd(spark), bench).count() == odd.odd(spark).count() - 4
+    assert find_items(odd.empty(spark), bench).count() == 0
+    none = bench.where("1 = 0")
+    assert find_items(odd.odd(spark), none).count() == 0 and drop_contaminated(odd.odd(spark), none).count() == odd.odd(spark).count()
+
+
+def test_op10_finds_all_verbatim_items(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet").collect()
+    want = {(d.doc_id, b.item_id) for d in docs for b in bench if b.text in d.text}
+    got = {(r.doc_id, r.item_id) for r in queries.op10_decontamination(spark, sf).where(F.col("score") >= 1).collect()}
+    assert want and got == want
