@@ -73,8 +73,14 @@ class Frequencies:
         self.table = np.maximum(table - mean - 4 * np.sqrt(mean), 1).astype(np.float32)
 
     def idf(self, h: np.ndarray) -> np.ndarray:
+        """Damped inverse document frequencies, from 1 (in all documents) to 1.125 (in one).
+
+        Undamped ones would let the little that tells copies apart outweigh what a large group of copies shares, since that is frequent
+        by being copied.
+        """
         df = np.minimum(*(self.table[row][_cells(h, row)] for row in range(SKETCH_ROWS)))
-        return np.log((1 + self.documents) / df).astype(np.float64) + 0.1
+        most = np.log(1 + max(self.documents, 1))
+        return 1 + np.clip(np.log((1 + self.documents) / df) / most, 0, 1).astype(np.float64) / 8
 
 
 def frequencies(texts: DataFrame) -> Frequencies:
