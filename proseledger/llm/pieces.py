@@ -13,6 +13,13 @@ from collections.abc import Callable
 _TANGLED = re.compile(r"\s\s\s|\s\s\Z")
 
 
+def _tangled(text: str) -> bool:
+    # the usual text, told without a regular expression: its white space is single spaces and line feeds (no other is printable)
+    if not any(pair in text for pair in ("  ", "\n\n", " \n", "\n ")) and text.replace("\n", "").isprintable():
+        return False
+    return bool(_TANGLED.search(text))
+
+
 class PieceTable(dict):
     """Maps a piece to the bytes of its ids (little-endian unsigned 32-bit).
 
@@ -36,9 +43,10 @@ class PieceTable(dict):
         """The ids of the whole text."""
         if not text:
             return b""
-        if _TANGLED.search(text) or any(s in text for s in self._special):
+        if _tangled(text) or any(s in text for s in self._special):
             return self._encode(text)
-        first, *rest = text.replace("\n", " \n").split(" ")
+        pieces = iter(text.replace("\n", " \n").split(" "))
         # the first piece has no space before it, so it is not looked up under the same key
+        first = next(pieces)
         head = self._encode(first) if first else b""
-        return head + b"".join(map(self.__getitem__, rest))
+        return head + b"".join(map(self.__getitem__, pieces))
