@@ -86,7 +86,8 @@ class _Model:
         in_a, in_b = (value >= a0) & (value < a1), (value >= b0) & (value < b1)
         plain = value - ma * (value >= a1) - mb * (value >= b1)
         plain[in_a | in_b] = 0
-        ids = self.holder.take(plain // self.w).astype(np.int64)
+        # true division is exact enough to round down: the numbers are under 2**30 and 2**12
+        ids = self.holder.take((plain / self.w).astype(np.int64)).astype(np.int64)
         np.copyto(ids, a, where=in_a)
         np.copyto(ids, b, where=in_b)
         return ids
@@ -185,7 +186,8 @@ def decode_block(block: bytes) -> np.ndarray:
         for step in range(steps):
             model.predict()
             unit = rng >> _BITS
-            ids = model.find(np.minimum(code // unit, (1 << _BITS) - 1))
+            # exact, too: the quotient is under 2**31 and the divisor under 2**19
+            ids = model.find(np.minimum((code / unit).astype(np.int64), (1 << _BITS) - 1))
             start, own = model.span(ids)
             code -= unit * start
             rng = unit * own
