@@ -121,3 +121,15 @@ def test_op10_finds_all_verbatim_items(spark, sf):
     want = {(d.doc_id, b.item_id) for d in docs for b in bench if b.text in d.text}
     got = {(r.doc_id, r.item_id) for r in queries.op10_decontamination(spark, sf).where(F.col("score") >= 1).collect()}
     assert want and got == want
+
+
+def test_quality_follows_words(spark):
+    """Good and bad texts have the same marks, capitals and word lengths and differ in nothing but their words."""
+    rng = random.Random(3)
+    good, bad = ([f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in ends] for ends in ("lmnr", "pstv"))
+    write = lambda words: " ".join(", ".join(rng.choices(words, k=4)).capitalize() + "." for _ in range(12))
+    rows = [(k, write(bad if k % 4 == 0 else good)) for k in range(400)]
+    docs = odd.table(spark, rows)
+    labels = spark.createDataFrame([(k, int(k % 4 > 0)) for k in range(200)], "doc_id long, quality int")
+    scores = {r.doc_id: r.score for r in score_documents(docs, fit(docs, labels)).collect()}
+    assert all((scores[k] >= 0.5) == (k % 4 > 0) for k in range(200, 400))
