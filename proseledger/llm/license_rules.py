@@ -87,8 +87,14 @@ OTHERS = (
 )
 
 
+#: Parts of words by which a name speaks of a licence itself.
+_SPEAKING = ("licen", "spdx", "creative", "gplv", "wtfpl", "openrail", "reserved", "vorbehalten", "domain", "copyright", "warrant", "permission", "redistribut", "proprietary", "unauthori", "commercial")
+#: Names that are unambiguous without the word licence: by their version, parts or clauses. A bare "CC BY" or "new BSD" isn't.
+_PLAIN = re.compile(r"^cc by \w|^cc0|gpl version|clause|no attribution|rail m$")
 #: Substrings of which each rule needs one; a text without any isn't looked at further.
-ROOTS = ("licen", "spdx", "creative", "gplv", "wtfpl", "openrail", "reserved", "vorbehalten", "domain", "copyright", "warrant", "permission", "redistribut", "proprietary", "unauthori", "commercial")
+ROOTS = (*_SPEAKING, "gpl", "cc", "bsd", "attribution", "bigscience")
+#: What rules that have no other root than this one need of a lower-case text.
+NARROWED = {"cc": r"cc(?:0|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by)"}
 _COMMON = {"license", "public", "version", "general", "software", "open"}
 
 
@@ -122,36 +128,43 @@ def _keyword(words: str) -> str:
     return f" {max(_needed(words), key=lambda t: (t not in _COMMON, len(t)))} "
 
 
-def _rooted(words: str) -> bool:
-    return any(root in t for t in _needed(words) for root in ROOTS)
+def _mentioned(name: str) -> bool:
+    """Whether a name by itself, without the word licence, tells the licence."""
+    tokens = [t.split("|") for t in name.split() if not t.endswith("?")]
+    return bool(_PLAIN.search(name)) or any(all(any(root in t for root in _SPEAKING) for t in token) for token in tokens)
 
 
-def rules() -> list[Rule]:
-    """All rules: phrases with their base labels, identifiers, notices, titles and mentions of each licence, and others."""
-    families = [*FAMILIES]
+def families() -> list[tuple[str, tuple[str, ...], tuple[str, ...]]]:
+    """All licences, with the Creative Commons ones."""
+    found = [*FAMILIES]
     for parts in CREATIVE_COMMONS:
         label = "cc-" + parts.replace(" ", "-")
         names = " ".join(CREATIVE_COMMONS_WORDS[p] for p in parts.split())
         for version in CREATIVE_COMMONS_VERSIONS:
-            families.append((f"{label}-{version.replace(' ', '.')}", (f"cc {parts} {version}", f"creative commons {names} {version}", f"creativecommons org licenses {parts} {version}"), (f"cc {parts} {version}",)))
-        families.append((label, (f"cc {parts}", f"creative commons {names}"), ()))
+            found.append((f"{label}-{version.replace(' ', '.')}", (f"cc {parts} {version}", f"creative commons {names} {version}", f"creativecommons org licenses {parts} {version}"), (f"cc {parts} {version}",)))
+        found.append((label, (f"cc {parts}", f"creative commons {names}"), ()))
+    return found
+
+
+def rules() -> list[Rule]:
+    """All rules: phrases with their base labels, identifiers, notices, titles and mentions of each licence, and others."""
     found: list[tuple[str, str, str, int, float, bool]] = []
     for words, label in BASE:
         found.append((label, _keyword(words), words, 1, 0.7, True))
-    for label, _, ids in families:
+    for label, _, ids in families():
         for words in ids:
             found.append((label, " spdx ", f"spdx license identifier {words}", 5, 1.0, False))
-    for label, names, _ in families:
+    for label, names, _ in families():
         for name in names:
             found.append((label, _keyword(name), f"licen[cs]ed under the|a|an? terms? of? the? {name} licen[cs]e?", 4, 1.0, False))
             # without the word licensed, a name that doesn't speak of a licence itself needs the word after it
-            end = "licen[cs]e?" if _rooted(name) else "licen[cs]e"
+            end = "licen[cs]e?" if _mentioned(name) else "licen[cs]e"
             found.append((label, _keyword(name), f"released|distributed|available|published|provided|made under the|a|an? terms? of? the? {name} {end}", 4, 1.0, False))
-    for label, names, _ in families:
+    for label, names, _ in families():
         for name in names:
             if not re.search(r"licen|public", name):
                 found.append((label, _keyword(name), f"{name} licen[cs]e", 3, 0.9, False))
-            if _rooted(name):
+            if _mentioned(name):
                 found.append((label, _keyword(name), name, 2, 0.6, False))
     for label, keyword, words, weight in OTHERS:
         found.append((label, keyword, words, 1 if weight < 0.5 else 2, weight, False))

@@ -18,7 +18,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .license_rules import ROOTS, Rule, rules
+from .license_rules import NARROWED, ROOTS, Rule, rules
 from .shared import staged, text_of
 
 #: Fixed value: a word, after A-Z are lower-cased.
@@ -68,7 +68,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table:
     rows = docs.select(docs[id_col].alias("id"), text_of(text_col).alias("text")).select("id", "text", F.regexp_count("text", F.lit(_WORD_ANY_CASE)).cast("long").alias("n_words"))
     rooted = F.lit(False)
     for root in ROOTS:
-        rooted = rooted | F.contains(F.lower("text"), F.lit(root))
+        holds = F.contains(F.lower("text"), F.lit(root))
+        rooted = rooted | (holds & F.lower("text").rlike(NARROWED[root]) if root in NARROWED else holds)
     words = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(_lowered(F.col("text")), F.lit(WORD), F.lit(0)), "  "), F.lit(" "))
     gated = staged(rows.where(rooted).select(F.monotonically_increasing_id().alias("uid"), "id", "n_words", words.alias("words")), "license-texts")
     base = F.when(F.col("base"), F.col("first"))

@@ -75,6 +75,24 @@ def test_license_scan_as_brute_force(spark):
     assert scan(odd.empty(spark)).count() == 0
 
 
+def test_plain_names_yield_their_labels(spark):
+    from proseledger.llm.license_rules import families
+
+    rows = []
+    for label, names, _ in families():
+        for name in names:
+            ambiguous = name in ("mit", "expat", "isc", "internet systems consortium", "freebsd", "zlib libpng?", "zlib", "cc by") or re.search("simplified|modified|revised|original", name)
+            for n in (0, -1):
+                text = " ".join(t.rstrip("?").split("|")[n] for t in name.replace("[cs]", "c").split() if n or not t.endswith("?"))
+                rows.append((label, text.title() + (" License" if ambiguous else "")))
+    rows += [("eupl-1.2", "European Union Public Licence v. 1.2"), ("postgresql", "PostgreSQL License"), ("gpl-3.0", "GNU GPL version 3"), ("gpl-2.0", "GPL v2"), ("lgpl-2.1", "LGPL 2.1"), ("cc-by-sa-4.0", "CC BY-SA 4.0"), ("cc-by-4.0", "text - CC - BY 4.0.")]
+    got = {r.doc_id: r.labels.split(",") for r in scan(odd.table(spark, [(k, text) for k, (_, text) in enumerate(rows)])).collect()}
+    assert [(text, label, got[k]) for k, (label, text) in enumerate(rows) if label not in got[k]] == []
+    assert all(slow_scan(text)[5].split(",") == got[k] for k, (_, text) in enumerate(rows))
+    other = ["a new bsd", "FreeBSD and zlib", "cc by mail", "the isc"]
+    assert {r.labels for r in scan(odd.table(spark, list(enumerate(other)))).collect()} == {""}
+
+
 def test_op2_same_as_sql(spark, sf):
     same(spark, sf, queries.op2_license_scan, queries.ORACLE_SQL["op2_license_scan"])
 
