@@ -126,8 +126,8 @@ class ItemIndex:
         key, back = np.unique(passage * width + number[where], return_inverse=True)
         return key, np.bincount(back, impact[where], len(key))
 
-    def search(self, texts: list[str]) -> list[tuple[int, int, float, float, float]]:
-        """(text, item id, score, overlap with the question, with the answer) of all items retrieved and verified."""
+    def search(self, texts: list[str], least_question: float, least_answer: float) -> list[tuple[int, int, float, float, float]]:
+        """(text, item id, score, overlap with the question, with the answer) of all items that a passage holds, each with the best such passage."""
         if not self.item_ids:
             return []
         known = self.vocabulary.get
@@ -161,6 +161,8 @@ class ItemIndex:
             start = (window - int(base[text])) * self.stride
             passage_words = words[text][start : start + 2 * self.stride]
             question, answer = (overlap(p, passage_words) for p in self.parts[item])
+            if question < least_question or answer < least_answer:
+                continue  # another passage may still hold the item
             best[text, item] = max(best.get((text, item), (0.0, 0.0, 0.0)), (question + answer, question, s))
         return sorted((text, self.item_ids[item], s, q, both - q) for (text, item), (both, q, s) in best.items())
 
@@ -187,7 +189,7 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):
                     part = batch.slice(at, 256)
-                    hits = [h for h in own.search(part.column("text").to_pylist()) if h[3] >= question and h[4] >= answer]
+                    hits = own.search(part.column("text").to_pylist(), question, answer)
                     columns = list(zip(*hits, strict=True)) or [()] * 5
                     made = [part.column("id").take(pa.array(columns[0], pa.int64())), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.float64()) for c in columns[2:])]
                     yield pa.RecordBatch.from_arrays(made, ["id", "item_id", "score", "question_overlap", "answer_overlap"])
@@ -208,7 +210,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
                 for at in range(0, batch.num_rows, 256):
                     part = batch.slice(at, 256)
                     texts = [t or "" for t in part.column(at_text).to_pylist()]
-                    hit = {h[0] for h in own.search(texts) if h[3] >= question and h[4] >= answer}
+                    hit = {h[0] for h in own.search(texts, question, answer)}
                     yield part.filter(pa.array([k not in hit for k in range(part.num_rows)], pa.bool_()))
 
         docs = docs.mapInArrow(search, docs.schema)

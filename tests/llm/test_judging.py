@@ -133,3 +133,16 @@ def test_quality_follows_words(spark):
     labels = spark.createDataFrame([(k, int(k % 4 > 0)) for k in range(200)], "doc_id long, quality int")
     scores = {r.doc_id: r.score for r in score_documents(docs, fit(docs, labels)).collect()}
     assert all((scores[k] >= 0.5) == (k % 4 > 0) for k in range(200, 400))
+
+
+def test_a_better_passage_that_fails_hides_no_other(spark):
+    """The first passage has the question and two fifths of another answer, the second enough of both."""
+    asked, answered = [f"q{k}" for k in range(24)], [f"a{k}" for k in range(24)]
+    item = " ".join(asked) + ". " + " ".join(answered)
+    first = asked + answered[:12]  # 1.0 and 0.4
+    second = asked[:18] + answered[:15]  # 0.7 and 0.55
+    docs = odd.table(spark, [(1, " ".join(first + ["x"] * (48 * 4 - len(first)) + second)), (2, " ".join(first)), (3, " ".join(second))])
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    hits = {r.doc_id: (r.question_overlap, r.answer_overlap) for r in find_items(docs, bench).collect()}
+    assert hits.keys() == {1, 3} and hits[1] == hits[3] and hits[1][0] >= 0.6 and hits[1][1] >= 0.5
+    assert [r.doc_id for r in drop_contaminated(docs, bench).collect()] == [2]
