@@ -12,7 +12,7 @@ The index is searched block by block as block-max WAND does, for all passages of
 4. A retrieved item counts if the passage holds enough of the word sequences of its question and of its answer (its
    last sentence, or the last third of a single one).
 
-No term, item or passage is left out. The index is built of at most ``index_items`` items and ``index_bytes`` bytes; with more, the items
+No term or passage is left out, and no item but those with a null id, of which none is searched for. The index is built of at most ``index_items`` items and ``index_bytes`` bytes; with more, the items
 are split and the documents are searched once for each part.
 
 Cases: null texts count as empty; documents and items without words match nothing; equal items are reported each;
