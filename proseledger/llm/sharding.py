@@ -1,5 +1,8 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly.
 
+What is called tokens here is a stand-in, the number of parts between single spaces: line feeds don't separate, runs
+of spaces add, and a text without spaces counts as one. Tokens of an encoder aren't counted.
+
 Groups (equal texts) are placed as wholes, each where the dot product of its vector with the shards' residual
 capacities is highest; a group of more than half a shard is cut into pieces of a quarter, so that one large group
 can't unbalance the shards. Small groups are first bundled by hash into a fixed number of bundles, so what the
