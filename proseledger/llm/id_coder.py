@@ -1,11 +1,20 @@
 """Adaptive context-mixing range coder for blocks of token ids.
 
 A block is coded apart from all others: its model starts empty, and a checksum covers its ids. Inside a block the ids
-are cut into equal lanes that are coded side by side, so that each step works on vectors; all lanes share the model.
+are cut into equal lanes that are coded side by side, so that each step works on vectors; all lanes share the model. The
+ids that a block uses are listed in its head, most frequent first, and stand for themselves by their places in that list.
 
-Three predictions are mixed for every id: order 0 (adaptive counts), order 1 (the id that followed the last id before)
-and order 2 (the id that followed the last two). The mixing weights are learned for each pair of confidences of the
-two contexts. The mixture is a distribution over ids, whose cumulative sums drive a range coder with 16-bit digits.
+Predictions of three orders are mixed for every id:
+
+- order 0: how often each id occurred so far;
+- order 1: how often each id followed the last one, for each of the ``CLASSES`` - 1 most frequent last ids apart and for
+  all others together. The counts of order 0 count as ``PRIOR`` occurrences in every one of these distributions, so
+  that rare contexts lean on order 0 and frequent ones on their own successors;
+- order 2: the id that followed the last two ids before, with a confidence of 0 to 7. Its share in the mixture is how often
+  such a guess was right so far, by confidence and by how frequent the last id is.
+
+The mixture is a distribution over ids, whose cumulative sums drive a range coder with 16-bit digits. Counts are folded in
+at steps that lie ever farther apart, up to a tenth of the block.
 """
 
 from __future__ import annotations
@@ -15,105 +24,123 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"idb1"
-_HEAD = struct.Struct("<4sIIIII")  # magic, ids, lanes, vocabulary, crc32 of the ids, bytes of the lanes' lengths
-_BITS0, _BITS_WEIGHT = 18, 12  # of the order-0 distribution, of the mixing weights
-_BITS = _BITS0 + _BITS_WEIGHT
+MAGIC = b"idb2"
+_HEAD = struct.Struct("<4sIIIIII")  # magic, ids, lanes, distinct ids, crc32 of the ids, bytes of the list of ids, of the lanes' lengths
+_BITS1, _BITS_WEIGHT = 18, 12  # of the order-1 distributions, of the mixing weights
+_BITS = _BITS1 + _BITS_WEIGHT
 _LEAST, _DIGIT = 32, 16  # a lane puts out a digit once its range is under 2**_LEAST
-_SLOTS2 = 1 << 17
-_COUNT_EVERY, _WEIGH_EVERY = 8, 4
+_BUCKET = 8  # bits of a distribution that a bucket of the reader's index leaves open
+_WEIGH_EVERY = 4
+CLASSES, PRIOR, _TABLE = 256, 60, 1 << 20
 
 
 class _Model:
-    """What encoder and decoder know before each step. A context's entry is 4 * predicted id + confidence."""
-
-    def __init__(self, lanes: int, vocabulary: int, lookup: bool) -> None:
-        if vocabulary + 1 >= 1 << (_BITS0 - 1):
-            raise ValueError("the vocabulary is too large for this coder")
-        self.vocabulary, self._lookup = vocabulary, lookup
-        self.counts = np.zeros(vocabulary, np.int64)
+    """What encoder and decoder know before each step. A context's entry in order 2 is 8 * predicted symbol + confidence."""
+
+    def __init__(self, n: int, lanes: int, steps: int, symbols: int, lookup: bool) -> None:
+        if symbols + 1 >= 1 << (_BITS1 - 1):
+            raise ValueError("a block has too many distinct ids for this coder")
+        self.symbols, self.steps, self._lookup = symbols, steps, lookup
+        self.classes = max(1, min(CLASSES, symbols, _TABLE // symbols))
+        self.counts = np.zeros((self.classes, symbols), np.int32)
         self.pending: list[np.ndarray] = []
+        self.due = 1
+        self.slots = 1 << min(20, max(10, n.bit_length() - 2))
+        self.after2 = np.zeros(self.slots, np.int32)
+        self.last = np.zeros(lanes, np.int64)
+        self.before = np.zeros(lanes, np.int64)
+        self.rank = np.minimum(np.log2(1 + np.arange(symbols) / 16).astype(np.int64) // 2, 3)
+        self.seen = np.tile(np.array([4, 1], np.int64), (32, 1))  # by state: wrong and right guesses
         self._spread()
-        self.after1 = np.zeros(vocabulary + 1, np.int64)
-        self.after2 = np.zeros(_SLOTS2, np.int64)
-        self.last = np.full(lanes, vocabulary, np.int64)  # no id yet
-        self.before = np.full(lanes, vocabulary, np.int64)
-        self.seen = np.tile(np.array([4, 1, 1], np.int64), (32, 1))  # by state: neither, order 1, order 2
         self._weigh()
 
     def _spread(self) -> None:
-        """Order 0 as frequencies of at least 1 that sum to 2**_BITS0."""
-        seen = np.cumsum(self.counts)
-        room = (1 << _BITS0) - self.vocabulary
-        scaled = (seen * (room / seen[-1])).astype(np.int64) if seen[-1] else np.arange(1, self.vocabulary + 1) * room // self.vocabulary
-        self.cum = np.zeros(self.vocabulary + 1, np.int64)
-        self.cum[1:] = np.minimum(scaled, room) + np.arange(1, self.vocabulary + 1)
-        self.cum[-1] = 1 << _BITS0
-        self.own = np.diff(self.cum)
+        """Order 1 as frequencies of at least 1 that sum to 2**_BITS1 in each class."""
+        zero = self.counts.sum(0, dtype=np.int64)
+        # every operation is elementwise on single floats, so that it rounds alike everywhere
+        prior = ((zero + 0.1) * (PRIOR / (zero.sum() + 0.1 * self.symbols))).astype(np.float32)
+        scale = (((1 << _BITS1) - self.symbols - 1) / (self.counts.sum(1, dtype=np.int64) + PRIOR)).astype(np.float32)
+        own = np.add(self.counts, prior, dtype=np.float32)
+        own *= scale[:, None]
+        self.cum = np.zeros((self.classes, self.symbols + 1), np.int32)
+        np.cumsum(own.astype(np.int32) + 1, axis=1, out=self.cum[:, 1:])
+        self.cum[:, -1] = 1 << _BITS1
         if self._lookup:
-            self.holder = np.repeat(np.arange(self.vocabulary, dtype=np.int32), self.own)
+            # for each bucket the last symbol that starts before it, with one bucket more in front of each class; the first symbol starts at 0
+            wide = (1 << (_BITS1 - _BUCKET)) + 1
+            at = (self.cum[:, 1:-1] >> _BUCKET) + (np.arange(self.classes, dtype=np.int32) * wide + 1)[:, None]
+            self.index = np.cumsum(np.bincount(at.ravel(), minlength=self.classes * wide).reshape(self.classes, wide), 1).ravel()
+        self.cum = self.cum.ravel()
 
     def _weigh(self) -> None:
-        w = self.seen * ((1 << _BITS_WEIGHT) - 32) // self.seen.sum(1, keepdims=True)
-        w[:, 0] = (1 << _BITS_WEIGHT) - w[:, 1] - w[:, 2]  # 32 at least, so that every id can be coded
-        w[16:, 2] += w[16:, 1]  # both contexts predict the same id
-        w[16:, 1] = 0
-        self.w0, self.mass1, self.mass2 = w[:, 0].copy(), w[:, 1] << _BITS0, w[:, 2] << _BITS0
+        # 32 of the weight at least are order 1's, so that every id can be coded
+        self.mass2 = (self.seen[:, 1] * ((1 << _BITS_WEIGHT) - 32) // self.seen.sum(1)) << _BITS1
+        self.w1 = (1 << _BITS_WEIGHT) - (self.mass2 >> _BITS1)
 
     def predict(self) -> None:
-        self.slot = (self.before * 50_021 + self.last * 7) & (_SLOTS2 - 1)
-        self.e1, self.e2 = self.after1.take(self.last), self.after2.take(self.slot)
-        self.p1, self.p2, self.k1, self.k2 = self.e1 >> 2, self.e2 >> 2, self.e1 & 3, self.e2 & 3
-        self.state = self.k2 * 4 + self.k1
-        self.state[self.p1 == self.p2] += 16
-        self.w, self.m1, self.m2 = self.w0.take(self.state), self.mass1.take(self.state), self.mass2.take(self.state)
+        self.kind = np.minimum(self.last, self.classes - 1)
+        self.row = self.kind * (self.symbols + 1)
+        self.slot = ((self.before * 50_021 + self.last * 7) * 2_654_435_761 >> 9) & (self.slots - 1)
+        self.e2 = self.after2.take(self.slot).astype(np.int64)
+        self.p2, self.k2 = self.e2 >> 3, self.e2 & 7
+        self.state = self.k2 * 4 + self.rank.take(self.last)
+        self.w, self.m2 = self.w1.take(self.state), self.mass2.take(self.state)
 
     def span(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cumulative and own frequency of ids in the mixture."""
-        self.hit1, self.hit2 = self.p1 == ids, self.p2 == ids
-        low = self.w * self.cum.take(ids) + self.m1 * (self.p1 < ids) + self.m2 * (self.p2 < ids)
-        return low, self.w * self.own.take(ids) + self.m1 * self.hit1 + self.m2 * self.hit2
+        """Cumulative and own frequency of symbols in the mixture."""
+        self.hit2 = self.p2 == ids
+        at = self.row + ids
+        start = self.cum.take(at)
+        low = self.w * start + self.m2 * (self.p2 < ids)
+        return low, self.w * (self.cum.take(at + 1) - start) + self.m2 * self.hit2
 
     def find(self, value: np.ndarray) -> np.ndarray:
-        """The ids whose spans hold the values."""
-        swap = self.p1 > self.p2
-        a, b = np.minimum(self.p1, self.p2), np.maximum(self.p1, self.p2)
-        ma, mb = np.where(swap, self.m2, self.m1), np.where(swap, self.m1, self.m2)  # of equal ones, all mass is in m2, as b's
-        a0 = self.w * self.cum.take(a)
-        a1 = a0 + self.w * self.own.take(a) + ma
-        b0 = self.w * self.cum.take(b) + ma
-        b1 = b0 + self.w * self.own.take(b) + mb
-        in_a, in_b = (value >= a0) & (value < a1), (value >= b0) & (value < b1)
-        plain = value - ma * (value >= a1) - mb * (value >= b1)
-        plain[in_a | in_b] = 0
+        """The symbols whose spans hold the values."""
+        at = self.row + self.p2
+        low = self.w * self.cum.take(at)
+        high = self.w * self.cum.take(at + 1) + self.m2
+        guessed = (value >= low) & (value < high)
+        plain = value - self.m2 * (value >= high)
+        plain[guessed] = 0
         # true division is exact enough to round down: the numbers are under 2**30 and 2**12
-        ids = self.holder.take((plain / self.w).astype(np.int64)).astype(np.int64)
-        np.copyto(ids, a, where=in_a)
-        np.copyto(ids, b, where=in_b)
+        part = (plain / self.w).astype(np.int64)
+        bucket = self.kind * ((1 << (_BITS1 - _BUCKET)) + 1) + (part >> _BUCKET)
+        # a bucket's first symbol may have started before it
+        ids, most = self.index.take(bucket), self.index.take(bucket + 1)
+        ids[guessed] = most[guessed]
+        todo = np.flatnonzero(most > ids)
+        low, high, row, part = ids[todo], most[todo], self.row[todo], part[todo]
+        while len(todo):
+            middle = (low + high + 1) >> 1
+            under = self.cum.take(row + middle) <= part
+            low, high = np.where(under, middle, low), np.where(under, high, middle - 1)
+            done = low == high
+            ids[todo[done]] = low[done]
+            more = ~done
+            todo, low, high, row, part = todo[more], low[more], high[more], row[more], part[more]
+        np.copyto(ids, self.p2, where=guessed)
         return ids
 
     def learn(self, ids: np.ndarray, step: int) -> None:
         if step % _WEIGH_EVERY == 0:
-            outcome = np.where(self.hit2, 2, self.hit1)
-            self.seen += np.bincount(self.state * 3 + outcome, minlength=96).reshape(32, 3)
+            self.seen += np.bincount(self.state * 2 + self.hit2, minlength=64).reshape(32, 2)
             if self.seen.max() > 1 << 20:
                 self.seen = (self.seen + 1) >> 1
             self._weigh()
-        fresh = ids * 4 + 1
         # of lanes in the same context the last one counts, in the encoder as in the decoder
-        self.after1[self.last] = np.where(self.hit1, self.e1 + (self.k1 < 3), np.where(self.k1 > 1, self.e1 - 1, fresh))
-        self.after2[self.slot] = np.where(self.hit2, self.e2 + (self.k2 < 3), np.where(self.k2 > 1, self.e2 - 1, fresh))
+        self.after2[self.slot] = np.where(self.hit2, self.e2 + (self.k2 < 7), np.where(self.k2 > 1, self.e2 - 1, ids * 8 + 1))
         self.before, self.last = self.last, ids
-        self.pending.append(ids)
-        if step % _COUNT_EVERY == _COUNT_EVERY - 1:
-            self.counts += np.bincount(np.concatenate(self.pending), minlength=self.vocabulary)
+        self.pending.append(self.kind * self.symbols + ids)
+        if step + 1 >= self.due:
+            self.counts += np.bincount(np.concatenate(self.pending), minlength=self.counts.size).astype(np.int32).reshape(self.counts.shape)
             self.pending = []
+            self.due = step + 1 + max(1, min(step // 3, self.steps // 10))
             self._spread()
 
 
 def lanes_for(n: int) -> int:
     """Lanes of a block of n ids: many for large blocks, one for small ones."""
-    return max(1, min(8192, n // 512))
+    return max(1, min(4096, n // 512))
 
 
 def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
@@ -121,14 +148,21 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
     ids = np.ascontiguousarray(ids, "<u4")
     n = len(ids)
     lanes = lanes_for(n)
-    head = lambda size: _HEAD.pack(MAGIC, n, lanes, vocabulary, zlib.crc32(ids), size)
+    head = lambda symbols, listed, size: _HEAD.pack(MAGIC, n, lanes, symbols, zlib.crc32(ids), listed, size)
     if not n:
-        return head(0)
+        return head(0, 0, 0)
+    if int(ids.max()) >= vocabulary:
+        raise ValueError("an id is outside the vocabulary")
+    often = np.bincount(ids)
+    used = np.flatnonzero(often)
+    used = used[np.argsort(-often[used], kind="stable")]
+    place = np.zeros(len(often), np.int64)
+    place[used] = np.arange(len(used))
     steps = -(-n // lanes)
-    padded = np.zeros(steps * lanes, np.int64)  # the padding at the end is coded too, as id 0
-    padded[:n] = ids
+    padded = np.zeros(steps * lanes, np.int64)  # the padding at the end is coded too, as the first symbol
+    padded[:n] = place[ids]
     columns = np.ascontiguousarray(padded.reshape(lanes, steps).T)
-    model = _Model(lanes, vocabulary, lookup=False)
+    model = _Model(n, lanes, steps, len(used), lookup=False)
     low, rng = np.zeros(lanes, np.int64), np.full(lanes, 1 << (_LEAST + _DIGIT), np.int64)
     digits = np.zeros((lanes, steps * 2 + 8), np.int32)
     at = np.zeros(lanes, np.int64)
@@ -152,22 +186,24 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
     while (over := np.argwhere(digits >= 1 << _DIGIT)).size:
         digits[over[:, 0], over[:, 1]] -= 1 << _DIGIT
         digits[over[:, 0], over[:, 1] - 1] += 1
-    lengths = zlib.compress(at.astype("<u4").tobytes())
-    return head(len(lengths)) + lengths + digits[np.arange(digits.shape[1]) < at[:, None]].astype("<u2").tobytes()
+    listed, lengths = zlib.compress(used.astype("<u4").tobytes()), zlib.compress(at.astype("<u4").tobytes())
+    return head(len(used), len(listed), len(lengths)) + listed + lengths + digits[np.arange(digits.shape[1]) < at[:, None]].astype("<u2").tobytes()
 
 
 def decode_block(block: bytes) -> np.ndarray:
     """The ids of a block; raises ValueError if it is damaged."""
     if len(block) < _HEAD.size or block[:4] != MAGIC:
         raise ValueError("not a block of ids")
-    _, n, lanes, vocabulary, crc, size = _HEAD.unpack_from(block)
+    _, n, lanes, symbols, crc, listed, size = _HEAD.unpack_from(block)
     if not n:
         return np.zeros(0, np.uint32)
     try:
-        lengths = np.frombuffer(zlib.decompress(block[_HEAD.size : _HEAD.size + size]), "<u4").astype(np.int64)
-        digits = np.frombuffer(block, "<u2", offset=_HEAD.size + size).astype(np.int64)
-        if len(lengths) != lanes or lengths.sum() != len(digits):
-            raise ValueError("damaged block: its lanes don't fit")
+        at_lengths = _HEAD.size + listed
+        used = np.frombuffer(zlib.decompress(block[_HEAD.size : at_lengths]), "<u4")
+        lengths = np.frombuffer(zlib.decompress(block[at_lengths : at_lengths + size]), "<u4").astype(np.int64)
+        digits = np.frombuffer(block, "<u2", offset=at_lengths + size).astype(np.int64)
+        if len(used) != symbols or not 0 < symbols <= n or lanes != lanes_for(n) or len(lengths) != lanes or lengths.sum() != len(digits):
+            raise ValueError("damaged block: its parts don't fit")
         ends = np.cumsum(lengths)
         at = ends - lengths
 
@@ -180,7 +216,7 @@ def decode_block(block: bytes) -> np.ndarray:
         for _ in range(3):
             code = code << _DIGIT | next_digits(slice(None))
         steps = -(-n // lanes)
-        model = _Model(lanes, vocabulary, lookup=True)
+        model = _Model(n, lanes, steps, symbols, lookup=True)
         rng = np.full(lanes, 1 << (_LEAST + _DIGIT), np.int64)
         out = np.zeros((steps, lanes), np.uint32)
         for step in range(steps):
@@ -198,7 +234,7 @@ def decode_block(block: bytes) -> np.ndarray:
             model.learn(ids, step)
     except (zlib.error, IndexError, ValueError) as why:
         raise ValueError(f"damaged block: {why}") from why
-    ids = np.ascontiguousarray(out.T).reshape(-1)[:n].astype("<u4")
+    ids = used[np.ascontiguousarray(out.T).reshape(-1)[:n]].astype("<u4")
     if zlib.crc32(ids) != crc:
         raise ValueError("damaged block: the checksum differs")
     return ids
