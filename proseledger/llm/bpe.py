@@ -34,15 +34,22 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(others)}
 
 
+def check_byte_level(spec: dict, path: str) -> None:
+    """Raise unless a tokenizer file is the plain byte-level BPE that cutting into pieces and byte lengths rely on."""
+    pre = spec["pre_tokenizer"] or {}
+    plain = spec["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+    if not plain or spec["normalizer"] or spec["model"].get("dropout"):
+        raise ValueError(f"{path} is not a plain byte-level BPE without a normalizer or a prefix space")
+
+
 class BytePairCodec:
     """Encodes texts to ids and ids to texts with the vocabulary of one tokenizer file."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_byte_level(spec, path)
         model, letters = spec["model"], byte_letters()
-        if model["type"] != "BPE" or (spec["pre_tokenizer"] or {}).get("type") != "ByteLevel" or spec["normalizer"]:
-            raise ValueError(f"{path} is not a plain byte-level BPE")
         vocab: dict[str, int] = model["vocab"]
         self.added: dict[str, int] = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token_bytes: list[bytes] = [b""] * (1 + max([*vocab.values(), *self.added.values()]))
@@ -59,8 +66,7 @@ class BytePairCodec:
             self._merge[vocab[left], vocab[right]] = (rank, vocab[left + right])
         self._pretoken = regex.compile(BYTE_LEVEL_PATTERN)
         self._special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self._known: dict[str, bytes] = {}
-        self.table = PieceTable(self._encode_plainly, tuple(self.added))
+        self.table = PieceTable(lambda texts: [self._encode_plainly(t) for t in texts], tuple(self.added))
 
     def merge(self, data: bytes) -> list[int]:
         """The ids of one pre-token.
@@ -91,21 +97,13 @@ class BytePairCodec:
                 heapq.heappush(queue, (m[0], h, ids[h], merged, m[1]))
         return [x for x in ids if x >= 0]
 
-    def _pretoken_ids(self, word: str) -> bytes:
-        ids = self._known.get(word)
-        if ids is None:
-            ids = np.array(self.merge(word.encode()), "<u4").tobytes()
-            if len(self._known) < 300_000 and len(word) <= 64:
-                self._known[word] = ids
-        return ids
-
     def _encode_plainly(self, text: str) -> bytes:
         out = []
         for part in self._special.split(text) if self._special else [text]:
             if part in self.added:
                 out.append(np.array([self.added[part]], "<u4").tobytes())
             else:
-                out.extend(map(self._pretoken_ids, self._pretoken.findall(part)))
+                out.extend(np.array(self.merge(word.encode()), "<u4").tobytes() for word in self._pretoken.findall(part))
         return b"".join(out)
 
     def encode(self, text: str) -> bytes:
@@ -152,7 +150,7 @@ def _run(docs: DataFrame, path: str, id_col: str, text_col: str, ids: bool, deco
         for batch in batches:
             for at in range(0, batch.num_rows, 500):  # few decoded texts at a time
                 part = batch.slice(at, 500)
-                blobs = [bpe.encode(t) for t in part.column("text").to_pylist()]
+                blobs = bpe.table.encode_many(part.column("text").to_pylist())
                 texts = [bpe.decode(b) for b in blobs]
                 made = {
                     "id": part.column("id"),

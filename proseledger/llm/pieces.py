@@ -11,6 +11,8 @@ from collections.abc import Callable
 
 #: Where one piece can depend on the next: three white-space characters in a row, or two at the end of a text.
 _TANGLED = re.compile(r"\s\s\s|\s\s\Z")
+#: What a kept piece takes besides its own characters and ids: two objects and a place in the table.
+_OVERHEAD = 180
 
 
 def _tangled(text: str) -> bool:
@@ -23,30 +25,53 @@ def _tangled(text: str) -> bool:
 class PieceTable(dict):
     """Maps a piece to the bytes of its ids (little-endian unsigned 32-bit).
 
-    The table keeps at most ``limit`` pieces of at most 64 characters; whatever is over that is encoded each time,
-    so memory is bounded and results never depend on what is kept.
+    ``encode_batch`` gives the ids of many texts, whole or pieces. The table keeps pieces of at most 64 characters while they
+    take ``limit_bytes`` or less in all; whatever is over that is encoded each time, so memory is bounded (for each
+    worker process, outside the JVM's heap) and results never depend on what is kept.
     """
 
-    def __init__(self, encode: Callable[[str], bytes], special: tuple[str, ...] = (), encode_piece: Callable[[str], bytes] | None = None, limit: int = 1_000_000) -> None:
+    def __init__(self, encode_batch: Callable[[list[str]], list[bytes]], special: tuple[str, ...] = (), limit_bytes: int = 200 << 20) -> None:
         super().__init__()
-        self._encode, self._special, self._limit = encode, special, limit
-        self._encode_piece = encode_piece or encode
+        self._encode_batch, self._special, self._room = encode_batch, special, limit_bytes
 
-    def __missing__(self, piece: str) -> bytes:
-        # cut() marks a piece that began with a space by leaving the space out
-        ids = self._encode_piece(piece if piece[:1] == "\n" else " " + piece)
-        if len(self) < self._limit and len(piece) <= 64:
-            self[piece] = ids
-        return ids
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each of the whole texts."""
+        out = [b""] * len(texts)
+        whole: list[int] = []
+        heads: list[tuple[int, str]] = []  # first pieces, which have no space before them
+        later: list[tuple[int, list[str]]] = []  # those with pieces that aren't known yet
+        new: set[str] = set()
+        for k, text in enumerate(texts):
+            if _tangled(text) or any(s in text for s in self._special):
+                whole.append(k)
+            elif text:
+                pieces = text.replace("\n", " \n").split(" ")
+                heads.append((k, pieces.pop(0)))
+                own = [*map(self.get, pieces)]
+                if None in own:
+                    new.update(p for p, ids in zip(pieces, own, strict=True) if ids is None)
+                    later.append((k, pieces))
+                else:
+                    out[k] = b"".join(own)
+        fresh = [*new]
+        # a piece that began with a space is looked up without it; one after a line feed begins with that
+        asked = [p if p[:1] == "\n" else " " + p for p in fresh] + [head for _, head in heads] + [texts[k] for k in whole]
+        given = self._encode_batch(asked) if asked else []
+        self.update(zip(fresh, given, strict=False))
+        for k, pieces in later:
+            out[k] = b"".join(map(self.__getitem__, pieces))
+        for (k, _), head in zip(heads, given[len(fresh) : len(fresh) + len(heads)], strict=True):
+            out[k] = head + out[k]
+        for k, ids in zip(whole, given[len(fresh) + len(heads) :], strict=True):
+            out[k] = ids
+        for piece, ids in zip(fresh, given, strict=False):
+            size = _OVERHEAD + len(piece) + len(ids)
+            if len(piece) > 64 or size > self._room:
+                del self[piece]
+            else:
+                self._room -= size
+        return out
 
     def encode(self, text: str) -> bytes:
-        """The ids of the whole text."""
-        if not text:
-            return b""
-        if _tangled(text) or any(s in text for s in self._special):
-            return self._encode(text)
-        pieces = iter(text.replace("\n", " \n").split(" "))
-        # the first piece has no space before it, so it is not looked up under the same key
-        first = next(pieces)
-        head = self._encode(first) if first else b""
-        return head + b"".join(map(self.__getitem__, pieces))
+        """The ids of one whole text."""
+        return self.encode_many([text])[0]

@@ -124,6 +124,7 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document by byte-pair merges, and the text decoded from them, as digests."""
     from .bpe import digest_texts
 
     return digest_texts(_table(spark, sf_dir, "documents"), vocabulary())

@@ -1,8 +1,9 @@
 """Token counts of parts of documents, by the character offsets of tokens.
 
-Each document is encoded once, as a whole; its tokens' character spans are then joined with the spans of its sections
-(both are sorted, so the interval join is two binary searches for each token). A token that crosses a boundary is
-allocated by one of the rules:
+The ids of each document are those that the library gives for the whole text (see ``library_encoder`` for how they are
+made). A token's character span follows from the bytes that the tokens before it stand for; the spans are then joined with
+the spans of the document's sections (both are sorted, so the interval join is two binary searches for each token). A token
+that crosses a boundary is allocated by one of the rules:
 
 - ``largest``: to the section that holds most of its characters, of equals the earlier one;
 - ``start``: to the section that holds its first character;
@@ -109,8 +110,8 @@ def attribute_tokens(docs: DataFrame, path: str, sections: str | Column = "lines
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("row", "section", "name", "start", "end", "n_tokens", "doc_tokens")}
             given = [None] * batch.num_rows if by_line else batch.column("spans").to_pylist()
-            for row, (doc, own) in enumerate(zip(batch.column("text").to_pylist(), given, strict=True)):
-                ids = encoder.encode(doc)
+            texts = batch.column("text").to_pylist()
+            for row, (doc, own, ids) in enumerate(zip(texts, given, encoder.encode_many(texts), strict=True)):
                 names = None
                 if by_line:
                     first, last = line_spans(doc)

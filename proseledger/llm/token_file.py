@@ -43,29 +43,33 @@ def write_token_file(docs: DataFrame, path: str, vocabulary: str, end_id: int =
     ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = library_encoder(vocabulary), TaskContext.get().partitionId()
+        encoder, number = library_encoder(vocabulary), TaskContext.get().partitionId()
         size = max(end_id + 1, len(encoder.n_bytes))
         end = np.array([end_id], "<u4")
         held: list[np.ndarray] = []
         ids: list[int | None] = []
+        lengths: list[int] = []
         block = first = n = 0
 
         def close() -> pa.RecordBatch:
-            lengths = [len(x) for x in held]
             payload = encode_block(np.concatenate(held), size)
-            made = [[part], [block], [first], [n], [ids], [lengths], [payload]]
+            made = [[number], [block], [first], [n], [ids], [lengths], [payload]]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             names = ["part", "block", "first", "n_ids", "doc_ids", "n_tokens", "payload"]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(made, kinds, strict=True)], names)
 
         for batch in batches:
-            for doc, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
-                held.append(np.concatenate([encoder.encode(text.as_py()), end]))
-                ids.append(doc)
-                n += len(held[-1])
-                if n >= block_ids:
-                    yield close()
-                    block, first, n, held, ids = block + 1, first + n, 0, [], []
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                found = encoder.encode_many(part.column("text").to_pylist())
+                for doc, own in zip(part.column("id").to_pylist(), found, strict=True):
+                    held += [own, end]
+                    ids.append(doc)
+                    lengths.append(len(own) + 1)
+                    n += len(own) + 1
+                    if n >= block_ids:
+                        yield close()
+                        block, first, n, held, ids, lengths = block + 1, first + n, 0, [], [], []
         if ids:
             yield close()
 

@@ -1,5 +1,8 @@
 import hashlib
+import json
+import lzma
 import zlib
+from pathlib import Path
 
 import numpy as np
 import odd
@@ -12,7 +15,8 @@ from tokenizers import Tokenizer
 from proseledger.llm import queries
 from proseledger.llm.bpe import BytePairCodec, digest_texts, encode_texts
 from proseledger.llm.id_coder import decode_block, encode_block
-from proseledger.llm.library_encoder import library_encoder
+from proseledger.llm.library_encoder import LibraryEncoder, library_encoder
+from proseledger.llm.pieces import PieceTable
 from proseledger.llm.shared import shared_path
 from proseledger.llm.token_counts import allocate, attribute_tokens, field_document, token_spans
 from proseledger.llm.token_file import read_token_file, write_token_file
@@ -78,6 +82,43 @@ def test_blocks_of_many_lanes_and_damage():
             decode_block(block[:size])
 
 
+def test_blocks_use_their_contexts(spark, sf, vocabulary):
+    """Far better than the ids' own frequencies, and than a general packer at its fastest."""
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").orderBy("doc_id").select("text").collect()
+    ids = np.concatenate(library_encoder(vocabulary).encode_many([r.text or "" for r in docs]))
+    block = encode_block(ids, 50_257)
+    share = np.unique(ids, return_counts=True)[1] / len(ids)
+    order_0 = -(share * np.log2(share)).sum()
+    assert len(block) * 8 / len(ids) < order_0 - 1.5 and len(block) < 0.9 * len(lzma.compress(ids.tobytes(), preset=0))
+    assert (decode_block(block) == ids).all()
+    with pytest.raises(ValueError, match="vocabulary"):
+        encode_block(ids, 1000)
+
+
+def test_a_full_piece_table_changes_nothing(library):
+    asked = []
+
+    def batch(texts):
+        asked.append(len(texts))
+        return [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+    texts = [f"one two{k % 7} three{k}\nfour  five {'long' * 20} {k}" for k in range(40)] + ["", "x", " lead", "\nfeed"]
+    want = batch(texts)
+    for room in (0, 2_000, 1 << 20):
+        table = PieceTable(batch, limit_bytes=room)
+        assert table.encode_many(texts) == want == table.encode_many(texts) and sum(180 + len(p) + len(b) for p, b in table.items()) <= room
+        assert all(len(p) <= 64 for p in table)
+
+
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"pre_tokenizer": None}])
+def test_other_tokenizers_are_refused(vocabulary, tmp_path, change):
+    spec = json.loads(Path(vocabulary).read_text(encoding="utf-8")) | change
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    for make in (BytePairCodec, LibraryEncoder):
+        with pytest.raises(ValueError, match="byte-level"):
+            make(str(tmp_path / "t.json"))
+
+
 def brute_file(rows, library):
     at, out = 0, []
     for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
@@ -138,18 +179,33 @@ def test_allocation(vocabulary, library, text, cuts, rule):
 
 def test_spans_cover_the_text(vocabulary, library):
     encoder = library_encoder(vocabulary)
-    for text in ("plain words, here", "é日本😀 x", "ünï\n\ncödé"):
+    for text in ("plain words, here", "é日本😀 x", "ünï\n\ncödé", "日本語の文。\n😀😀 é<|endoftext|>é"):
         starts, ends = token_spans(encoder.encode(text), text, encoder.n_bytes)
-        assert [(s, e) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)] == [tuple(o) for o in Tokenizer.from_file(vocabulary).encode(text, add_special_tokens=False).offsets] or not text.isascii()
+        assert list(zip(starts.tolist(), ends.tolist(), strict=True)) == library.encode(text, add_special_tokens=False).offsets
         assert starts[0] == 0 and ends[-1] == len(text)
 
 
-def test_op1_sums_to_documents(spark, sf, library):
-    rows = queries.op1_token_counts(spark, sf).groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.max("doc_tokens").alias("m"), F.count("*").alias("lines")).collect()
-    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    assert len(rows) == len(docs)
-    for r in rows:
-        assert r.n == r.m == len(library.encode(docs[r.doc_id], add_special_tokens=False).ids) and r.lines == len(docs[r.doc_id].splitlines())
+def brute_counts(doc, text, library):
+    """The rows of a document with its lines as sections, from the library's own offsets."""
+    encoding = library.encode(text or "", add_special_tokens=False)
+    lines, at = [], 0
+    for part in (text or "").split("\n"):
+        lines.append((at, min(at + len(part) + 1, len(text or ""))))
+        at += len(part) + 1
+    lines = [x for x in lines if x[1] > x[0]]
+    n = slow_counts(encoding.offsets, lines, "largest")
+    rows = [(doc, k, "line", *span, int(n[k]), len(encoding.ids)) for k, span in enumerate(lines)]
+    return rows if lines else [(doc, -1, None, 0, 0, 0, 0)]
+
+
+def test_op1_as_brute_force(spark, sf, library):
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    odd_docs = odd.odd(spark).where(F.length("text").isNull() | (F.length("text") < 1000))
+    for docs, out in ((table, queries.op1_token_counts(spark, sf)), (odd_docs, attribute_tokens(odd_docs, queries.vocabulary()))):
+        rows = docs.select("doc_id", "text").collect()
+        assert any(not (r.text or "").isascii() for r in rows)
+        want = [x for r in rows for x in brute_counts(r.doc_id, r.text, library)]
+        assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
 
 
 def test_fields_and_odd_rows(spark, vocabulary):
