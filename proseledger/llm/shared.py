@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..folders import shared_path, shared_root, staged, sweep
 
-__all__ = ["shared_path", "shared_root", "staged", "sweep", "text_of"]
+__all__ = ["fresh_name", "shared_path", "shared_root", "staged", "sweep", "text_of"]
 
 
 def text_of(name: str = "text") -> Column:
     """The text column with null read as the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def fresh_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` doesn't have, upper and lower case being alike."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem

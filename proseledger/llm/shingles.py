@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 WIDTH = 5
 _TO_SPACE = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
@@ -53,7 +54,30 @@ def shingles(text: str, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(substring_hashes(data, starts[:n], ends[-n:]), return_counts=True)
 
 
-SKETCH_BITS, SKETCH_ROWS, _CHUNK = 18, 2, 4096
+BANDS, _ROWS = 12, 2
+_ODD = (np.random.default_rng(5).integers(1, 1 << 63, BANDS * _ROWS, dtype=np.uint64) << _U(1)) | _U(1)
+#: A group of copies is large from this share of all rows on; rarer shingles than twice that share count as if they had it.
+LARGE = 1 / 8192
+
+
+def plain_bands(h: np.ndarray) -> np.ndarray:
+    """Keys of bands of plain minimum hashes; copies of a document have most of them in common with it."""
+    if not len(h):
+        return np.zeros(0, np.int64)
+    least = np.array([(h * k).min() for k in _ODD]).reshape(BANDS, _ROWS)
+    return mix(mix(least[:, 0] + np.arange(BANDS, dtype=np.uint64)) ^ least[:, 1]).view(np.int64)
+
+
+def large_groups(nodes: DataFrame, rows: int) -> list[int]:
+    """Band keys (of the column plain) of groups of copies of more than a share ``LARGE`` of all rows, of two rows at least.
+
+    At most ``BANDS`` / ``LARGE`` of them, whatever the input.
+    """
+    sizes = nodes.select(F.explode("plain").alias("band")).groupBy("band").agg(F.count("*").alias("n"))
+    return [r["band"] for r in sizes.where(F.col("n") > max(1, rows * LARGE)).select("band").collect()]
+
+
+SKETCH_BITS, SKETCH_ROWS, _CHUNK = 20, 2, 1 << 15
 
 
 def _cells(h: np.ndarray, row: int) -> np.ndarray:
@@ -61,44 +85,54 @@ def _cells(h: np.ndarray, row: int) -> np.ndarray:
 
 
 class Frequencies:
-    """Document frequencies of shingles from a count-mean-min sketch.
+    """Document frequencies of shingles from a sketch of 2 x 2^20 counts.
 
-    The sketch has a fixed size, so it tells frequencies above a fixed share of the corpus; rarer shingles count as
-    occurring once.
+    Of each count the mean is taken off, which is what other shingles add to it. The sketch tells frequencies from a share of
+    the corpus on; whatever is rarer counts as having that share, 2 * ``LARGE``, at every size of the corpus.
     """
 
     def __init__(self, table: np.ndarray, documents: int) -> None:
         self.documents = documents
-        mean = table.mean(1, keepdims=True)
-        self.table = np.maximum(table - mean - 4 * np.sqrt(mean), 1).astype(np.float32)
+        least = max(1.0, documents * 2 * LARGE)
+        self.table = np.maximum(np.rint(table - table.mean(1, keepdims=True)), least).astype(np.float32)
 
     def idf(self, h: np.ndarray) -> np.ndarray:
-        """Damped inverse document frequencies, from 1 (in all documents) to 1.125 (in one).
-
-        Undamped ones would let the little that tells copies apart outweigh what a large group of copies shares, since that is frequent
-        by being copied.
-        """
+        """Inverse document frequencies: log(1 + documents / frequency)."""
         df = np.minimum(*(self.table[row][_cells(h, row)] for row in range(SKETCH_ROWS)))
-        most = np.log(1 + max(self.documents, 1))
-        return 1 + np.clip(np.log((1 + self.documents) / df) / most, 0, 1).astype(np.float64) / 8
+        return np.log1p(max(self.documents, 1) / df.astype(np.float64))
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest one needs, after a byte that says how many."""
+    size = next(k for k in (1, 2, 4, 8) if int(counts.max(initial=0)) < 1 << (8 * k - (k == 8)))
+    return bytes([size]) + counts.astype(f"<u{size}").tobytes()
 
 
-def frequencies(texts: DataFrame) -> Frequencies:
-    """Of the column text, over all rows; each task sums up its own documents first."""
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+
+
+def frequencies(nodes: DataFrame, large: list[int]) -> Frequencies:
+    """Of the columns h (shingle hashes) and plain (band keys); rows of large groups of copies aren't counted, since what copies
+    share is frequent by being copied. Each task sums up its own rows first."""
     schema = "chunk int, counts binary"
+    sent = nodes.sparkSession.sparkContext.broadcast(np.array(sorted(large), "<i8").tobytes())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        skipped = frozenset(np.frombuffer(sent.value, "<i8").tolist())
         table, n = np.zeros((SKETCH_ROWS, 1 << SKETCH_BITS), np.int64), 0
         held, size = [], 0
 
         def add() -> None:
             h = np.concatenate(held)
             for row in range(SKETCH_ROWS):
-                table[row] += np.bincount(_cells(h, row), minlength=1 << SKETCH_BITS)
+                np.add.at(table[row], _cells(h, row), 1)
 
         for batch in batches:
-            for text in batch.column("text"):
-                held.append(shingles(text.as_py())[0])
+            for h, plain in zip(batch.column("h"), batch.column("plain").to_pylist(), strict=True):
+                if not skipped.isdisjoint(plain):
+                    continue
+                held.append(np.frombuffer(h.as_buffer(), "<u8"))
                 n, size = n + 1, size + len(held[-1])
                 if size > 1 << 20:
                     add()
@@ -106,20 +140,19 @@ def frequencies(texts: DataFrame) -> Frequencies:
         if held:
             add()
         parts = [np.array([n]), *table.reshape(-1, _CHUNK)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(-1, len(parts) - 1), pa.int32()), pa.array([p.astype("<i8").tobytes() for p in parts], pa.binary())], ["chunk", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(-1, len(parts) - 1), pa.int32()), pa.array([_packed(p) for p in parts], pa.binary())], ["chunk", "counts"])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}  # of the chunks dealt to this task
         for batch in batches:
             for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = np.frombuffer(counts, "<i8")
+                own = _unpacked(counts)
                 sums[chunk] = sums[chunk] + own if chunk in sums else own
-        yield pa.RecordBatch.from_arrays([pa.array([*sums], pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["chunk", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([*sums], pa.int32()), pa.array([_packed(x) for x in sums.values()], pa.binary())], ["chunk", "counts"])
 
-    rows = texts.select("text").mapInArrow(count, schema).repartition(16, "chunk").mapInArrow(total, schema)
-    found = {r["chunk"]: np.frombuffer(r["counts"], "<i8") for r in rows.collect()}  # 4 MB, whatever the input
+    rows = nodes.select("h", "plain").mapInArrow(count, schema).repartition(16, "chunk").mapInArrow(total, schema)
+    found = {r["chunk"]: _unpacked(r["counts"]) for r in rows.collect()}  # 16 MB at most, whatever the input
     if not found:
         return Frequencies(np.zeros((SKETCH_ROWS, 1 << SKETCH_BITS)), 0)
     chunks = SKETCH_ROWS * (1 << SKETCH_BITS) // _CHUNK
     return Frequencies(np.concatenate([found[k] for k in range(chunks)]).reshape(SKETCH_ROWS, -1), int(found[-1][0]))
-
