@@ -32,7 +32,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: the lineage ends there, and lost executors cost no rerun of it."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    # small row groups: each open file holds one in the heap
+    df.write.option("parquet.block.size", 32 << 20).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
