@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import staged, text_of
+from .shared import fresh_name, staged, text_of
 
 _KEY = ["_h1", "_h2"]
 
@@ -51,13 +51,19 @@ def drop_spread_lines(docs: DataFrame, min_sites: int = 10, id_col: str = "doc_i
     lines = staged(_lines(docs, id_col, text_col, site_col), "line-hashes")
     spread = spread_lines(lines, min_sites, lg_k, margin)
     place = F.struct("_id", "_text", "_pos")
-    gone = lines.join(spread, _KEY).where(~place.eqNullSafe(F.col("first"))).groupBy("_id", "_text").agg(F.collect_set("_pos").alias("_pl_gone"))
-    gone = gone.withColumnsRenamed({"_id": "_pl_gone_id", "_text": "_pl_gone_text"})
-    both = docs.join(gone, docs[id_col].eqNullSafe(F.col("_pl_gone_id")) & (F.xxhash64(text_of(text_col)) == F.col("_pl_gone_text")), "left")
+    gone = lines.join(spread, _KEY).where(~place.eqNullSafe(F.col("first"))).groupBy("_id", "_text").agg(F.array_sort(F.collect_set("_pos")).alias("gone"))
+    # which lines stay, up to the last one that goes; no line is looked for among the others, so time is linear in lines
+    before = F.concat(F.array(F.lit(-1)), F.slice("gone", 1, F.size("gone") - 1))
+    stays = F.flatten(F.zip_with(before, "gone", lambda last, this: F.concat(F.array_repeat(F.lit(True), this - last - 1), F.array(F.lit(False)))))
+    at_id, at_text, at_stays = (fresh_name(docs, stem) for stem in ("_gone_id", "_gone_text", "_stays"))
+    gone = gone.select(F.col("_id").alias(at_id), F.col("_text").alias(at_text), stays.alias(at_stays))
+    both = docs.join(gone, docs[id_col].eqNullSafe(F.col(at_id)) & (F.xxhash64(text_of(text_col)) == F.col(at_text)), "left")
     parts = F.split(text_of(text_col), "\n")
-    left = F.filter(parts, lambda _, k: ~F.array_contains("_pl_gone", k))
-    out = [docs[c] if c != text_col else F.when(F.col("_pl_gone").isNull(), text_of(text_col)).otherwise(F.array_join(left, "\n")).alias(c) for c in docs.columns]
-    extra = [F.size(parts).cast("long").alias("n_lines"), F.coalesce(F.size("_pl_gone"), F.lit(0)).cast("long").alias("n_removed")]
+    marked = F.zip_with(parts, at_stays, lambda line, stay: F.struct(line.alias("line"), F.coalesce(stay, F.lit(True)).alias("stay")))
+    left = F.transform(F.filter(marked, lambda x: x["stay"]), lambda x: x["line"])
+    out = [docs[c] if c != text_col else F.when(F.col(at_stays).isNull(), text_of(text_col)).otherwise(F.array_join(left, "\n")).alias(c) for c in docs.columns]
+    removed = F.size(F.filter(at_stays, lambda stay: ~stay))
+    extra = [F.size(parts).cast("long").alias("n_lines"), F.when(F.col(at_stays).isNull(), 0).otherwise(removed).cast("long").alias("n_removed")]
     return both.select(*out, *(extra if counts else []))
 
 

@@ -2,6 +2,7 @@ import itertools
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -232,3 +233,19 @@ def test_line_dedup_of_odd_rows(spark):
 def test_line_dedup_plan_has_no_python(spark, sf):
     plan = queries.op5_line_dedup(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_many_lines_take_linear_time(spark):
+    """100,000 lines in a document, half of which go."""
+    lines = {i: [f"shared {k}" if k % 2 else f"own {i} {k}" for k in range(100_000)] for i in (1, 2)}
+    docs = odd.table(spark, [(i, "\n".join(x), f"s{i}") for i, x in lines.items()])
+    began = time.monotonic()
+    texts = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in drop_spread_lines(docs, min_sites=2, counts=True).collect()}
+    assert time.monotonic() - began < 60
+    assert texts[1] == ("\n".join(lines[1]), 100_000, 0) and texts[2] == ("\n".join(lines[2][::2]), 100_000, 50_000)
+
+
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    docs = odd.table(spark, [(k, "same\nown %d" % k, f"s{k}") for k in range(3)]).withColumnsRenamed({"n": "_gone_id", "label": "_STAYS", "key": "_gone_text", "bucket": "gone"})
+    out = drop_spread_lines(docs, min_sites=3)
+    assert out.columns == docs.columns and sorted(r.text for r in out.collect()) == ["own 1", "own 2", "same\nown 0"]
