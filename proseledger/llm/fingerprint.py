@@ -111,25 +111,41 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def _in_ranges(rows: DataFrame, range_bytes: int, most: int) -> tuple[DataFrame, int]:
-    """``rows`` with the number of their range of ids, from the largest ids down; null ids are in the last range."""
+    """``rows`` with the number of their range of ids, from the largest ids down; null ids are in the last range.
+
+    Ids are cut finely by rows first; neighbouring parts are then put together until they hold ``range_bytes``.
+    """
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
-    ranges = int(min(most, max(8, size // range_bytes)))
-    steps = [k / ranges for k in range(1, ranges)]
-    cuts = rows.agg(F.percentile_approx("id", steps, max(10_000, 10 * ranges)).alias("c")).first()["c"]
+    range_bytes = max(range_bytes, -(-size // most))
+    parts = int(min(4 * most, max(32, 4 * size // range_bytes)))
+    cuts = rows.agg(F.percentile_approx("id", [k / parts for k in range(1, parts)], max(10_000, 10 * parts)).alias("c")).first()["c"]
     cuts = np.array(sorted(set(cuts or [])), np.int64)
 
-    @F.pandas_udf("int")
-    def number(ids: pd.Series) -> pd.Series:
-        at = len(cuts) - np.searchsorted(cuts, ids.fillna(0).to_numpy(np.int64))
-        return pd.Series(np.where(ids.isna(), len(cuts), at).astype("i4"))
+    def numbered(cuts: np.ndarray) -> DataFrame:
+        @F.pandas_udf("int")
+        def number(ids: pd.Series) -> pd.Series:
+            at = len(cuts) - np.searchsorted(cuts, ids.fillna(0).to_numpy(np.int64))
+            return pd.Series(np.where(ids.isna(), len(cuts), at).astype("i4"))
+
+        return rows.withColumn("bucket", number("id"))
 
-    return rows.withColumn("bucket", number("id")), ranges
+    # as many rows as there are parts
+    sizes = {r["bucket"]: r["b"] for r in numbered(cuts).groupBy("bucket").agg(F.sum(F.octet_length("text")).alias("b")).collect()}
+    kept, held = [], 0
+    for k in range(len(cuts)):  # the ids over cuts[-1 - k] are in the parts up to k
+        held += sizes.get(k, 0)
+        if held + sizes.get(k + 1, 0) > range_bytes:
+            kept.append(cuts[-1 - k])
+            held = 0
+    cuts = np.array(kept[::-1], np.int64)
+    return numbered(cuts), len(cuts) + 1
 
 
-def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = 16 << 20, most_ranges: int = 20_000) -> DataFrame:
+def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = 16 << 20, most_ranges: int = 100_000) -> DataFrame:
     """One row for each row of ``docs``: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    Ranges are streamed, so their size doesn't matter for memory; their number is bounded for the driver's sake.
+    Ranges are even in bytes and each is a partition of its own. They are streamed, so their size doesn't matter for memory;
+    their number is bounded for the driver's sake, so beyond 1.6 TB they grow (to 1 GB at 100 TB).
     """
     spark = docs.sparkSession
     rows, ranges = _in_ranges(docs.select(docs[id_col].cast("long").alias("id"), text_of(text_col).alias("text")), range_bytes, most_ranges)
@@ -139,7 +155,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     tops_table = F.broadcast(spark.createDataFrame(before, "top long, receiver int"))
     guests = rows.join(tops_table, F.col("id").eqNullSafe(F.col("top"))).groupBy("receiver").agg(F.max("id").alias("id"), F.min("text").alias("text"))
     both = rows.withColumn("guest", F.lit(0)).unionByName(guests.withColumn("guest", F.lit(1)).withColumnRenamed("receiver", "bucket"))
-    ordered = both.repartition(ranges, "bucket").sortWithinPartitions("bucket", "guest", F.col("id").desc_nulls_last(), "text")
+    ordered = both.repartitionById(ranges, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "guest", F.col("id").desc_nulls_last(), "text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # range, id, text, fingerprint, parser after the part that stays, that part

@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from proseledger.llm import queries
-from proseledger.llm.fingerprint import PhraseParser, compare_with_next, edited_text, fingerprint, fingerprint_documents, likeness
+from proseledger.llm.fingerprint import PhraseParser, _in_ranges, compare_with_next, edited_text, fingerprint, fingerprint_documents, likeness
 from proseledger.llm.license_rules import BASE, ROOTS, pattern, rules
 from proseledger.llm.license_scan import WORD, scan
 from proseledger.llm.sharding import pack, shard
@@ -148,6 +148,23 @@ def test_fingerprints_as_brute_force(spark, sf):
     assert fingerprint_documents(odd.odd(spark)).where(F.col("fingerprint") == "").count() == 2
 
 
+def test_ranges_of_equal_ids_and_uneven_bytes(spark):
+    """Many rows of one id, and ids whose texts are far larger than the others'."""
+    rng = random.Random(6)
+    rows = [(7, f"equal {k} " + "x" * (k % 50)) for k in range(300)] + [(k, "y" * (20_000 if k % 97 == 0 else rng.randint(0, 90))) for k in range(1000)]
+    docs = odd.table(spark, rows).repartition(3)
+    ranged, n = _in_ranges(docs.select(F.col("doc_id").alias("id"), "text"), 20_000, 1000)
+    sizes = ranged.groupBy("bucket").agg(F.sum(F.octet_length("text")).alias("b"), F.min("id").alias("low"), F.max("id").alias("high")).orderBy("bucket").collect()
+    assert n >= 8 and all(a.low > b.high for a, b in zip(sizes, sizes[1:], strict=False)) and max(r.b for r in sizes) < 50_000
+    got = compare_with_next(docs, range_bytes=20_000).select("doc_id", "n_chars", "edited_sha256", "fingerprint").collect()
+    ordered = sorted(rows, key=lambda r: (-r[0], r[1]))
+    want = []
+    for k, (i, t) in enumerate(ordered):
+        new = "".join(edited_text(t, ordered[(k + 1) % len(ordered)][1]))
+        want.append((i, len(t), hashlib.sha256(new.encode()).hexdigest(), fingerprint(t)))
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_packing_balances_all_resources():
     rng = np.random.default_rng(5)
     items = np.stack([rng.lognormal(6, 1, 3000), rng.lognormal(4, 1, 3000), np.ones(3000)], 1)
