@@ -11,7 +11,7 @@ documents); every document is compared with all of them in blocks of exact cosin
 vote with their labels, weighted by similarity. Neither labels, language, source nor ids enter a score.
 
 Cases: a null text counts as empty; an empty text has no direction and gets the share of good labels; of equally near
-neighbours those with the smaller document id vote; null labels and labels of unknown documents are left out; without
+neighbours (to a ten-thousandth) those with the smaller document id vote, so a score doesn't depend on the rows that are scored with it; null labels and labels of unknown documents are left out; without
 any label the score is 0.5; repeated rows give repeated results; further columns are not carried.
 """
 
@@ -28,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_of
+from .shared import fresh_name, text_of
 
 #: Marks with a class of their own; the rest of the classes are letters, capitals, digits, other ASCII and UTF-8 bytes.
 _OWN_CLASS = (" ", "\n", ".", ",", "!", "|", "%#$&*@", "<>{}[]=;", "-_'\"()")
 _REPEATS = 8
+_GRID = 10_000  # similarities are told apart by a ten-thousandth
 #: Patterns come first, then the buckets of words, then those of pairs of words.
 _PATTERNS, _WORD_BITS, _PAIR_BITS = 4096 + 256 + 2 * _REPEATS, 16, 15
 DIMENSIONS = _PATTERNS + (1 << _WORD_BITS) + (1 << _PAIR_BITS)
@@ -129,9 +130,12 @@ class NeighbourVote:
         out = np.empty(len(counts))
         k = min(self.neighbours, len(self.labels))
         for at in range(0, len(counts), 256):
-            near = vectors[at : at + 256] @ self.vectors.T
-            top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-            weight = np.maximum(np.take_along_axis(near, top, 1), 0).astype(float) ** 2
+            # rounded, so that a product's last bits, which depend on the other rows of a block, decide nothing
+            near = np.rint((vectors[at : at + 256] @ self.vectors.T) * _GRID).astype(np.int64)
+            # of equally near ones the first, which has the smaller id, ranks higher; the ranks of a row are all different
+            rank = near * len(self.labels) - np.arange(len(self.labels))
+            top = np.sort(np.argpartition(-rank, k - 1, axis=1)[:, :k], axis=1)
+            weight = (np.maximum(np.take_along_axis(near, top, 1), 0) / _GRID) ** 2
             total = weight.sum(1)
             out[at : at + 256] = np.where(total > 1e-9, (weight * self.labels[top]).sum(1) / np.maximum(total, 1e-9), self.prior)
         return np.clip(out, 0, 1)
@@ -209,11 +213,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return model
 
 
-def score_documents(docs: DataFrame, model: NeighbourVote, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """One row for each row of ``docs``: id and score, or the columns ``keep`` and _score. No shuffle."""
+def score_documents(docs: DataFrame, model: NeighbourVote, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of ``docs``: id and score. No shuffle."""
+    return _scored(docs, model, [id_col], text_col, "score")
+
+
+def keep_from(docs: DataFrame, model: NeighbourVote, cut: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score ``cut`` or more, with all their columns, whatever their names. No shuffle."""
+    score = fresh_name(docs, "_score")
+    return _scored(docs, model, docs.columns, text_col, score).where(F.col(score) >= cut).drop(score)
+
+
+def _scored(docs: DataFrame, model: NeighbourVote, kept: list[str], text_col: str, score: str) -> DataFrame:
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(pickle.dumps(model))
-    kept = [id_col] if keep is None else keep
     rows = docs.select(*(docs[c].alias(f"k{n}") for n, c in enumerate(kept)), *([] if text_col in kept else [text_of(text_col).alias("text")]))
     kinds = [f"k{n} {rows.schema[f'k{n}'].dataType.simpleString()}" for n in range(len(kept))]
     at_text = kept.index(text_col) if text_col in kept else len(kept)
@@ -224,8 +237,7 @@ def score_documents(docs: DataFrame, model: NeighbourVote, id_col: str = "doc_id
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 scores = fitted.score([terms(t.as_py() or "") for t in part.column(at_text)])
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(scores)], [*part.schema.names[: len(kept)], "_pl_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(scores)], [*part.schema.names[: len(kept)], "score"])
 
-    scored = rows.mapInArrow(vote, ", ".join([*kinds, "_pl_score double"]))
-    names = {f"k{n}": c for n, c in enumerate(kept)}
-    return scored.select(*(F.col(k).alias(c) for k, c in names.items()), F.col("_pl_score").alias("score" if keep is None else "_pl_score"))
+    scored = rows.mapInArrow(vote, ", ".join([*kinds, "score double"]))
+    return scored.select(*(F.col(f"k{n}").alias(c) for n, c in enumerate(kept)), F.col("score").alias(score))

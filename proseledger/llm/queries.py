@@ -42,17 +42,22 @@ def _quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Neighbo
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents whose quality score is at the cut or above, with all their columns."""
-    from .quality import score_documents
+    """The documents whose quality score is at the cut or above, with all their columns.
+
+    Null and empty texts score the share of good labels, so they stay unless most labelled documents are bad.
+    """
+    from .quality import keep_from
 
-    scored = score_documents(docs, _quality_model(spark, docs, sf_dir), keep=docs.columns)
-    return scored.where(F.col("_pl_score") >= QUALITY_CUT).select(*docs.columns)
+    return keep_from(docs, _quality_model(spark, docs, sf_dir), QUALITY_CUT)
 
 
 def without_spread_lines(docs: DataFrame) -> DataFrame:
-    """The documents without lines that many sources share, each with the number of characters it then has."""
+    """The documents without lines that many sources share, each with the number of characters it then has, if there is a column n_chars.
+
+    Null texts become empty ones; a document that loses all lines stays.
+    """
     left = line_dedup.drop_spread_lines(docs, min_sites=MIN_SITES)
-    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

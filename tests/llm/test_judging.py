@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import odd
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from proseledger.llm import queries
 from proseledger.llm.decontaminate import ItemIndex, drop_contaminated, find_items, overlap, question_and_answer, words_of
-from proseledger.llm.quality import NeighbourVote, features, fit, score_documents
+from proseledger.llm.quality import NeighbourVote, features, fit, keep_from, score_documents, terms
 
 
 def test_op8_on_held_out_rows(spark, sf):
@@ -35,6 +36,49 @@ def test_votes_are_exact():
     assert NeighbourVote(model.idf, model.axes, model.vectors[:0], np.zeros(0), 0.5).score(counts[:3]).tolist() == [0.5] * 3
 
 
+def test_ties_go_to_the_smaller_id_in_any_batch():
+    rng = np.random.default_rng(1)
+    vectors = rng.standard_normal((40, 8)).astype(np.float32)
+    model = NeighbourVote(np.ones(8, np.float32), np.eye(8, dtype=np.float32), np.zeros((0, 8)), np.tile([1.0, 0.0, 0.0, 1.0], 300), 0.5, 25)
+    model.vectors = model.project(np.repeat(vectors[:4], 300, 0))
+    together = model.score(vectors)
+    assert [model.score(vectors[k : k + 1])[0] for k in range(40)] == together.tolist()
+    assert together[:4].tolist() == [13 / 25] * 4  # of 300 equal neighbours the first 25 vote
+
+
+def slow_quality(docs, labels, cut=0.3):
+    """The query by plain loops and a full decomposition, from the texts and labels; the terms of a text are the operator's."""
+    terms_of = {i: terms(t or "") for i, t in docs}
+    df = Counter(n for number, _ in terms_of.values() for n in number.tolist())
+    idf = lambda n: np.float32(np.log((1 + len(docs)) / (1 + df[n])) + 0.1)
+    used = sorted(df)
+    place = {n: k for k, n in enumerate(used)}
+    matrix = {i: np.zeros(len(used)) for i in terms_of}
+    for i, (number, value) in terms_of.items():
+        for n, v in zip(number.tolist(), value.tolist(), strict=True):
+            matrix[i][place[n]] = v * idf(n)
+    known = sorted(i for i in labels if i in matrix)
+    axes = np.linalg.svd(np.stack([matrix[i] for i in known]), full_matrices=False)[2][:48].T
+    flat = {i: x @ axes for i, x in matrix.items()}
+    unit = {i: x / np.linalg.norm(x) if np.linalg.norm(x) > 1e-9 else x for i, x in flat.items()}
+    out = {}
+    for i, x in unit.items():
+        near = sorted(((-round(float(x @ unit[j]) * 10_000), j) for j in known))[:25]
+        weight = [(max(0, -s) / 10_000) ** 2 for s, _ in near]
+        out[i] = sum(w * (labels[j] > 0) for w, (_, j) in zip(weight, near, strict=True)) / sum(weight) if sum(weight) else np.mean([labels[j] > 0 for j in known])
+    return out
+
+
+def test_op8_as_brute_force(spark, sf):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.quality is not None and zlib.crc32(str(r.doc_id).encode()) % 5}
+    want = slow_quality(docs, labels)
+    got = {r.doc_id: r.score for r in queries.op8_quality(spark, sf).collect()}
+    off = [abs(got[i] - want[i]) for i in want]
+    # the axes come from an iteration, so neighbours that are nearly as near may change places
+    assert got.keys() == want.keys() and np.quantile(off, 0.9) < 0.02 and max(off) < 0.15
+
+
 def test_quality_of_odd_rows(spark):
     docs = odd.odd(spark)
     labels = spark.createDataFrame([(4, 1), (4, 1), (7, 0), (9, None), (77, 1), (None, 1), (3, 0)], "doc_id long, quality int")
@@ -42,8 +86,9 @@ def test_quality_of_odd_rows(spark):
     assert len(model.labels) == 3
     rows = score_documents(docs, model).collect()
     assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows)
-    kept = score_documents(docs, model, keep=docs.columns)
-    assert kept.columns == [*docs.columns, "_pl_score"] and kept.drop("_pl_score").exceptAll(docs).count() == 0
+    docs = docs.withColumnsRenamed({"score": "_SCORE", "key": "k1", "n": "_score_"})
+    kept = keep_from(docs, model, 0.5)
+    assert kept.columns == docs.columns and kept.exceptAll(docs).count() == 0 and kept.count() == sum(r.score >= 0.5 for r in rows)
     assert score_documents(odd.empty(spark), fit(odd.empty(spark), labels)).count() == 0
     assert {r.score for r in score_documents(docs, fit(docs, labels.where("1 = 0"))).collect()} == {0.5}
     assert not features("").any() and len(features("x")) == len(features(odd.LONG))
