@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import odd
+import pytest
 from pyspark.sql import functions as F
 
 from proseledger.llm import queries
@@ -150,6 +151,33 @@ def test_items_in_parts_are_all_found(spark):
     assert [r.doc_id for r in drop_contaminated(docs, bench, index_items=7).collect()] == [99]
 
 
+@pytest.mark.parametrize("index_items", [5, 17])
+def test_a_split_index_gives_the_same_rows(spark, index_items):
+    """Items that are held in part, with common words, so that statistics of a part of the items would retrieve others."""
+    rows, items = made(random.Random(12), n_items=50, n_docs=120)
+    docs, bench = odd.table(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    found = lambda **options: sorted((r.doc_id, r.item_id, round(r.score, 9), r.question_overlap, r.answer_overlap) for r in find_items(docs, bench, share=0.97, question=0.2, answer=0.2, **options).collect())
+    whole = found()
+    assert 10 < len(whole) < find_items(docs, bench, question=0.2, answer=0.2).count() and found(index_items=index_items) == whole
+    kept = lambda **options: sorted(r.doc_id for r in drop_contaminated(docs, bench, share=0.97, question=0.2, answer=0.2, **options).collect())
+    assert kept(index_items=index_items) == kept() and len(kept()) < 120
+
+
+def test_walk_as_brute_force():
+    """All items at the threshold and their scores, for passages of random terms."""
+    rng = random.Random(2)
+    words = [f"w{k}" for k in range(40)]
+    index = ItemIndex([(k, " ".join(rng.choices(words, k=rng.randint(1, 15)))) for k in range(100)], 0.6, block_items=4)
+    at, number, impact = index.items
+    for _ in range(300):
+        terms = sorted(rng.sample(range(1, len(index.vocabulary) + 1), rng.randint(0, 25)))
+        scores = np.zeros(100)
+        for t in terms:
+            scores[number[at[t] : at[t + 1]]] += impact[at[t] : at[t + 1]]
+        want = {k: round(s, 9) for k, s in enumerate(scores) if s >= 1 - 1e-9}
+        assert {k: round(s, 9) for k, s in index.walk(terms)} == want
+
+
 def test_odd_rows_and_empty_tables(spark):
     bench = spark.createDataFrame([(1, odd.COPY), (2, odd.COPY), (None, "x"), (3, None)], "item_id long, text string")
     hits = sorted((r.doc_id, r.item_id) for r in find_items(odd.odd(spark), bench).collect())
