@@ -54,12 +54,16 @@ class OnnxScorer:
     """A model in ONNX files on every machine, named and pinned by a manifest.
 
     The manifest is JSON: model_id, and files with path, sha256 and bytes; "model" and "tokenizer" name two of them. Files are
-    checked before any job and nothing is downloaded. Texts longer than ``max_tokens`` raise, rather than being cut.
+    checked before any job and nothing is downloaded. Texts longer than ``max_tokens`` are never cut: with ``overlong="null"``
+    they get no score (not a number, which becomes null) and the others of their batch do; with "raise" they end the job.
     """
 
     rule = "breakdown"
 
-    def __init__(self, manifest: str, max_tokens: int = 512) -> None:
+    def __init__(self, manifest: str, max_tokens: int = 512, overlong: str = "null") -> None:
+        if overlong not in ("null", "raise"):
+            raise ValueError("overlong must be null or raise")
+        self.overlong = overlong
         self.folder, self.max_tokens = Path(manifest).parent, max_tokens
         self.manifest = verified_manifest(manifest)
         self.model_id = self.manifest["model_id"]
@@ -82,16 +86,20 @@ class OnnxScorer:
             self._loaded = model, Tokenizer.from_file(str(self.folder / self.manifest["tokenizer"]))
         model, tokenizer = self._loaded
         encoded = [e.ids for e in tokenizer.encode_batch(texts)]
-        if max(map(len, encoded), default=0) > self.max_tokens:
+        fits = [k for k, x in enumerate(encoded) if len(x) <= self.max_tokens]
+        if len(fits) < len(encoded) and self.overlong == "raise":
             raise ValueError(f"a text has more than {self.max_tokens} tokens; cut it into paragraphs first")
-        longest = max(map(len, encoded), default=1)
-        ids, mask = np.zeros((len(texts), longest), np.int64), np.zeros((len(texts), longest), np.int64)
-        for row, x in enumerate(encoded):
-            ids[row, : len(x)], mask[row, : len(x)] = x, 1
-        logits = model.run(None, {"input_ids": ids, "attention_mask": mask})[0]
-        parts = np.exp(logits - logits.max(1, keepdims=True))
-        parts /= parts.sum(1, keepdims=True)
-        return parts @ np.arange(4) / 3, parts
+        score, parts = np.full(len(texts), np.nan), np.full((len(texts), 4), np.nan)
+        if fits:
+            longest = max(1, *(len(encoded[k]) for k in fits))
+            ids, mask = np.zeros((len(fits), longest), np.int64), np.zeros((len(fits), longest), np.int64)
+            for row, k in enumerate(fits):
+                ids[row, : len(encoded[k])], mask[row, : len(encoded[k])] = encoded[k], 1
+            logits = model.run(None, {"input_ids": ids, "attention_mask": mask})[0]
+            shares = np.exp(logits - logits.max(1, keepdims=True))
+            parts[fits] = shares / shares.sum(1, keepdims=True)
+            score[fits] = parts[fits] @ np.arange(4) / 3
+        return score, parts
 
 
 def verified_manifest(path: str) -> dict:
@@ -115,8 +123,9 @@ def score_texts(texts: DataFrame, scorer: Scorer) -> DataFrame:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 score, parts = scorer.batch(part.column("text").to_pylist())
-                breakdown = pa.StructArray.from_arrays([pa.array(parts[:, k]) for k in range(4)], names=list(PARTS))
-                yield pa.RecordBatch.from_arrays([part.column("text_sha256"), pa.array(score.astype(float)), breakdown], ["text_sha256", "score", "breakdown"])
+                none = np.isnan(score)
+                breakdown = pa.StructArray.from_arrays([pa.array(parts[:, k]) for k in range(4)], names=list(PARTS), mask=pa.array(none))
+                yield pa.RecordBatch.from_arrays([part.column("text_sha256"), pa.array(score.astype(float), mask=none), breakdown], ["text_sha256", "score", "breakdown"])
 
     # texts of like length share a batch
     dealt = texts.select("text_sha256", "text").repartition("text_sha256").sortWithinPartitions(F.length("text"))
@@ -124,7 +133,9 @@ def score_texts(texts: DataFrame, scorer: Scorer) -> DataFrame:
 
 
 def score_paragraphs(paragraphs: DataFrame, scorer: Scorer, cache: DataFrame | None = None) -> DataFrame:
-    """Paragraphs with text_sha256, model_id, score, breakdown, klass and chip.
+    """Paragraphs with text_sha256, model_id, score, breakdown, klass, chip and reason.
+
+    A paragraph that the model can't score has null in all but text_sha256 and model_id, and a reason, which is null for all others.
 
     A scorer that is an expression is one: no shuffle, no Python. Otherwise each distinct text that the cache doesn't
     hold is scored once, and scores are joined back by hash.
@@ -143,7 +154,9 @@ def score_paragraphs(paragraphs: DataFrame, scorer: Scorer, cache: DataFrame | N
             fresh = score_texts(misses, scorer)
         rows = rows.join(hits.unionByName(fresh), "text_sha256")
     klass = class_by_score(F.col("score")) if scorer.rule == "score" else class_by_breakdown(F.col("breakdown"))
-    return rows.withColumns({"klass": klass, "chip": chip(F.col("score"))})
+    known = F.col("score").isNotNull()
+    reason = F.when(~known, "longer than the model takes")
+    return rows.withColumns({"klass": F.when(known, klass), "chip": F.when(known, chip(F.col("score"))), "reason": reason})
 
 
 SCORERS = {"stub": HashStubScorer, "onnx": OnnxScorer}

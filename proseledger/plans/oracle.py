@@ -16,11 +16,18 @@ def _plain(x: str) -> str:
     out = f"regexp_replace(regexp_replace({x}, {_quote(T.LINE_BREAK)}, ' ', 'g'), {_quote(T.TAG)}, '', 'g')"
     for entity, mark in T.ENTITIES:
         out = f"replace({out}, {_quote(entity)}, {_quote(mark)})"
+    digits = "split_part(e, ';', 1)"
+    code = f"(CASE WHEN lower(substr({digits}, 1, 1)) = 'x' THEN '0x' || substr({digits}, 2) ELSE {digits} END)::BIGINT"
+    sound = " OR ".join(f"{code} BETWEEN {low} AND {high}" for low, high in T.CODE_POINTS)
+    mark = f"CASE WHEN {code} = 38 THEN '&amp;' ELSE chr({code}::INT) END"
+    decoded = f"CASE WHEN k = 1 THEN e WHEN CASE WHEN regexp_matches(e, {_quote(T.NUMERIC)}) THEN {sound} ELSE false END THEN {mark} || substr(e, length({digits}) + 2) ELSE '&#' || e END"
+    out = f"replace(array_to_string(list_transform(string_split({out}, '&#'), lambda e, k: {decoded}), ''), '&amp;', '&')"
     return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
 
 
 def _pages(headings: bool = False) -> str:
-    body = f"regexp_extract(regexp_replace(coalesce(html, ''), {_quote(T.SCRIPTS)}, '', 'g'), {_quote(T.ARTICLE)}, 1)"
+    page = f"regexp_replace(coalesce(html, ''), {_quote(T.SCRIPTS)}, '', 'g')"
+    body = f"CASE WHEN regexp_matches({page}, {_quote(T.ARTICLE_START)}) THEN array_to_string(regexp_extract_all({page}, {_quote(T.ARTICLE)}, 1), '<p>') ELSE regexp_extract({page}, {_quote(T.BODY)}, 1) END"
     if not headings:
         body = f"regexp_replace({body}, {_quote(T.HEADINGS)}, '<p>', 'g')"
     parts = f"list_filter(list_transform(string_split_regex({body}, {_quote(T.PARAGRAPH_BREAK)}), lambda x: {_plain('x')}), lambda x: x <> '')"
@@ -53,6 +60,11 @@ def _score(paragraphs: str) -> str:
     )
 
 
+_PDF = _DOCUMENTS.replace("'document' AS", "'pdf' AS").replace(", lang, unnest", ", 'en' AS lang, unnest").replace("SELECT doc_id, lang,", "SELECT doc_id,")
+_EXPORTED = (
+    f"SELECT 'export' AS source_kind, 'd' || source_id || '.txt' AS source, seq, 'en' AS lang, text FROM ({_DOCUMENTS}) UNION ALL "
+    f"SELECT 'export' AS source_kind, 'p' || source_id || '.html' AS source, seq, CASE WHEN lang = '' THEN 'en' ELSE lang END AS lang, text FROM ({_pages()})"
+)
 _SCORED, _SCORED_DOCUMENTS = _score(_pages()), _score(_DOCUMENTS)
 _ROUNDED = "source_kind, source_id, seq, text_sha256, model_id, round(score, 9) AS score, round(human, 9) AS human, round(light, 9) AS light, round(heavy, 9) AS heavy, round(ai, 9) AS ai, klass, chip"
 _COUNT = "SELECT source_id, count(*) AS n_analyzed, count(*) FILTER (klass = 3) AS n_ai, round(count(*) FILTER (klass = 3) / count(*), 9) AS ai_share FROM ({}) GROUP BY 1"
@@ -82,6 +94,10 @@ ORACLE_SQL: dict[str, str] = {
     "document_ai_count": _COUNT.format(_SCORED_DOCUMENTS),
     "top_paragraphs": f"SELECT source_id, seq, rank, chip FROM (SELECT source_id, seq, chip, (row_number() OVER (PARTITION BY source_id ORDER BY score DESC, seq))::INT AS rank FROM ({_SCORED})) WHERE rank <= 3",
     "site_summary": f"SELECT {_HOST} AS host, count(DISTINCT page_id) AS n_pages, count(*) AS n_analyzed, count(*) FILTER (klass = 3) AS n_ai FROM ({_SCORED}) JOIN pages ON page_id = source_id GROUP BY 1",
+    "mixed_ai_count": _COUNT.format(f"SELECT * FROM ({_SCORED}) UNION ALL SELECT * FROM ({_SCORED_DOCUMENTS})").replace("SELECT source_id", "SELECT source_kind, source_id").replace("GROUP BY 1", "GROUP BY ALL"),
+    "pdf_ai_count": _COUNT.format(_score(_PDF)),
+    "exported_paragraphs": f"SELECT source, seq, lang, text FROM ({_EXPORTED})",
+    "exported_ai_count": _COUNT.format(_score(_EXPORTED)).replace("source_id", "source"),
     "corpus_report": f"SELECT source_kind, klass, count(*) AS n, round(avg(score), 6) AS mean_score FROM (SELECT source_kind, klass, score FROM ({_SCORED}) UNION ALL SELECT source_kind, klass, score FROM ({_SCORED_DOCUMENTS})) GROUP BY ROLLUP (source_kind, klass)",
     "class_columns": f"SELECT source_id, count(*) FILTER (klass = 0) AS n_human, count(*) FILTER (klass = 1) AS n_light, count(*) FILTER (klass = 2) AS n_heavy, count(*) FILTER (klass = 3) AS n_ai FROM ({_SCORED}) GROUP BY 1",
     "dedup_ratio": f"SELECT count(*) AS n, count(DISTINCT text_sha256) AS n_distinct FROM ({_SCORED})",

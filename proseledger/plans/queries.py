@@ -15,7 +15,8 @@ from ..operators import report
 from ..operators.filters import admitted, analyzable, granted
 from ..operators.scoring import HashStubScorer, score_paragraphs, scorer
 from ..operators.segment import document_paragraphs, page_paragraphs
-from ..sources.tables import table
+from ..sources.pdf import StubPdfParser, parsed_pdfs, stub_pdf
+from ..sources.tables import as_documents, table
 from ..streaming.pages import page_summaries
 
 #: The single page that is analyzed without a grant.
@@ -112,7 +113,7 @@ def chips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only the two upper classes, without the four parts."""
-    return report.marks(_scored(spark, sf_dir), show=(2, 3), breakdown=False).withColumn("klass", F.col("klass").cast("int"))
+    return report.marks(_scored(spark, sf_dir), show=(2, 3), breakdown=False).drop("source_kind").withColumn("klass", F.col("klass").cast("int"))
 
 
 def page_ai_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,16 +126,47 @@ def page_ai_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.page_report(_scored(spark, sf_dir))
+    return report.page_report(_scored(spark, sf_dir)).drop("source_kind")
 
 
 def document_ai_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.page_summary(_scored_documents(spark, sf_dir)).select("source_id", "n_analyzed", "n_ai", F.round("ai_share", 9).alias("ai_share"))
 
 
+def _counts(scored: DataFrame, *names: str) -> DataFrame:
+    return report.page_summary(scored).select(*names, "n_analyzed", "n_ai", F.round("ai_share", 9).alias("ai_share"))
+
+
+def mixed_ai_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages and documents in one table: a page and a document of the same number are two."""
+    return _counts(_scored(spark, sf_dir).unionByName(_scored_documents(spark, sf_dir)), "source_kind", "source_id")
+
+
+def pdf_ai_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a PDF file that the stub parser reads."""
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), stub_pdf(F.col("text")).alias("content"))
+    paragraphs = document_paragraphs(parsed_pdfs(files, StubPdfParser()).withColumnRenamed("path", "doc_id"), "pdf")
+    return _counts(score_paragraphs(analyzable(paragraphs), scorer("stub")), "source_id")
+
+
+def _exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and pages as the files that they would be exported to."""
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id", F.lit(".txt")).alias("path"), F.col("text").alias("value"))
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), "page_id", F.lit(".html")).alias("path"), F.col("html").alias("value"))
+    return document_paragraphs(as_documents(docs.unionByName(pages)).drop("doc_id").withColumnRenamed("source", "doc_id"), "export")
+
+
+def exported_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _exported(spark, sf_dir).select(F.col("source_id").alias("source"), "seq", "lang", "text")
+
+
+def exported_ai_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counts(score_paragraphs(analyzable(_exported(spark, sf_dir)), scorer("stub")), "source_id").withColumnRenamed("source_id", "source")
+
+
 def top_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three highest scores of each page."""
-    best = Window.partitionBy("source_id").orderBy(F.desc("score"), "seq")
+    best = Window.partitionBy("source_kind", "source_id").orderBy(F.desc("score"), "seq")
     return _scored(spark, sf_dir).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= 3).select("source_id", "seq", "rank", "chip")
 
 
@@ -210,6 +242,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "page_ai_list": page_ai_list,
     "page_report": page_report,
     "document_ai_count": document_ai_count,
+    "mixed_ai_count": mixed_ai_count,
+    "pdf_ai_count": pdf_ai_count,
+    "exported_paragraphs": exported_paragraphs,
+    "exported_ai_count": exported_ai_count,
     "top_paragraphs": top_paragraphs,
     "site_summary": site_summary,
     "corpus_report": corpus_report,

@@ -10,7 +10,7 @@ from ..operators.filters import analyzable
 from ..operators.report import page_summary
 from ..operators.scoring import Scorer, score_paragraphs
 from ..operators.segment import page_paragraphs
-from ..schemas import PAGES
+from ..schemas import PAGES, SUMMARY
 
 
 def page_summaries(spark: SparkSession, source: str, scorer: Scorer, sink: str | None = None, checkpoint: str | None = None, files_per_batch: int = 1000) -> DataFrame:
@@ -23,8 +23,10 @@ def page_summaries(spark: SparkSession, source: str, scorer: Scorer, sink: str |
 
     def write(pages: DataFrame, batch: int) -> None:
         scored = score_paragraphs(analyzable(page_paragraphs(pages)), scorer)
-        page_summary(scored).drop("ai_paragraphs").write.mode("overwrite").parquet(f"{sink}/batch={batch}")
+        page_summary(scored).drop("source_kind", "ai_paragraphs").write.mode("overwrite").parquet(f"{sink}/batch={batch}")
 
+    # so that there is something to read if no page ever arrives
+    spark.createDataFrame([], SUMMARY).write.mode("overwrite").parquet(f"{sink}/batch=-1")
     pages = spark.readStream.schema(PAGES).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(sink).select("source_id", "n_analyzed", "n_ai", F.col("ai_share"))
+    return spark.read.schema(f"{SUMMARY}, batch int").parquet(sink).select("source_id", "n_analyzed", "n_ai", F.col("ai_share"))

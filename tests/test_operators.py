@@ -1,13 +1,16 @@
 import hashlib
 import json
+import struct
+from pathlib import Path
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from proseledger.functions.marks import chip, class_by_breakdown, class_by_score
-from proseledger.functions.text import article_paragraphs, line_paragraphs
+from proseledger.functions.text import article_paragraphs, line_paragraphs, page_language
 from proseledger.operators import cache
 from proseledger.operators.filters import admitted, analyzable
 from proseledger.operators.report import page_report, page_summary
@@ -43,12 +46,120 @@ def test_classes(spark):
         ('<script>var t="</p>";</script><article><h1>Head</h1><p>a<br>b<p>c</article>', ["a b", "c"]),
         ("<article><P class=x>A &amp;lt; B &quot;C&quot;</P><pre>code</pre></article>", ['A &lt; B "C"', "code"]),
         ("<article><p>  </p></article>", []),
+        ("<html><body class='x'><p>no article</p><p>two</body></html>", ["no article", "two"]),
+        ("<body><nav>x</nav><article><p>one</p></article><aside>no</aside><article id=2>two<p>three</article></body>", ["one", "two", "three"]),
+        ("<article><p>unclosed", ["unclosed"]),
+        ("<articles>x</articles><body>b</body>", ["b"]),
+        ("<article>It&#39;s &#x2014; &mdash;&hellip; &#128512; &#xD800; &#0; &#9999999; &#; &#38;lt; &amp;#39; &#38;amp; &apos;</article>", ["It's — —… 😀 &#xD800; &#0; &#9999999; &#; &lt; &#39; &amp; '"]),
     ],
 )
 def test_article(spark, html, paragraphs):
     assert one(spark, article_paragraphs, html) == paragraphs
 
 
+@pytest.mark.parametrize(("html", "lang"), [('<html lang="en">', "en"), ("<html lang='DE-at'>", "de"), ("<html dir=ltr lang=fr>", "fr"), ("<html>", ""), ("<html data-lang='x' lang = 'es'>", "es")])
+def test_language(spark, html, lang):
+    assert one(spark, page_language, html) == lang
+
+
+def test_pages_and_documents_of_one_number_are_two(spark):
+    rows = spark.createDataFrame([(kind, 5, k, "en", f"{kind} text {k}") for kind in ("page", "document") for k in range(3)], "source_kind string, source_id long, seq int, lang string, text string")
+    scored = score_paragraphs(rows, scorer("stub"))
+    assert sorted((r.source_kind, r.n_analyzed) for r in page_summary(scored).collect()) == [("document", 3), ("page", 3)]
+    assert page_report(scored).count() == 2
+
+
+def test_stream_of_no_files(spark, tmp_path):
+    from proseledger.streaming.pages import page_summaries
+
+    (tmp_path / "in").mkdir()
+    out = page_summaries(spark, str(tmp_path / "in"), scorer("stub"), str(tmp_path / "out"), str(tmp_path / "state"))
+    assert out.columns == ["source_id", "n_analyzed", "n_ai", "ai_share"] and out.count() == 0
+
+
+def field(number, value):
+    """A field of a protocol buffer: whole numbers, texts, bytes and single floats' bytes."""
+    varint = lambda n: bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    data = value.encode() if isinstance(value, str) else value
+    return varint(number << 3 | 2) + varint(len(data)) + data
+
+
+def tiny_model(weights):
+    """An ONNX file: the mean of the ids, times four weights."""
+    node = lambda kind, given, out, *attributes: field(1, b"".join(field(1, g) for g in given) + field(2, out) + field(4, kind) + b"".join(field(5, a) for a in attributes))
+    typed = lambda name, kind, dims: field(1, name) + field(2, field(1, field(1, kind) + field(2, b"".join(field(1, field(2, d)) for d in dims))))
+    to_float = field(1, "to") + field(3, 1) + field(20, 2)
+    axes = field(1, "axes") + field(8, 1) + field(20, 7)
+    weight = field(1, 1) + field(1, 4) + field(2, 1) + field(8, "w") + field(9, struct.pack("<4f", *weights))
+    nodes = node("Cast", ["input_ids"], "x", to_float) + node("ReduceMean", ["x"], "m", axes) + node("MatMul", ["m", "w"], "logits")
+    graph = nodes + field(2, "g") + field(5, weight) + field(11, typed("input_ids", 7, ["b", "n"])) + field(11, typed("attention_mask", 7, ["b", "n"])) + field(12, typed("logits", 1, ["b", "four"]))
+    return field(1, 8) + field(7, graph) + field(8, field(2, 13))
+
+
+@pytest.fixture
+def model_folder(tmp_path):
+    import public_tokenizers
+
+    (tmp_path / "m.onnx").write_bytes(tiny_model([0.0, 1e-4, 2e-4, 3e-4]))
+    vocabulary = Path(public_tokenizers.path("byte_bpe_50k.json"))
+    files = [{"path": str(p), "bytes": p.stat().st_size, "sha256": hashlib.sha256(p.read_bytes()).hexdigest()} for p in (tmp_path / "m.onnx", vocabulary)]
+    (tmp_path / "manifest.json").write_text(json.dumps({"model_id": "tiny", "model": "m.onnx", "tokenizer": str(vocabulary), "files": files}))
+    return tmp_path
+
+
+def test_a_model_scores_paragraphs(spark, model_folder):
+    """Through a real model file, with a paragraph that is too long for it."""
+    from tokenizers import Tokenizer
+
+    model = scorer("onnx", manifest=str(model_folder / "manifest.json"), max_tokens=20)
+    texts = ["one short text", "another, of some more words", "word " * 50, "one short text", "y"]
+    rows = spark.createDataFrame([("page", 1, k, "en", t) for k, t in enumerate(texts)], "source_kind string, source_id long, seq int, lang string, text string")
+    tokenizer = Tokenizer.from_file(json.loads((model_folder / "manifest.json").read_text())["tokenizer"])
+    for r in score_paragraphs(rows, model).collect():
+        ids = tokenizer.encode(r.text).ids
+        if len(ids) > 20:
+            assert (r.score, r.breakdown, r.klass, r.chip, r.reason) == (None, None, None, None, "longer than the model takes")
+            continue
+        shares = np.exp(np.arange(4) * 1e-4 * np.mean(ids))  # the batch's padding changes a mean, but not in batches of one length
+        assert r.model_id == "tiny" and r.reason is None and abs(sum(r.breakdown) - 1) < 1e-6
+        if len(texts) == 5 and r.text == "y":
+            continue
+        assert 0 <= r.score <= 1 and r.klass in range(4) and np.argsort(r.breakdown).tolist() == np.argsort(shares).tolist()
+    alone, parts = model.batch(["one short text"])
+    ids = tokenizer.encode("one short text").ids
+    shares = np.exp(np.arange(4) * 1e-4 * np.mean(ids))
+    assert np.allclose(parts[0], shares / shares.sum(), atol=1e-5) and abs(alone[0] - parts[0] @ np.arange(4) / 3) < 1e-9
+    with pytest.raises(ValueError, match="tokens"):
+        OnnxScorer(str(model_folder / "manifest.json"), 20, "raise").batch(texts)
+    assert page_summary(score_paragraphs(rows, model)).first().n_analyzed == 5
+
+
+def test_pdf_files(spark, tmp_path):
+    import zlib
+
+    from proseledger.sources.pdf import StubPdfParser, parsed_pdfs, stub_pdf
+    from proseledger.sources.tables import pdf_files
+
+    (tmp_path / "a.pdf").write_bytes(one(spark, stub_pdf, "first é😀\nsecond (line)"))
+    packed = zlib.compress(b"BT (plain \\(one\\)) Tj 0 -12 Td (two) Tj ET")
+    (tmp_path / "b.pdf").write_bytes(b"%PDF-1.5\n1 0 obj <<>> stream\n" + packed + b"\nendstream endobj")
+    (tmp_path / "c.pdf").write_bytes(b"no PDF at all")
+    rows = {r.path[-5:]: (r.text, r.lang, r.error) for r in parsed_pdfs(pdf_files(spark, str(tmp_path)), StubPdfParser()).collect()}
+    assert rows == {"a.pdf": ("first é😀\nsecond (line)", "en", None), "b.pdf": ("plain (one)\ntwo", "en", None), "c.pdf": (None, "en", "not a PDF file")}
+
+
+def test_exported_html(spark, tmp_path):
+    from proseledger.sources.tables import exported_documents
+
+    (tmp_path / "a.html").write_text("<html lang='de'><body><p>eins<p>zwei</body></html>")
+    (tmp_path / "b.HTM").write_text("<p>nothing around it</p>")
+    (tmp_path / "c.txt").write_text("<p>as it is</p>")
+    got = {r.source[-5:]: (r.lang, r.text) for r in exported_documents(spark, str(tmp_path)).collect()}
+    assert got == {".html": ("de", "eins\nzwei"), "b.HTM": ("en", ""), "c.txt": ("en", "<p>as it is</p>")}
+
+
 def test_lines(spark):
     assert one(spark, line_paragraphs, " a  b \n\n\tc\n") == ["a b", "c"]
     assert one(spark, line_paragraphs, None) == []
