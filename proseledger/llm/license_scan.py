@@ -39,11 +39,12 @@ def detections(texts: DataFrame, table: list[Rule]) -> DataFrame:
     """Of (uid, words), where words is a text with a space before and after each word: uid, label, base, weight and place of all detections that count."""
     listed = F.array(*(F.struct(F.lit(r.number).alias("number"), F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern")) for r in table))
     tried = texts.select("uid", "words", F.explode(F.filter(listed, lambda r: F.contains("words", r["keyword"]))).alias("r"))
-    found = tried.select("uid", "r.number", F.split("words", F.col("r.pattern")).alias("parts"), F.regexp_extract_all("words", F.col("r.pattern"), F.lit(0)).alias("hits")).where(F.size("hits") > 0)
-    found = found.select("uid", "number", F.posexplode(F.arrays_zip("parts", "hits")).alias("k", "x"))
-    found = found.select("uid", "number", "k", _words_in(F.col("x.parts")).alias("gap"), F.coalesce(_words_in(F.col("x.hits")), F.lit(0)).alias("long"))
+    # each text is searched once for each rule: hits are marked where they stand, so that gaps and hits take turns
+    marked = tried.select("uid", "r.number", F.regexp_replace("words", F.col("r.pattern"), F.lit("\u0001$0\u0001")).alias("marked")).where(F.contains("marked", F.lit("\u0001")))
+    found = marked.select("uid", "number", F.posexplode(F.split("marked", "\u0001")).alias("k", "part"))
+    found = found.select("uid", "number", "k", _words_in(F.col("part")).alias("long"))
     upto = Window.partitionBy("uid", "number").orderBy("k")
-    found = found.withColumn("last", (F.sum(F.col("gap") + F.col("long")).over(upto) - 1).cast("long")).where(F.col("long") > 0)
+    found = found.withColumn("last", (F.sum("long").over(upto) - 1).cast("long")).where(F.col("k") % 2 == 1)
     known = texts.sparkSession.createDataFrame([(r.number, r.label, r.priority, r.weight, r.base) for r in table], "number int, label string, priority int, weight double, base boolean")
     found = found.join(F.broadcast(known), "number").withColumn("first", (F.col("last") - F.col("long") + 1).cast("long"))
     earlier = Window.partitionBy("uid").orderBy("first", F.desc("last"), F.desc("priority"), "number").rowsBetween(Window.unboundedPreceding, -1)
@@ -62,25 +63,35 @@ def _joined(labels: Column) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table: list[Rule] | None = None) -> DataFrame:
     """One row for each row of ``docs``: id, n_words, n_base, first_word, last_word (places of base phrases), base_labels, labels, score.
 
-    Only texts that hold a root are shuffled, as words.
+    The texts are read once. Only those that hold a root are shuffled, as words, so that matching them is spread over all tasks.
     """
+    spark = docs.sparkSession
     table = rules() if table is None else table
-    rows = docs.select(docs[id_col].alias("id"), text_of(text_col).alias("text")).select("id", "text", F.regexp_count("text", F.lit(_WORD_ANY_CASE)).cast("long").alias("n_words"))
-    rooted = F.lit(False)
-    for root in ROOTS:
-        holds = F.contains(F.lower("text"), F.lit(root))
-        rooted = rooted | (holds & F.lower("text").rlike(NARROWED[root]) if root in NARROWED else holds)
-    words = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(_lowered(F.col("text")), F.lit(WORD), F.lit(0)), "  "), F.lit(" "))
-    gated = staged(rows.where(rooted).select(F.monotonically_increasing_id().alias("uid"), "id", "n_words", words.alias("words")), "license-texts")
+
+    def rooted(low: Column) -> Column:
+        out = F.lit(False)
+        for root in ROOTS:
+            holds = F.contains(low, F.lit(root))
+            out = out | (holds & low.rlike(NARROWED[root]) if root in NARROWED else holds)
+        return out
+
+    text = F.col("text")
+    words = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(_lowered(text), F.lit(WORD), F.lit(0)), "  "), F.lit(" "))
+    # the array of one binds the lower-case text, so that it is made once for all roots
+    has_root = F.transform(F.array(F.lower(text)), rooted)[0]
+    rows = docs.select(docs[id_col].alias("id"), text_of(text_col).alias("text"))
+    rows = rows.select(F.monotonically_increasing_id().alias("uid"), "id", F.regexp_count("text", F.lit(_WORD_ANY_CASE)).cast("long").alias("n_words"), F.when(has_root, words).alias("words"))
+    rows = staged(rows, "license-texts")
+    gated = rows.select("uid", "words").where(F.col("words").isNotNull())
+    gated = gated.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), "uid")
     base = F.when(F.col("base"), F.col("first"))
-    found = detections(gated.select("uid", "words"), table).groupBy("uid").agg(
+    found = detections(gated, table).groupBy("uid").agg(
         F.count(base).alias("n_base"), F.min(base).alias("first_word"), F.max(base).alias("last_word"),
         _joined(F.when(F.col("base"), F.col("label"))).alias("base_labels"), _joined(F.col("label")).alias("labels"), F.max("weight").alias("score"),
     )
     empty = {"n_base": F.lit(0).cast("long"), "first_word": F.lit(None).cast("long"), "last_word": F.lit(None).cast("long"), "base_labels": F.lit(""), "labels": F.lit(""), "score": F.lit(0.0)}
-    with_hits = gated.select("uid", "id", "n_words").join(found, "uid", "left").select("id", "n_words", *(F.coalesce(F.col(c), v).alias(c) for c, v in empty.items()))
-    without = rows.where(~rooted).select("id", "n_words", *(v.alias(c) for c, v in empty.items()))
-    return without.unionByName(with_hits).withColumnRenamed("id", id_col)
+    out = rows.select("uid", "id", "n_words").join(found, "uid", "left").select("id", "n_words", *(F.coalesce(F.col(c), v).alias(c) for c, v in empty.items()))
+    return out.withColumnRenamed("id", id_col)
 
 
 def oracle_sql() -> str:
