@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import odd
 import pytest
+import xxhash
 from comparing import same
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -208,6 +209,72 @@ def test_sharding(spark, copies):
     assert all(len(s) == 1 for t, s in groups.items() if t != odd.COPY)
 
 
+def slow_shards(rows, shards):
+    """The shard of each text by plain loops over groups; for tables of one block, without a group that exceeds a shard."""
+    groups = defaultdict(lambda: np.zeros(3))
+    for _, text in rows:
+        groups[text or ""] += (len((text or "").encode()) + 16, len(re.findall("[a-zA-Z0-9\\x80-\U0010ffff]+|[!-/:-@\\[-`{-~]", text or "")), 1)
+    signed = lambda n: n - (1 << 64) if n >> 63 else n
+    hashes = {t: (signed(xxhash.xxh64_intdigest(t.encode(), 42)), signed(xxhash.xxh64_intdigest(t.encode(), xxhash.xxh64_intdigest(b"second", 42)))) for t in groups}
+    total, weight = sum(groups.values()), np.array([1, 0.2, 0.2])
+    share = {t: v / total * weight for t, v in groups.items()}
+    assert all((v * shards / total <= 1).all() or v[2] == 1 for v in groups.values())
+    large = [t for t, v in groups.items() if (v * shards / total > 1 / 64).any()]
+    left, where = np.tile(weight / shards, (shards, 1)), {}
+    for part in (large, [t for t in groups if t not in set(large)]):
+        if not part:
+            continue
+        if part is not large:
+            left = left / left.sum(0) * sum(share[t] for t in part)
+        for t in sorted(part, key=lambda t: (-share[t].max(), hashes[t])):
+            where[t] = max(range(shards), key=lambda s: (left[s] @ share[t], -s))
+            left[where[t]] -= share[t]
+    return where
+
+
+@pytest.mark.parametrize(("table", "shards"), [("sf0.001", 40), ("sf0.01", 8), ("made", 3)])
+def test_op9_as_brute_force(spark, table, shards):
+    rng = random.Random(4)
+    if table == "made":
+        rows = [(k, " ".join(rng.choices(["a", "bc", "d-e", "fgh!", "ï"], k=rng.randint(0, 60)))) for k in range(4000)]
+        rows += [(10_000 + k, rows[k % 7][1]) for k in range(300)] + [(None, None), (None, "")]
+        out = shard(odd.table(spark, rows).repartition(3), shards=shards).collect()
+    else:
+        rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"/root/testdata/{table}/documents.parquet").collect()]
+        docs = spark.read.parquet(f"/root/testdata/{table}/documents.parquet")
+        out = (shard(docs, shards=shards) if shards == 8 else queries.op9_sharding(spark, f"/root/testdata/{table}")).collect()
+    facts = [(i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode()), "bytes", None) for i, t in rows]
+    assert Counter((r.doc_id, r.size, r.text_crc32, r.law, r.grown_shard) for r in out) == Counter(facts)
+    slots = defaultdict(list)
+    for r in out:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    if shards == 40:
+        return  # some groups exceed a shard of so small a table
+    where = slow_shards(rows, shards)
+    text_of = {f[:3]: t or "" for f, (_, t) in zip(facts, rows, strict=True)}
+    off = [r for r in out if r.shard != where[text_of[r.doc_id, r.size, r.text_crc32]]]
+    assert len(off) <= len(rows) // 100  # products that are equal but for rounding
+
+
+def test_sharding_in_blocks_and_of_one_giant_group(spark):
+    """Many blocks balance as one does; a group of half of all rows, of one id, is cut and spread."""
+    rng = random.Random(9)
+    rows = [(k, f"text {k} " + "x" * rng.randint(0, 300)) for k in range(6000)] + [(7, odd.COPY)] * 6000
+    out = shard(odd.table(spark, rows).repartition(4), shards=8, block_groups=500).collect()
+    sizes, n = Counter(), Counter()
+    for r in out:
+        sizes[r.shard] += r.size
+        n[r.shard] += 1
+    assert len(out) == 12_000 and max(sizes.values()) < 1.02 * min(sizes.values()) and max(n.values()) < 1.1 * min(n.values())
+
+
+def test_tokens_can_be_given(spark):
+    rows = [(k, f"t{k}") for k in range(100)]
+    out = shard(odd.table(spark, rows), shards=4, tokens=F.when(F.col("doc_id") < 4, 1000).otherwise(1)).collect()
+    assert len({r.shard for r in out if r.doc_id < 4}) == 4
+
+
 def test_sharding_of_odd_rows(spark):
     docs = odd.odd(spark)
     out = shard(docs).collect()
