@@ -295,3 +295,49 @@ def test_pipeline_stages(spark, sf):
         held = kept
     final = sorted(map(tuple, corpus_pipeline.STAGES[-1][1](spark, held, sf).collect()))
     assert final == sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) and 100 < len(final) < docs.count()
+
+
+def test_pipeline_stages_take_odd_and_empty_tables(spark, sf):
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = odd.odd(spark).withColumnsRenamed({"score": "_score", "key": "_own_key", "bucket": "_stays"})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = staged(stage(spark, docs, sf), name)
+        assert kept.columns == docs.columns and stage(spark, odd.empty(spark), sf).count() == 0
+    lines = stages["lines"](spark, docs, sf)
+    assert lines.count() == docs.count() and lines.where("text IS NULL").count() == 0
+    assert sorted(str(r.doc_id) for r in stages["near-duplicates"](spark, docs, sf).collect()) == sorted(map(str, [1, 3, 4, 7, 8, 9, None, -4]))
+    assert stages["decontamination"](spark, docs, sf).count() == docs.count()
+    good = stages["quality"](spark, docs, sf)
+    assert good.exceptAll(docs).count() == 0 and good.where("doc_id = 6").count() in (0, 2)
+    assert stages["bpe"](spark, docs, sf).count() == docs.count() and stages["bpe"](spark, odd.empty(spark), sf).count() == 0
+
+
+def test_pipeline_decides_as_brute_force(spark, sf):
+    """Which documents go at each stage, each judged from the stage's own input by code that isn't the stage's."""
+    import corpus_pipeline
+    from test_dedup import brute_force, brute_lines, classes_of
+    from test_judging import brute_items, slow_quality
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.quality is not None and zlib.crc32(str(r.doc_id).encode()) % 5}
+    want = slow_quality(rows, labels)
+    held = staged(stages["quality"](spark, docs, sf), "quality")
+    ids = {r.doc_id for r in held.collect()}
+    assert all((i in ids) == (s >= 0.3) for i, s in want.items() if abs(s - 0.3) > 0.15) and len(ids) > 100
+    given = [(r.doc_id, r.text, r.source) for r in held.collect()]
+    held = staged(stages["lines"](spark, held, sf), "lines")
+    assert sorted((r.doc_id, r.text) for r in held.collect()) == brute_lines(given, 10)
+    given = [(r.doc_id, r.text) for r in held.collect()]
+    held = staged(stages["near-duplicates"](spark, held, sf), "near")
+    groups, pairs = brute_force(given)
+    kept = sorted(r.doc_id for r in held.collect())
+    assert kept in [sorted(min(c) for c in classes_of(groups, [p for p, s in pairs.items() if s >= t])) for t in (0.798, 0.8, 0.802)]
+    given = [(r.doc_id, r.text) for r in held.collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    leaks = {i for i, _ in brute_items(given, items, 0.6, 0.6, 0.5)}
+    held = stages["decontamination"](spark, held, sf)
+    assert sorted(r.doc_id for r in held.collect()) == sorted(i for i, _ in given if i not in leaks)
