@@ -30,7 +30,7 @@ class PieceTable(dict):
     worker process, outside the JVM's heap) and results never depend on what is kept.
     """
 
-    def __init__(self, encode_batch: Callable[[list[str]], list[bytes]], special: tuple[str, ...] = (), limit_bytes: int = 200 << 20) -> None:
+    def __init__(self, encode_batch: Callable[[list[str]], list[bytes]], special: tuple[str, ...] = (), limit_bytes: int = 96 << 20) -> None:
         super().__init__()
         self._encode_batch, self._special, self._room = encode_batch, special, limit_bytes
 
