@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..folders import shared_path, shared_root, staged, sweep
 
-__all__ = ["fresh_name", "shared_path", "shared_root", "staged", "sweep", "text_of"]
+__all__ = ["batches_of", "fresh_name", "shared_path", "shared_root", "staged", "sweep", "text_of"]
 
 
 def text_of(name: str = "text") -> Column:
@@ -21,3 +24,15 @@ def fresh_name(df: DataFrame, stem: str) -> str:
     while stem.lower() in taken:
         stem += "_"
     return stem
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs that start within hand Python so many rows at a time; for rows that are large, since JVM and Python each hold a batch whole."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
