@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from array import array
 
 import numpy as np
@@ -13,6 +14,10 @@ from .bpe import byte_letters, check_byte_level
 from .pieces import PieceTable
 
 
+#: One white-space character and a word.
+_WORD = re.compile(r"[ \n]\S+")
+
+
 class LibraryEncoder:
     """Ids as the library gives them for the whole text, and the number of bytes that each id stands for.
 
@@ -37,7 +42,10 @@ class LibraryEncoder:
 
     def _batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each of texts. Those of one white-space character and a word are encoded as one text, which is cut by its ids' bytes."""
-        words = [k for k, t in enumerate(texts) if t[:1] in (" ", "\n") and t[1:].split() == [t[1:]]]
+        words: list[int] = []
+        rest: list[int] = []
+        for k, text in enumerate(texts):
+            (words if _WORD.fullmatch(text) else rest).append(k)
         out = [b""] * len(texts)
         for at in range(0, len(words), 20_000):
             part = words[at : at + 20_000]
@@ -48,7 +56,6 @@ class LibraryEncoder:
             for k, cut in zip(part, cuts, strict=True):
                 out[k] = blob[start * 4 : cut * 4]
                 start = cut
-        rest = sorted({*range(len(texts))}.difference(words))
         for k, found in zip(rest, self._tokenizer.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False), strict=True):
             out[k] = array("I", found.ids).tobytes()
         return out

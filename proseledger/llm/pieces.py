@@ -9,10 +9,16 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Where one piece can depend on the next: three white-space characters in a row, or two at the end of a text.
 _TANGLED = re.compile(r"\s\s\s|\s\s\Z")
 #: What a kept piece takes besides its own characters and ids: two objects and a place in the table.
 _OVERHEAD = 180
+#: Marks a text's first piece, which has no space before it; no other piece has more than one line feed.
+_FIRST = "\n\n"
 
 
 def _tangled(text: str) -> bool:
@@ -22,6 +28,12 @@ def _tangled(text: str) -> bool:
     return bool(_TANGLED.search(text))
 
 
+def _as_in_text(piece: str) -> str:
+    if piece.startswith(_FIRST):
+        return piece[len(_FIRST) :]
+    return piece if piece[:1] == "\n" else " " + piece
+
+
 class PieceTable(dict):
     """Maps a piece to the bytes of its ids (little-endian unsigned 32-bit).
 
@@ -35,41 +47,42 @@ class PieceTable(dict):
         self._encode_batch, self._special, self._room = encode_batch, special, limit_bytes
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        """The ids of each of the whole texts."""
+        """The ids of each of the whole texts. Arrow cuts them and numbers their distinct pieces, so only those are looked up."""
         out = [b""] * len(texts)
         whole: list[int] = []
-        heads: list[tuple[int, str]] = []  # first pieces, which have no space before them
-        later: list[tuple[int, list[str]]] = []  # those with pieces that aren't known yet
-        new: set[str] = set()
+        cut: list[int] = []
         for k, text in enumerate(texts):
             if _tangled(text) or any(s in text for s in self._special):
                 whole.append(k)
             elif text:
-                pieces = text.replace("\n", " \n").split(" ")
-                heads.append((k, pieces.pop(0)))
-                own = [*map(self.get, pieces)]
-                if None in own:
-                    new.update(p for p, ids in zip(pieces, own, strict=True) if ids is None)
-                    later.append((k, pieces))
-                else:
-                    out[k] = b"".join(own)
-        fresh = [*new]
-        # a piece that began with a space is looked up without it; one after a line feed begins with that
-        asked = [p if p[:1] == "\n" else " " + p for p in fresh] + [head for _, head in heads] + [texts[k] for k in whole]
+                cut.append(k)
+        pieces = pc.split_pattern(pa.array([_FIRST + texts[k].replace("\n", " \n") for k in cut], pa.large_string()), " ")
+        numbered = pieces.values.dictionary_encode()
+        distinct = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        own = [*map(self.get, distinct)]
+        fresh = [k for k, ids in enumerate(own) if ids is None]
+        asked = [_as_in_text(distinct[k]) for k in fresh] + [texts[k] for k in whole]
         given = self._encode_batch(asked) if asked else []
-        self.update(zip(fresh, given, strict=False))
-        for k, pieces in later:
-            out[k] = b"".join(map(self.__getitem__, pieces))
-        for (k, _), head in zip(heads, given[len(fresh) : len(fresh) + len(heads)], strict=True):
-            out[k] = head + out[k]
-        for k, ids in zip(whole, given[len(fresh) + len(heads) :], strict=True):
-            out[k] = ids
-        for piece, ids in zip(fresh, given, strict=False):
+        for k, ids in zip(fresh, given, strict=False):
+            own[k], piece = ids, distinct[k]
             size = _OVERHEAD + len(piece) + len(ids)
-            if len(piece) > 64 or size > self._room:
-                del self[piece]
-            else:
+            if len(piece) <= 64 and size <= self._room:
+                self[piece] = ids
                 self._room -= size
+        for k, ids in zip(whole, given[len(fresh) :], strict=True):
+            out[k] = ids
+        if cut:
+            sizes = np.fromiter(map(len, own), np.int64, len(own)) >> 2
+            starts = np.cumsum(sizes) - sizes
+            which = numbered.indices.to_numpy()
+            sizes = sizes[which]
+            ends = np.cumsum(sizes)
+            places = np.repeat(starts[which] - ends + sizes, sizes)
+            places += np.arange(len(places))
+            ids = np.frombuffer(b"".join(own), "<u4")[places]
+            stops = ends[pieces.offsets.to_numpy()[1:] - 1].tolist()
+            for k, start, stop in zip(cut, [0, *stops], stops, strict=False):
+                out[k] = ids[start:stop].tobytes()
         return out
 
     def encode(self, text: str) -> bytes:
