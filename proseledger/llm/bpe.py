@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .pieces import PieceTable
-from .shared import text_of
+from .shared import held, text_of
 
 #: Fixed value: the pre-token pattern that the file's "ByteLevel" pre-tokenizer stands for.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -115,14 +115,9 @@ class BytePairCodec:
         return b"".join(map(self.token_bytes.__getitem__, memoryview(ids).cast("I").tolist())).decode("utf-8", "replace")
 
 
-_codecs: dict[str, BytePairCodec] = {}
-
-
 def codec(path: str) -> BytePairCodec:
-    """One codec for each file and worker process; it outlives a task."""
-    if path not in _codecs:
-        _codecs[path] = BytePairCodec(path)
-    return _codecs[path]
+    """The codec of a file; it outlives a task in its worker process."""
+    return held(("bpe", path), lambda: BytePairCodec(path))
 
 
 def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:

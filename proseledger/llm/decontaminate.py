@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import staged, text_of
+from .shared import let_go, staged, text_of
 
 if TYPE_CHECKING:
     from pyspark import Broadcast
@@ -279,6 +279,7 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     for sent in _passes(docs, _indexes(items, item_id, item_text, share, index_items, index_bytes)):
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            let_go()
             indexes = [pickle.loads(x.value) for x in sent]
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):
@@ -300,6 +301,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
     for sent in _passes(docs, _indexes(items, item_id, item_text, share, index_items, index_bytes)):
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            let_go()
             indexes = [pickle.loads(x.value) for x in sent]
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):

@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from .bpe import byte_letters, check_byte_level
 from .pieces import PieceTable
-
+from .shared import held
 
 #: One white-space character and a word.
 _WORD = re.compile(r"[ \n]\S+")
@@ -75,10 +75,6 @@ class LibraryEncoder:
         return out
 
 
-_encoders: dict[str, LibraryEncoder] = {}
-
-
 def library_encoder(path: str) -> LibraryEncoder:
-    if path not in _encoders:
-        _encoders[path] = LibraryEncoder(path)
-    return _encoders[path]
+    """The encoder of a file; it outlives a task in its worker process."""
+    return held(("library", path), lambda: LibraryEncoder(path))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh_name, text_of
+from .shared import fresh_name, let_go, text_of
 
 #: Marks with a class of their own; the rest of the classes are letters, capitals, digits, other ASCII and UTF-8 bytes.
 _OWN_CLASS = (" ", "\n", ".", ",", "!", "|", "%#$&*@", "<>{}[]=;", "-_'\"()")
@@ -169,6 +169,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
     """In how many documents each term occurs, over all documents, and their number."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         seen, n = np.zeros(DIMENSIONS, np.int64), 0
         for batch in batches:
             for text in batch.column(0):
@@ -232,6 +233,7 @@ def _scored(docs: DataFrame, model: NeighbourVote, kept: list[str], text_col: st
     at_text = kept.index(text_col) if text_col in kept else len(kept)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         fitted = pickle.loads(sent.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):

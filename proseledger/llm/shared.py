@@ -2,15 +2,36 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 from contextlib import contextmanager
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..folders import shared_path, shared_root, staged, sweep
 
-__all__ = ["batches_of", "fresh_name", "shared_path", "shared_root", "staged", "sweep", "text_of"]
+__all__ = ["batches_of", "fresh_name", "held", "let_go", "shared_path", "shared_root", "staged", "sweep", "text_of"]
+
+_held: tuple[Hashable, Any] | None = None
+
+
+def held(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, kept in this process for the tasks that follow until something else is asked for.
+
+    So a Python worker that serves one operator after another holds the tables of one of them at a time.
+    """
+    global _held
+    if _held is None or _held[0] != key:
+        _held = None  # goes before the next one is made
+        _held = key, make()
+    return _held[1]
+
+
+def let_go() -> None:
+    """Drop what :func:`held` keeps; for tasks that need their memory for something else."""
+    global _held
+    _held = None
 
 
 def text_of(name: str = "text") -> Column:
