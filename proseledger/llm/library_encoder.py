@@ -23,18 +23,20 @@ class LibraryEncoder:
 
     Texts are cut where pre-tokenization starts anew whatever stands before, and the library, its own pre-tokenizer
     included, encodes each distinct piece once; texts for which that rule doesn't hold go to it whole. Encoding all
-    texts whole takes the library two to three times as long, since it cuts and looks up each word anew.
+    texts whole takes the library two to three times as long, since it cuts and looks up each word anew. With
+    ``plain_specials`` the strings of special tokens are text like any other.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, plain_specials: bool = False, limit_bytes: int = 96 << 20) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # each worker has one core; the library's threads would only wait on each other
         with open(path, encoding="utf-8") as f:
             check_byte_level(json.load(f), path)
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
+        self._tokenizer.encode_special_tokens = plain_specials
         added = {i: t.content for i, t in self._tokenizer.get_added_tokens_decoder().items()}
-        self.table = PieceTable(self._batch, tuple(added.values()))
+        self.table = PieceTable(self._batch, () if plain_specials else tuple(added.values()), limit_bytes)
         letters = byte_letters()
         self.n_bytes = np.zeros(1 + max([*self._tokenizer.get_vocab().values()]), np.int64)
         for token, i in self._tokenizer.get_vocab().items():

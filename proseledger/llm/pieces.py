@@ -37,14 +37,14 @@ def _as_in_text(piece: str) -> str:
 class PieceTable(dict):
     """Maps a piece to the bytes of its ids (little-endian unsigned 32-bit).
 
-    ``encode_batch`` gives the ids of many texts, whole or pieces. The table keeps pieces of at most 64 characters while they
+    ``encode_batch`` gives the ids of many texts, whole or pieces; ``tangled`` tells the texts that can't be cut. The table keeps pieces of at most 64 characters while they
     take ``limit_bytes`` or less in all; whatever is over that is encoded each time, so memory is bounded (for each
     worker process, outside the JVM's heap) and results never depend on what is kept.
     """
 
-    def __init__(self, encode_batch: Callable[[list[str]], list[bytes]], special: tuple[str, ...] = (), limit_bytes: int = 96 << 20) -> None:
+    def __init__(self, encode_batch: Callable[[list[str]], list[bytes]], special: tuple[str, ...] = (), limit_bytes: int = 96 << 20, tangled: Callable[[str], bool] = _tangled) -> None:
         super().__init__()
-        self._encode_batch, self._special, self._room = encode_batch, special, limit_bytes
+        self._encode_batch, self._special, self._room, self._tangled = encode_batch, special, limit_bytes, tangled
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """The ids of each of the whole texts. Arrow cuts them and numbers their distinct pieces, so only those are looked up."""
@@ -52,7 +52,7 @@ class PieceTable(dict):
         whole: list[int] = []
         cut: list[int] = []
         for k, text in enumerate(texts):
-            if _tangled(text) or any(s in text for s in self._special):
+            if self._tangled(text) or any(s in text for s in self._special):
                 whole.append(k)
             elif text:
                 cut.append(k)

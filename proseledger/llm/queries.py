@@ -8,7 +8,7 @@ from typing import TYPE_CHECKING
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, line_dedup
+from . import license_scan, line_dedup, prefix_trie
 
 if TYPE_CHECKING:
     from .quality import NeighbourVote
@@ -135,6 +135,30 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_texts(_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document by a byte-level and a sentencepiece vocabulary, aligned by bytes."""
+    import public_tokenizers
+
+    from .alignment import align_tokens
+
+    return align_tokens(_table(spark, sf_dir, "documents"), vocabulary(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every opening that conversations share, after each begins as another one of its five does."""
+    turns, ids = prefix_trie.borrow_openings(prefix_trie.ordered_turns(_table(spark, sf_dir, "conversations")))
+    return prefix_trie.prefix_trie(turns, ids)
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, by form and by characters to a token."""
+    import public_tokenizers
+
+    from .secret_scan import scan_secrets
+
+    return scan_secrets(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_license_scan": op2_license_scan,
@@ -146,9 +170,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_sharding": op9_sharding,
     "op10_decontamination": op10_decontamination,
+    "op11_alignment": op11_alignment,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_license_scan": license_scan.oracle_sql(),
     "op5_line_dedup": line_dedup.ORACLE_SQL,
+    "op12_prefix_trie": prefix_trie.ORACLE_SQL,
 }
