@@ -1,34 +1,16 @@
-"""Column functions on HTML and plain text. They match RE2 as well as Java, so that SQL elsewhere can do the same."""
+"""Column functions on addresses, languages and plain text; see ``html`` for pages. They match RE2 as well as Java, so that SQL elsewhere can do the same."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SCRIPTS = r"(?is)<(script|style)[^>]*>.*?</(script|style)>"
-HEADINGS = r"(?is)<h[1-6][^>]*>.*?</h[1-6]>"
-ARTICLE_START = r"(?i)<article[\s>]"
-ARTICLE = r"(?is)<article(?:\s[^>]*)?>(.*?)(?:</article>|\z)"
-BODY = r"(?is)<body(?:\s[^>]*)?>(.*?)(?:</body>|\z)"
-PARAGRAPH_BREAK = r"(?i)</?p(?:\s[^>]*)?>"
-LINE_BREAK = r"(?i)<br\s*/?>"
-TAG = r"<[^>]*>"
-LANG = r"""(?i)<html[^>]*\slang\s*=\s*["']?([a-z]+)"""
-HOST = r"^[a-z]+://([^/:?#]+)"
+from .html import page_paragraphs as article_paragraphs
 
-#: Named entities and their characters. The ampersand isn't among them: it is decoded last, so that nothing is decoded twice.
-ENTITIES = (
-    ("&quot;", '"'), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"),
-    ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&laquo;", "«"), ("&raquo;", "»"),
-    ("&bull;", "•"), ("&deg;", "°"), ("&sect;", "§"), ("&para;", "¶"), ("&times;", "×"), ("&euro;", "€"), ("&pound;", "£"), ("&shy;", ""), ("&szlig;", "ß"),
-    ("&auml;", "ä"), ("&ouml;", "ö"), ("&uuml;", "ü"), ("&Auml;", "Ä"), ("&Ouml;", "Ö"), ("&Uuml;", "Ü"), ("&eacute;", "é"), ("&egrave;", "è"), ("&ecirc;", "ê"),
-    ("&agrave;", "à"), ("&acirc;", "â"), ("&ccedil;", "ç"), ("&ntilde;", "ñ"), ("&aacute;", "á"), ("&iacute;", "í"), ("&oacute;", "ó"), ("&uacute;", "ú"),
-)
-#: What follows "&#" in a numeric entity.
-NUMERIC = r"^(?:[xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"
-#: Code points that a numeric entity may stand for: no controls but white space, no surrogates, none beyond the last.
-CODE_POINTS = ((9, 10), (13, 13), (32, 0xD7FF), (0xE000, 0xFFFD), (0x10000, 0x10FFFF))
+__all__ = ["article_paragraphs", "host", "line_paragraphs", "page_language"]
 
+LANG = r"""(?i)<html[^>]*\slang\s*=\s*["']?([a-z]+)"""
+HOST = r"^[a-z]+://([^/:?#]+)"
 
 def host(url: Column) -> Column:
     return F.regexp_extract(url, HOST, 1)
@@ -38,40 +20,6 @@ def page_language(html: Column) -> Column:
     return F.lower(F.regexp_extract(html, LANG, 1))
 
 
-def _numeric(text: Column) -> Column:
-    """Numeric entities decoded; that of the ampersand becomes the named one."""
-
-    def decoded(part: Column, k: Column) -> Column:
-        digits = F.substring_index(part, ";", 1)
-        code = F.when(F.lower(F.substring(digits, 1, 1)) == "x", F.conv(F.substr(digits, F.lit(2)), 16, 10)).otherwise(digits).cast("long")
-        sound = F.lit(False)
-        for low, high in CODE_POINTS:
-            sound = sound | code.between(low, high)
-        mark = F.when(code == 38, "&amp;").otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
-        rest = F.substr(part, F.length(digits) + 2)
-        return F.when(k == 0, part).when(F.when(part.rlike(NUMERIC), sound).otherwise(False), F.concat(mark, rest)).otherwise(F.concat(F.lit("&#"), part))
-
-    return F.when(text.contains("&#"), F.array_join(F.transform(F.split(text, "&#"), decoded), "")).otherwise(text)
-
-
-def plain(fragment: Column) -> Column:
-    """An HTML fragment as text on one line."""
-    text = F.regexp_replace(F.regexp_replace(fragment, LINE_BREAK, " "), TAG, "")
-    for entity, mark in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(mark))
-    text = F.replace(_numeric(text), F.lit("&amp;"), F.lit("&"))
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
-
-
-def article_paragraphs(html: Column, headings: bool = False) -> Column:
-    """The paragraphs of a page's articles, or of its body if it has no article, in order, without empty ones."""
-    page = F.regexp_replace(F.coalesce(html, F.lit("")), SCRIPTS, "")
-    body = F.when(page.rlike(ARTICLE_START), F.array_join(F.regexp_extract_all(page, F.lit(ARTICLE), F.lit(1)), "<p>")).otherwise(F.regexp_extract(page, BODY, 1))
-    if not headings:
-        body = F.regexp_replace(body, HEADINGS, "<p>")
-    return F.filter(F.transform(F.split(body, PARAGRAPH_BREAK), plain), lambda x: x != "")
-
-
 def line_paragraphs(text: Column) -> Column:
     """The lines of a plain text, in order, trimmed and without empty ones."""
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions import html as H
 from ..functions import text as T
 from ..operators.report import CAVEAT
 from ..schemas import CLASSES
@@ -12,28 +13,41 @@ def _quote(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def _plain(x: str) -> str:
-    out = f"regexp_replace(regexp_replace({x}, {_quote(T.LINE_BREAK)}, ' ', 'g'), {_quote(T.TAG)}, '', 'g')"
-    for entity, mark in T.ENTITIES:
-        out = f"replace({out}, {_quote(entity)}, {_quote(mark)})"
-    digits = "split_part(e, ';', 1)"
-    code = f"(CASE WHEN lower(substr({digits}, 1, 1)) = 'x' THEN '0x' || substr({digits}, 2) ELSE {digits} END)::BIGINT"
-    sound = " OR ".join(f"{code} BETWEEN {low} AND {high}" for low, high in T.CODE_POINTS)
-    mark = f"CASE WHEN {code} = 38 THEN '&amp;' ELSE chr({code}::INT) END"
-    decoded = f"CASE WHEN k = 1 THEN e WHEN CASE WHEN regexp_matches(e, {_quote(T.NUMERIC)}) THEN {sound} ELSE false END THEN {mark} || substr(e, length({digits}) + 2) ELSE '&#' || e END"
-    out = f"replace(array_to_string(list_transform(string_split({out}, '&#'), lambda e, k: {decoded}), ''), '&amp;', '&')"
-    return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
+def _decoded(x: str) -> str:
+    names = "MAP {" + ", ".join(f"{_quote(n)}: {_quote(c)}" for n, c in H.ENTITIES.items()) + "}"
+    name = f"regexp_extract(e, {_quote(H.ENTITY)}, 1)"
+    code = f"(CASE WHEN lower(substr({name}, 2, 1)) = 'x' THEN '0x' || substr({name}, 3) ELSE substr({name}, 2) END)::BIGINT"
+    sound = " OR ".join(f"{code} BETWEEN {low} AND {high}" for low, high in H.CODE_POINTS)
+    mark = f"CASE WHEN {name} = '' THEN NULL WHEN {name}[1:1] = '#' THEN CASE WHEN {sound} THEN chr({code}::INT) END ELSE {names}[{name}] END"
+    part = f"CASE WHEN k = 1 THEN e ELSE coalesce({mark} || substr(e, length({name}) + 2), '&' || e) END"
+    return f"array_to_string(list_transform(string_split({x}, '&'), lambda e, k: {part}), '')"
 
 
 def _pages(headings: bool = False) -> str:
-    page = f"regexp_replace(coalesce(html, ''), {_quote(T.SCRIPTS)}, '', 'g')"
-    body = f"CASE WHEN regexp_matches({page}, {_quote(T.ARTICLE_START)}) THEN array_to_string(regexp_extract_all({page}, {_quote(T.ARTICLE)}, 1), '<p>') ELSE regexp_extract({page}, {_quote(T.BODY)}, 1) END"
-    if not headings:
-        body = f"regexp_replace({body}, {_quote(T.HEADINGS)}, '<p>', 'g')"
-    parts = f"list_filter(list_transform(string_split_regex({body}, {_quote(T.PARAGRAPH_BREAK)}), lambda x: {_plain('x')}), lambda x: x <> '')"
+    """The depth of a part is what has been opened less what has been closed, above the lowest that it has been."""
+    listed = lambda names: "(" + ", ".join(map(_quote, names)) + ")"
+    name, mark = f"lower(regexp_extract(t, {_quote(H.NAME)}, 1))", lambda m: " || ".join(f"chr({ord(c)})" if ord(c) < 32 else _quote(c) for c in m)
+    bare, opens = f"ltrim({name}, '/')", f"{name}[1:1] <> '/'"
+    meaning = (
+        f"CASE WHEN t[1:1] <> '<' OR t = '<' THEN t WHEN {name} = '' OR {name} IN {listed(H.RAW)} THEN '' "
+        f"WHEN {bare} = 'article' THEN CASE WHEN {opens} THEN {mark(H.REGION + 'A')} ELSE {mark(H.REGION + 'a')} END "
+        f"WHEN {bare} IN {listed(H.HIDDEN)} THEN CASE WHEN NOT {opens} THEN {mark(H.REGION + 'x')} WHEN t[-2:] = '/>' THEN {mark(H.INLINE)} ELSE {mark(H.REGION + 'X')} END "
+        f"WHEN {bare} IN {listed(H.HEADINGS)} THEN CASE WHEN {opens} THEN {mark(H.BREAK + H.HEADING)} ELSE {mark(H.BREAK)} END "
+        f"WHEN {bare} IN {listed(H.BLOCKS)} THEN {mark(H.BREAK)} WHEN {bare} = 'br' THEN ' ' ELSE {mark(H.INLINE)} END"
+    )
+    marked = f"array_to_string(list_transform(regexp_extract_all(translate(coalesce(html, ''), {mark(H.MARKS)}, ''), {_quote(H.TOKEN_RE2)}), lambda t: {meaning}), '')"
+    parts = f"SELECT page_id, lower(regexp_extract(html, {_quote(T.LANG)}, 1)) AS lang, string_split('-' || {_decoded(marked)}, {mark(H.REGION)}) AS p FROM pages"
+    stepped = f"SELECT page_id, lang, generate_subscripts(p, 1) AS k, unnest(p) AS part FROM ({parts})"
+    moved = f"SELECT *, CASE part[1:1] WHEN 'A' THEN 1 WHEN 'a' THEN -1 ELSE 0 END AS da, CASE part[1:1] WHEN 'X' THEN 1 WHEN 'x' THEN -1 ELSE 0 END AS dx FROM ({stepped})"
+    summed = f"SELECT *, sum(da) OVER w AS sa, sum(dx) OVER w AS sx FROM ({moved}) WINDOW w AS (PARTITION BY page_id ORDER BY k)"
+    deep = f"SELECT *, sa > least(0, min(sa) OVER w) AS inside, sx > least(0, min(sx) OVER w) AS hidden FROM ({summed}) WINDOW w AS (PARTITION BY page_id ORDER BY k)"
+    shown = f"SELECT *, bool_or(inside) OVER (PARTITION BY page_id) AS articles, CASE WHEN lower(part[1:1]) = 'a' THEN chr(1) ELSE '' END || part[2:] AS text FROM ({deep}) WHERE NOT hidden"
+    joined = f"SELECT page_id, lang, string_split(string_agg(text, '' ORDER BY k), chr(1)) AS b FROM ({shown}) WHERE inside OR NOT articles GROUP BY page_id, lang"
+    kept = "b" if headings else "list_filter(b, lambda x: x[1:1] <> chr(3))"
+    blocks = f"list_filter(list_transform({kept}, lambda x: trim(regexp_replace(translate(x, chr(3) || chr(6), ''), '\\s+', ' ', 'g'))), lambda x: x <> '')"
     return (
         f"SELECT 'page' AS source_kind, page_id AS source_id, (unnest(generate_series(1, len(p))) - 1)::INT AS seq, lang, unnest(p) AS text "
-        f"FROM (SELECT page_id, lower(regexp_extract(html, {_quote(T.LANG)}, 1)) AS lang, {parts} AS p FROM pages)"
+        f"FROM (SELECT page_id, lang, {blocks} AS p FROM ({joined}))"
     )
 
 
