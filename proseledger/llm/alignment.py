@@ -34,8 +34,8 @@ from .shared import batches_of, held, staged, text_of
 
 #: What stands for the ids of a piece that its tokens don't give back.
 _LOST = 0xFFFFFFFF
-#: Characters of the texts that are aligned at once.
-CHUNK = 4 << 20
+#: Characters of the texts that are aligned at once, and of those that share a list of id pairs.
+PART, CHUNK = 1 << 18, 4 << 20
 #: Ids are below this; a pair of ids is one number.
 _IDS = 1 << 32
 _SPACE = "▁"
@@ -115,7 +115,7 @@ class TokenAligner:
         self._written = pa.array([f"{i}{mark}".encode() for size, mark in kinds for i in range(size)], pa.binary())
 
     def chunk(self, texts: list[str]) -> dict[str, np.ndarray | list]:
-        """Of every text n_a, n_b, n_groups, n_overlaps, n_products and groups_sha256; of all the links as ids of either side, in the order of the texts."""
+        """Of every text n_a, n_b, n_groups, n_overlaps, n_products and groups_sha256; of all the links the pair of ids, in the order of the texts."""
         spaced = [" " + t if t else "" for t in texts]
         a, b = ([np.frombuffer(x, "<u4") for x in side.table.encode_many(spaced)] for side in (self._a, self._b))
         lengths = [len(t.encode()) for t in spaced]
@@ -134,7 +134,7 @@ class TokenAligner:
         products = np.r_[0, np.cumsum(group_products(x))]
         return {
             "n_a": n_a, "n_b": n_b, "n_groups": stops - starts, "n_overlaps": overlaps, "n_products": products[stops] - products[starts],
-            "groups_sha256": self._digests(ids_a, ids_b, x, n_a + n_b), "link_a": ids_a[x.last_a], "link_b": ids_b[x.last_b],
+            "groups_sha256": self._digests(ids_a, ids_b, x, n_a + n_b), "pairs": ids_a[x.last_a] * _IDS + ids_b[x.last_b],
         }
 
     def _digests(self, ids_a: np.ndarray, ids_b: np.ndarray, x: Aligned, n_tokens: np.ndarray) -> list[str]:
@@ -169,20 +169,30 @@ def _chunks(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: st
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner, number = token_aligner(path_a, path_b), TaskContext.get().partitionId() << 32
 
-        def made(ids: pa.Array, texts: list[str], number: int) -> pa.RecordBatch:
-            x = aligner.chunk(texts)
-            pairs, links, n = np.unique(x["link_a"] * _IDS + x["link_b"], return_inverse=True, return_counts=True)
-            columns = [ids, *(pa.array(x[c], pa.int64()) for c in _COUNTS), pa.array(x["groups_sha256"], pa.string()), pa.array(pairs), pa.array(n, pa.int64()), pa.array(links.astype(np.int32))]
+        def made(ids: list[pa.Array], parts: list[dict], number: int) -> pa.RecordBatch:
+            pairs, links, n = np.unique(np.concatenate([x["pairs"] for x in parts]), return_inverse=True, return_counts=True)
+            counts = [pa.array(np.concatenate([x[c] for x in parts]), pa.int64()) for c in _COUNTS]
+            columns = [pa.concat_arrays(ids), *counts, pa.array([d for x in parts for d in x["groups_sha256"]], pa.string()), pa.array(pairs), pa.array(n, pa.int64()), pa.array(links.astype(np.int32))]
             names = ["ids", *_COUNTS, "groups_sha256", "pairs", "n_pairs", "links"]
             return pa.RecordBatch.from_arrays([pa.array([number]), *(pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns)], ["chunk", *names])
 
+        ids: list[pa.Array] = []
+        parts: list[dict] = []
+        total = 0
         for batch in batches:
             texts, first, size = batch.column("text").to_pylist(), 0, 0
             for k, text in enumerate(texts):
                 size += len(text)
-                if size >= CHUNK or k == len(texts) - 1:
-                    yield made(batch.column("id").slice(first, k + 1 - first), texts[first : k + 1], number)
-                    first, size, number = k + 1, 0, number + 1
+                if size >= PART or k == len(texts) - 1:
+                    parts.append(aligner.chunk(texts[first : k + 1]))
+                    ids.append(batch.column("id").slice(first, k + 1 - first))
+                    total += size
+                    first, size = k + 1, 0
+                if total >= CHUNK:
+                    yield made(ids, parts, number)
+                    ids, parts, total, number = [], [], 0, number + 1
+        if parts:
+            yield made(ids, parts, number)
 
     return rows.mapInArrow(encode, schema)
 
@@ -194,7 +204,8 @@ def align_tokens(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_i
     equally common ones all are), n_products the pairs of tokens of a group. groups_sha256 is the digest of ``a1,a2|b1;a3|b2,b3``.
     """
     spark = docs.sparkSession
-    chunks = staged(_chunks(docs, path_a, path_b, id_col, text_col), "aligned")
+    with batches_of(spark, 1000):  # so that neither side holds many texts
+        chunks = staged(_chunks(docs, path_a, path_b, id_col, text_col), "aligned")
     listed = chunks.select("chunk", F.posexplode(F.arrays_zip("pairs", "n_pairs")).alias("at", "x")).select("chunk", "at", F.col("x.pairs").alias("pair"), F.col("x.n_pairs").alias("n"))
     counts = listed.groupBy("pair").agg(F.sum("n").alias("n")).withColumn("b", F.col("pair") % _IDS)
     counts = staged(counts, "pair-counts")

@@ -94,7 +94,8 @@ def test_odd_rows_and_several_chunks(spark, tokenizers, vocabulary, monkeypatch)
     docs = odd.table(spark, odd.odd_rows() + more).repartition(1)
     want = slow([(r.doc_id, r.text) for r in docs.collect()], tokenizers)
     compare(align_tokens(docs, vocabulary, MODEL), want)
-    monkeypatch.setattr(alignment, "CHUNK", 40)
+    monkeypatch.setattr(alignment, "PART", 20)
+    monkeypatch.setattr(alignment, "CHUNK", 60)
     compare(align_tokens(docs.withColumnRenamed("text", "a.b"), vocabulary, MODEL, text_col="`a.b`"), want)
     assert align_tokens(odd.empty(spark), vocabulary, MODEL).count() == 0
     zeros = [r for r in align_tokens(docs, vocabulary, MODEL).collect() if r.doc_id in (1, 2, 23)]
