@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions import html as H
 from ..functions import text as T
+from ..operators import language as L
 from ..operators.report import CAVEAT
 from ..schemas import CLASSES
 from .queries import SINGLE_PAGE
@@ -85,6 +86,37 @@ _COUNT = "SELECT source_id, count(*) AS n_analyzed, count(*) FILTER (klass = 3)
 _WARM = f"SELECT DISTINCT text_sha256 FROM ({_SCORED}) WHERE source_id % 2 = 0"
 _NAMES = "CASE klass " + " ".join(f"WHEN {k} THEN {_quote(n)}" for k, n in enumerate(CLASSES)) + " END"
 
+#: The checksum of a number's decimal digits, bit by bit.
+_CRC = (
+    "xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda a, b: "
+    "list_reduce([1, 2, 3, 4, 5, 6, 7, 8]::BIGINT[], lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(a, b)), 4294967295::BIGINT), 4294967295)"
+)
+
+
+def _parts(rows: str) -> str:
+    """Of rows with a text, each with every part of its words."""
+    words = f"'_' || regexp_replace(regexp_replace(lower(coalesce(text, '')), {_quote(L.NO_LETTERS)}, '__', 'g'), '^__|__$', '', 'g') || '_'"
+    parts = "list_filter(list_transform(range(1, greatest(len(c) - 1, 1)), lambda i: c[i] || c[i + 1] || c[i + 2]), lambda x: NOT contains(x, '__'))"
+    return f"SELECT * EXCLUDE (c), unnest({parts}) AS part FROM (SELECT *, string_split({words}, '') AS c FROM ({rows}))"
+
+
+def _detected(rows: str, keys: str, learned: str = "SELECT lang, text FROM documents") -> str:
+    """The likelihood of a part in each language, summed by text and language; the best two are compared."""
+    return f"""
+    WITH counts AS (SELECT lang, part, count(*) AS n FROM ({_parts(f"SELECT * FROM ({learned}) WHERE lang <> ''")}) GROUP BY 1, 2),
+    kept AS (SELECT DISTINCT part FROM (SELECT part, row_number() OVER (PARTITION BY lang ORDER BY n DESC, part) AS rank FROM counts) WHERE rank <= {L.KEPT}),
+    likely AS (SELECT lang, part, coalesce(n, 0) AS n, sum(coalesce(n, 0)) OVER (PARTITION BY lang) AS total, count(*) OVER (PARTITION BY lang) AS kinds
+        FROM (SELECT DISTINCT lang FROM counts) CROSS JOIN kept LEFT JOIN counts USING (lang, part)),
+    profile AS (SELECT lang, part, round(ln((n + 0.5::DOUBLE) / (total + 0.5 * kinds)::DOUBLE) * 1e6)::BIGINT AS likelihood FROM likely),
+    rows AS ({rows}),
+    scored AS (SELECT {keys}, lang AS detected, count(*) AS n_parts, sum(likelihood) AS score FROM ({_parts("SELECT * FROM rows")}) JOIN profile USING (part) GROUP BY ALL),
+    ranked AS (SELECT *, row_number() OVER w AS rank, score - lead(score) OVER w AS ahead FROM scored WINDOW w AS (PARTITION BY {keys} ORDER BY score DESC, detected))
+    SELECT {keys}, detected, coalesce(n_parts, 0)::BIGINT AS n_parts, floor(ahead / n_parts)::BIGINT AS margin FROM (SELECT {keys} FROM rows) LEFT JOIN (SELECT * FROM ranked WHERE rank = 1) USING ({keys})"""
+
+
+_TURNS = _detected("SELECT conv_id, turn, text FROM conversations", "conv_id, turn")
+_HELD = f"{_CRC} % 5"
+
 ORACLE_SQL: dict[str, str] = {
     "web_pages": f"SELECT page_id, url, {_HOST} AS host, length(html)::BIGINT AS n_chars FROM pages",
     "granted_pages": _GRANTED,
@@ -118,5 +150,9 @@ ORACLE_SQL: dict[str, str] = {
     "cache_hits": f"SELECT DISTINCT model_id, text_sha256, round(score, 9) AS score FROM ({_SCORED}) WHERE text_sha256 IN ({_WARM})",
     "cache_misses": f"SELECT DISTINCT text_sha256, text FROM ({_SCORED}) WHERE text_sha256 NOT IN ({_WARM})",
     "cached_scores": f"SELECT {_ROUNDED} FROM ({_SCORED})",
+    "detected_turns": _TURNS,
+    "detected_items": _detected("SELECT item_id, text FROM benchmark", "item_id"),
+    "language_confusion": f"SELECT declared AS lang, detected, count(*) AS n FROM ({_detected(f'SELECT doc_id, lang AS declared, text FROM documents WHERE {_HELD} = 0', 'doc_id, declared', f'SELECT lang, text FROM documents WHERE {_HELD} <> 0')}) GROUP BY 1, 2",
+    "english_turns": f"SELECT {_ROUNDED} FROM ({_score(f"SELECT 'turn' AS source_kind, conv_id AS source_id, turn::INT AS seq, detected AS lang, text FROM ({_TURNS}) JOIN conversations USING (conv_id, turn)")})",
     "stream_page_ai_count": _COUNT.format(_SCORED),
 }

@@ -13,6 +13,7 @@ from ..functions.text import host
 from ..operators import cache as score_cache
 from ..operators import report
 from ..operators.filters import admitted, analyzable, granted
+from ..operators.language import Profiles, detect, learn_profiles, with_language
 from ..operators.scoring import HashStubScorer, score_paragraphs, scorer
 from ..operators.segment import document_paragraphs, page_paragraphs
 from ..sources.pdf import StubPdfParser, parsed_pdfs, stub_pdf
@@ -217,6 +218,35 @@ def cached_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(score_paragraphs(_english_pages(spark, sf_dir), _BatchedStub(), _warm_cache(spark, sf_dir)))
 
 
+def _profiles(spark: SparkSession, sf_dir: str) -> Profiles:
+    return learn_profiles(table(spark, sf_dir, "documents"))
+
+
+def detected_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every turn of every conversation, which declare none; learned from the documents."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return detect(turns, _profiles(spark, sf_dir), ["conv_id", "turn"])
+
+
+def detected_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of every benchmark item."""
+    return detect(table(spark, sf_dir, "benchmark"), _profiles(spark, sf_dir), ["item_id"])
+
+
+def language_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declared against detected languages of the documents whose checksum is divisible by five, learned from all others."""
+    docs = table(spark, sf_dir, "documents").withColumn("held", F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+    found = detect(docs.where(F.col("held")), learn_profiles(docs.where(~F.col("held"))), ["doc_id", "lang"])
+    return found.groupBy("lang", "detected").agg(F.count("*").alias("n"))
+
+
+def english_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as paragraphs, scored where they are detected as English."""
+    turns = table(spark, sf_dir, "conversations").select(F.lit("turn").alias("source_kind"), F.col("conv_id").alias("source_id"), F.col("turn").cast("int").alias("seq"), F.lit("").alias("lang"), "text")
+    told = with_language(turns, _profiles(spark, sf_dir), ["source_id", "seq"])
+    return _rounded(score_paragraphs(analyzable(told), scorer("stub")))
+
+
 def stream_page_ai_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = page_summaries(spark, f"{sf_dir}/pages.parquet*", scorer("stub"))
     return out.select("source_id", "n_analyzed", "n_ai", F.round("ai_share", 9).alias("ai_share"))
@@ -254,5 +284,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cache_hits": cache_hits,
     "cache_misses": cache_misses,
     "cached_scores": cached_scores,
+    "detected_turns": detected_turns,
+    "detected_items": detected_items,
+    "language_confusion": language_confusion,
+    "english_turns": english_turns,
     "stream_page_ai_count": stream_page_ai_count,
 }
