@@ -116,8 +116,8 @@ def page_paragraphs(html: Column, headings: bool = False) -> Column:
     clean = F.translate(F.coalesce(html, F.lit("")), MARKS, "")
     named = F.transform(F.regexp_extract_all(clean, F.lit(TOKEN), F.lit(0)), lambda t: F.struct(t.alias("token"), F.lower(F.regexp_extract(t, NAME, 1)).alias("name")))
     marked = F.array_join(F.transform(named, _meaning), "")
-    # the first part follows no tag of a region; a letter that means nothing stands for one
-    parts = F.split(F.concat(F.lit("-"), decoded(marked)), REGION)
+    # an array of one binds what is looked at more than once, so that it is made once; the first part follows no tag of a region, for which a letter without meaning stands
+    parts = F.split(F.concat(F.lit("-"), F.transform(F.array(marked), decoded)[0]), REGION)
 
     def blocks(shown: Column) -> Column:
         chosen = F.when(F.exists(shown, lambda x: x["inside"]), F.filter(shown, lambda x: x["inside"])).otherwise(shown)
@@ -126,5 +126,4 @@ def page_paragraphs(html: Column, headings: bool = False) -> Column:
             found = F.filter(found, lambda x: ~x.startswith(HEADING))
         return F.filter(F.transform(found, lambda x: F.trim(F.regexp_replace(F.translate(x, HEADING + INLINE, ""), r"\s+", " "))), lambda x: x != "")
 
-    # the array of one binds what the fold gives, so that it is made once
     return F.transform(F.array(_shown(parts)), blocks)[0]

@@ -13,8 +13,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..folders import staged
 from ..functions.marks import chip, class_by_breakdown, class_by_score
 from ..schemas import BREAKDOWN
+from .cache import CacheTable, lookup
 
 PARTS = ("human", "light", "heavy", "ai")
 
@@ -132,7 +134,7 @@ def score_texts(texts: DataFrame, scorer: Scorer) -> DataFrame:
     return dealt.mapInArrow(run, f"text_sha256 string, score double, breakdown {BREAKDOWN}").select(F.lit(scorer.model_id).alias("model_id"), "text_sha256", "score", "breakdown")
 
 
-def score_paragraphs(paragraphs: DataFrame, scorer: Scorer, cache: DataFrame | None = None) -> DataFrame:
+def score_paragraphs(paragraphs: DataFrame, scorer: Scorer, cache: DataFrame | CacheTable | None = None) -> DataFrame:
     """Paragraphs with text_sha256, model_id, score, breakdown, klass, chip and reason.
 
     A paragraph that the model can't score has null in all but text_sha256 and model_id, and a reason, which is null for all others.
@@ -145,9 +147,8 @@ def score_paragraphs(paragraphs: DataFrame, scorer: Scorer, cache: DataFrame | N
     if native is not None and cache is None:
         rows = rows.withColumns({"model_id": F.lit(scorer.model_id), "score": native[0], "breakdown": native[1]})
     else:
-        from .cache import lookup
-
-        hits, misses = lookup(rows, cache, scorer.model_id)
+        rows = staged(rows, "paragraphs")  # looked at up to three times
+        hits, misses = cache.lookup(rows, scorer.model_id) if isinstance(cache, CacheTable) else lookup(rows, cache, scorer.model_id)
         if native is not None:
             fresh = misses.select(F.lit(scorer.model_id).alias("model_id"), "text_sha256", native[0].alias("score"), native[1].alias("breakdown"))
         else:

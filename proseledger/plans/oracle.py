@@ -150,6 +150,8 @@ ORACLE_SQL: dict[str, str] = {
     "cache_hits": f"SELECT DISTINCT model_id, text_sha256, round(score, 9) AS score FROM ({_SCORED}) WHERE text_sha256 IN ({_WARM})",
     "cache_misses": f"SELECT DISTINCT text_sha256, text FROM ({_SCORED}) WHERE text_sha256 NOT IN ({_WARM})",
     "cached_scores": f"SELECT {_ROUNDED} FROM ({_SCORED})",
+    "table_cached_scores": f"SELECT {_ROUNDED} FROM ({_SCORED})",
+    "live_cached_scores": f"SELECT {_ROUNDED} FROM ({_SCORED})",
     "detected_turns": _TURNS,
     "detected_items": _detected("SELECT item_id, text FROM benchmark", "item_id"),
     "language_confusion": f"SELECT declared AS lang, detected, count(*) AS n FROM ({_detected(f'SELECT doc_id, lang AS declared, text FROM documents WHERE {_HELD} = 0', 'doc_id, declared', f'SELECT lang, text FROM documents WHERE {_HELD} <> 0')}) GROUP BY 1, 2",

@@ -18,6 +18,7 @@ from ..operators.scoring import HashStubScorer, score_paragraphs, scorer
 from ..operators.segment import document_paragraphs, page_paragraphs
 from ..sources.pdf import StubPdfParser, parsed_pdfs, stub_pdf
 from ..sources.tables import as_documents, table
+from ..streaming.live_cache import live_scores
 from ..streaming.pages import page_summaries
 
 #: The single page that is analyzed without a grant.
@@ -202,6 +203,16 @@ def _warm_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_cache.read_cache(spark, path)
 
 
+def _warm_table(spark: SparkSession, sf_dir: str) -> score_cache.CacheTable:
+    """The same as a bucketed table: of the pages with even numbers, then of those divisible by four again, made one."""
+    held = score_cache.CacheTable(spark, shared_path(spark, "score-table"), buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pages = table(spark, sf_dir, "pages")
+    for k in (2, 4):
+        held.append(score_paragraphs(analyzable(page_paragraphs(pages.where(F.col("page_id") % k == 0))), scorer("stub")))
+    held.compact()
+    return held
+
+
 def cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _english_pages(spark, sf_dir).withColumn("text_sha256", F.sha2("text", 256))
     hits, _ = score_cache.lookup(rows, _warm_cache(spark, sf_dir), "stub-md5")
@@ -218,6 +229,18 @@ def cached_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(score_paragraphs(_english_pages(spark, sf_dir), _BatchedStub(), _warm_cache(spark, sf_dir)))
 
 
+def table_cached_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All paragraphs with a warm, bucketed cache: the same as without one."""
+    return _rounded(score_paragraphs(_english_pages(spark, sf_dir), _BatchedStub(), _warm_table(spark, sf_dir)))
+
+
+def live_cached_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All paragraphs scored as they arrive, each distinct text once."""
+    out = live_scores(spark, f"{sf_dir}/pages.parquet*", scorer("stub"), ttl_ms=24 * 3600 * 1000)
+    parts = [F.round(k, 9).alias(k) for k in ("human", "light", "heavy", "ai")]
+    return out.select("source_kind", "source_id", "seq", "text_sha256", "model_id", F.round("score", 9).alias("score"), *parts, F.col("klass").cast("int").alias("klass"), "chip")
+
+
 def _profiles(spark: SparkSession, sf_dir: str) -> Profiles:
     return learn_profiles(table(spark, sf_dir, "documents"))
 
@@ -284,6 +307,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cache_hits": cache_hits,
     "cache_misses": cache_misses,
     "cached_scores": cached_scores,
+    "table_cached_scores": table_cached_scores,
+    "live_cached_scores": live_cached_scores,
     "detected_turns": detected_turns,
     "detected_items": detected_items,
     "language_confusion": language_confusion,
