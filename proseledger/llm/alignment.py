@@ -35,7 +35,7 @@ from .shared import batches_of, held, let_go, staged, text_of
 #: What stands for the ids of a piece that its tokens don't give back.
 _LOST = 0xFFFFFFFF
 #: Characters of the texts that are aligned at once, and of those that share a list of id pairs.
-PART, CHUNK = 1 << 20, 2 << 20
+PART, CHUNK = 1 << 19, 2 << 20
 #: Ids are below this; a pair of ids is one number.
 _IDS = 1 << 32
 _SPACE = "▁"
@@ -116,7 +116,7 @@ class TokenAligner:
     """Two tokenizers; aligns many texts at once."""
 
     def __init__(self, path_a: str, path_b: str) -> None:
-        self._a, self._b = LibraryEncoder(path_a, plain_specials=True, limit_bytes=40 << 20), PieceEncoder(path_b, limit_bytes=40 << 20)
+        self._a, self._b = LibraryEncoder(path_a, plain_specials=True, limit_bytes=24 << 20), PieceEncoder(path_b, limit_bytes=24 << 20)
         self._size_a, self._size_b = len(self._a.n_bytes), len(self._b.n_bytes)
         kinds = [(self._size_a, ","), (self._size_a, "|"), (self._size_b, ","), (self._size_b, ";")]
         self._written = pa.array([f"{i}{mark}".encode() for size, mark in kinds for i in range(size)], pa.binary())
