@@ -157,4 +157,5 @@ ORACLE_SQL: dict[str, str] = {
     "language_confusion": f"SELECT declared AS lang, detected, count(*) AS n FROM ({_detected(f'SELECT doc_id, lang AS declared, text FROM documents WHERE {_HELD} = 0', 'doc_id, declared', f'SELECT lang, text FROM documents WHERE {_HELD} <> 0')}) GROUP BY 1, 2",
     "english_turns": f"SELECT {_ROUNDED} FROM ({_score(f"SELECT 'turn' AS source_kind, conv_id AS source_id, turn::INT AS seq, detected AS lang, text FROM ({_TURNS}) JOIN conversations USING (conv_id, turn)")})",
     "stream_page_ai_count": _COUNT.format(_SCORED),
+    "stream_newest_ai_count": f"SELECT page_id AS source_id, coalesce(n_analyzed, 0) AS n_analyzed, coalesce(n_ai, 0) AS n_ai, ai_share FROM pages LEFT JOIN ({_COUNT.format(_SCORED)}) ON source_id = page_id",
 }

@@ -19,7 +19,7 @@ from ..operators.segment import document_paragraphs, page_paragraphs
 from ..sources.pdf import StubPdfParser, parsed_pdfs, stub_pdf
 from ..sources.tables import as_documents, table
 from ..streaming.live_cache import live_scores
-from ..streaming.pages import page_summaries
+from ..streaming.pages import newest_summaries, page_summaries
 
 #: The single page that is analyzed without a grant.
 SINGLE_PAGE = 7
@@ -275,6 +275,12 @@ def stream_page_ai_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("source_id", "n_analyzed", "n_ai", F.round("ai_share", 9).alias("ai_share"))
 
 
+def stream_newest_ai_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where pages may arrive again; pages without English paragraphs have counts of none."""
+    out = newest_summaries(spark, f"{sf_dir}/pages.parquet*", scorer("stub"), buckets=8)
+    return out.select("source_id", "n_analyzed", "n_ai", F.round("ai_share", 9).alias("ai_share"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "web_pages": web_pages,
     "granted_pages": granted_pages,
@@ -314,4 +320,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "language_confusion": language_confusion,
     "english_turns": english_turns,
     "stream_page_ai_count": stream_page_ai_count,
+    "stream_newest_ai_count": stream_newest_ai_count,
 }
