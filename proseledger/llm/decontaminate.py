@@ -1,7 +1,8 @@
 """Benchmark decontamination: every passage of every document is a query to a BM25 index of the test items.
 
-Passages are windows of twice the longest item's words that overlap by half, so that each item fits in one. An item's
-impacts are divided by ``share`` of the score that it gets from its own words, so one threshold, 1, holds for all.
+Passages are windows that overlap by half. Each item has its own: items of up to 64 words are looked for in windows of 128 words, those of up
+to 256 in windows of 512, and so on by the factor 4, so that each item fits in one and no item widens those of others; an index
+holds items of one such class. An item's impacts are divided by ``share`` of the score that it gets from its own words, so one threshold, 1, holds for all.
 
 The index is searched by block-max WAND:
 
@@ -14,12 +15,12 @@ The index is searched by block-max WAND:
 3. All items that reach the threshold are retrieved. One counts if the passage holds enough of the word sequences of its
    question and of its answer (its last sentence, or the last third of a single one).
 
-No term or passage is left out, and no item but those with a null id, of which none is searched for. An index holds at most
-``index_items`` items and ``index_bytes`` bytes. With more, the items are split; document frequencies, mean length and the
-width of passages are always those of all items, so that the split changes no result, and ``_AT_ONCE`` indexes are searched
-in one pass over the documents.
+No term or passage is left out. Items with a null id can't be reported and so aren't searched for by :func:`find_items`; :func:`drop_contaminated`
+needs no ids and searches for them too. An index holds at most ``index_items`` items and ``index_bytes`` bytes. With more, the items
+are split; document frequencies and mean length are always those of all items, so that the split changes no result, and
+``_AT_ONCE`` parts are searched in one pass over the documents.
 
-Cases: null texts count as empty; documents and items without words match nothing; equal items are reported each;
+Cases: ids of items are whole numbers (others raise); null texts count as empty; documents and items without words match nothing; equal items are reported each;
 repeated documents give repeated rows; an empty table on either side gives no matches; further columns are not carried
 by :func:`find_items` and all are kept by :func:`drop_contaminated`.
 """
@@ -44,6 +45,7 @@ if TYPE_CHECKING:
     from pyspark import Broadcast
 
 _K1, _B, _GRAM, _REACHED, _AT_ONCE = 1.2, 0.75, 5, 1 - 1e-9, 4
+_LEAST_STRIDE = 64
 _TO_SPACE = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
 _SENTENCE = re.compile(r"[.?!]\s+")
 
@@ -82,17 +84,24 @@ class Statistics(NamedTuple):
 
     items: int
     mean: float
-    longest: int
     df: dict[bytes, int]
 
 
 def statistics_of(bags: list[list[bytes]]) -> Statistics:
     bags = [b for b in bags if b]
-    return Statistics(len(bags), sum(map(len, bags)) / max(1, len(bags)), max([1, *map(len, bags)]), Counter(t for b in bags for t in set(b)))
+    return Statistics(len(bags), sum(map(len, bags)) / max(1, len(bags)), Counter(t for b in bags for t in set(b)))
+
+
+def stride_of(n_words: int) -> int:
+    """Half the width of an item's passages: 64 words, or as many times 4 as the item needs."""
+    stride = _LEAST_STRIDE
+    while stride < n_words:
+        stride *= 4
+    return stride
 
 
 class ItemIndex:
-    """An inverted index of test items with block maxima."""
+    """An inverted index of test items with block maxima; its passages are those of its longest item."""
 
     def __init__(self, items: list[tuple[int, str]], share: float = 0.6, block_items: int = 8, statistics: Statistics | None = None) -> None:
         found = [(i, words, text) for i, text in items if (words := words_of(text or ""))]
@@ -100,7 +109,8 @@ class ItemIndex:
         self.item_ids = [i for i, _, _ in found]
         self.parts = [question_and_answer(text) for _, _, text in found]
         self.block_items = block_items
-        of_all, mean, self.stride, df_of_all = statistics or statistics_of([w for _, w, _ in found])
+        of_all, mean, df_of_all = statistics or statistics_of([w for _, w, _ in found])
+        self.stride = stride_of(max([0, *(len(w) for _, w, _ in found)]))
         bags = [Counter(w) for _, w, _ in found]
         df = Counter(t for bag in bags for t in bag)
         self.vocabulary = {t: n + 1 for n, t in enumerate(sorted(df))}  # 0: any other word
@@ -236,12 +246,25 @@ class ItemIndex:
         return sorted((text, self.item_ids[item], s, q, both - q) for (text, item), (both, q, s) in best.items())
 
 
-def _indexes(items: DataFrame, item_id: str, item_text: str, share: float, index_items: int, index_bytes: int) -> Iterator[ItemIndex]:
-    texts = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("long").alias("i"), text_of(item_text).alias("t")).distinct()
+def _by_class(items: list[tuple[int, str]], share: float, statistics: Statistics | None = None) -> list[ItemIndex]:
+    """An index for each class of lengths, all by the same statistics."""
+    words = [words_of(text or "") for _, text in items]
+    statistics = statistics or statistics_of(words)
+    classes: dict[int, list[tuple[int, str]]] = {}
+    for item, own in zip(items, words, strict=True):
+        classes.setdefault(stride_of(len(own)), []).append(item)
+    return [ItemIndex(own, share, statistics=statistics) for _, own in sorted(classes.items())]
+
+
+def _indexes(items: DataFrame, item_id: str, item_text: str, share: float, index_items: int, index_bytes: int, nameless: bool) -> Iterator[list[ItemIndex]]:
+    """The indexes of each part of the items; with ``nameless`` of those with a null id too, as if it were 0."""
+    texts = items.select(F.col(item_id).cast("long").alias("i"), text_of(item_text).alias("t"))
+    texts = texts.fillna(0, ["i"]) if nameless else texts.where(F.col("i").isNotNull())
+    texts = texts.distinct()
     size = texts.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b")).first()
     parts = max(1, -(-size["n"] // index_items), -(-size["b"] // index_bytes))
     if parts == 1:
-        yield ItemIndex([(r["i"], r["t"]) for r in texts.collect()], share)
+        yield _by_class([(r["i"], r["t"]) for r in texts.collect()], share)
         return
     texts = staged(texts.withColumn("part", F.pmod(F.xxhash64("i", "t"), F.lit(parts)).cast("int")), "test-items")
 
@@ -253,20 +276,19 @@ def _indexes(items: DataFrame, item_id: str, item_text: str, share: float, index
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.binary(), pa.int64()), strict=True)], ["part", "term", "words"])
 
     terms = staged(texts.select("part", "t").mapInArrow(bags, "part int, term binary, words long"), "test-terms")
-    df = staged(terms.groupBy("term").agg(F.count("*").alias("n"), F.sum("words").alias("words"), F.max("words").alias("longest")), "test-frequencies")
+    df = staged(terms.groupBy("term").agg(F.count("*").alias("n"), F.sum("words").alias("words")), "test-frequencies")
     whole = df.where(F.col("term") == F.lit(b"")).first()
     for part in range(parts):
         own = terms.where(F.col("part") == part).select("term").distinct().join(df, "term").select("term", "n")
         known = {bytes(r["term"]): r["n"] for r in own.collect()}  # as many as an index has terms
         if known:
-            statistics = Statistics(whole["n"], whole["words"] / whole["n"], whole["longest"], known)
-            yield ItemIndex([(r["i"], r["t"]) for r in texts.where(F.col("part") == part).collect()], share, statistics=statistics)
+            yield _by_class([(r["i"], r["t"]) for r in texts.where(F.col("part") == part).collect()], share, Statistics(whole["n"], whole["words"] / whole["n"], known))
 
 
-def _passes(docs: DataFrame, indexes: Iterator[ItemIndex]) -> Iterator[list[Broadcast]]:
-    """Groups of indexes that are searched in one pass, sent to all tasks; one of none if there are no indexes."""
+def _passes(docs: DataFrame, indexes: Iterator[list[ItemIndex]]) -> Iterator[list[Broadcast]]:
+    """Groups of parts that are searched in one pass, sent to all tasks; one of none if there are no items."""
     first = True
-    while (group := [docs.sparkSession.sparkContext.broadcast(pickle.dumps(index)) for index in islice(indexes, _AT_ONCE)]) or first:
+    while (group := [docs.sparkSession.sparkContext.broadcast(pickle.dumps(part)) for part in islice(indexes, _AT_ONCE)]) or first:
         first = False
         yield group
 
@@ -276,11 +298,11 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     rows = docs.select(docs[id_col].alias("id"), text_of(text_col).alias("text"))
     schema = f"id {rows.schema['id'].dataType.simpleString()}, item_id long, score double, question_overlap double, answer_overlap double"
     found = None
-    for sent in _passes(docs, _indexes(items, item_id, item_text, share, index_items, index_bytes)):
+    for sent in _passes(docs, _indexes(items, item_id, item_text, share, index_items, index_bytes, nameless=False)):
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             let_go()
-            indexes = [pickle.loads(x.value) for x in sent]
+            indexes = [index for x in sent for index in pickle.loads(x.value)]
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):
                     part = batch.slice(at, 256)
@@ -297,12 +319,13 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = 0.6, question: float = 0.6, answer: float = 0.5, index_items: int = 20_000, index_bytes: int = 32 << 20) -> DataFrame:
     """The documents that hold none of the items, with all their columns, whatever their names. No shuffle."""
-    at_text = docs.columns.index(text_col)
-    for sent in _passes(docs, _indexes(items, item_id, item_text, share, index_items, index_bytes)):
+    at_text, names = docs.columns.index(text_col), docs.columns
+    docs = docs.toDF(*(f"k{n}" for n in range(len(names))))  # names with dots and the like don't get through
+    for sent in _passes(docs, _indexes(items, item_id, item_text, share, index_items, index_bytes, nameless=True)):
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             let_go()
-            indexes = [pickle.loads(x.value) for x in sent]
+            indexes = [index for x in sent for index in pickle.loads(x.value)]
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):
                     part = batch.slice(at, 256)
@@ -311,4 +334,4 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
                     yield part.filter(pa.array([k not in hit for k in range(part.num_rows)], pa.bool_()))
 
         docs = docs.mapInArrow(search, docs.schema)
-    return docs
+    return docs.toDF(*names)

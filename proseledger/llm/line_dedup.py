@@ -7,7 +7,7 @@ sites or more, the first occurrence (by id, text hash and position) stays and ev
 
 DataFrame functions only. Shuffles: line hashes with sketches; positions of removed lines; documents joined with them.
 
-Cases: a null text counts as empty and becomes empty; blank lines always stay; a null site is no site; rows of the same id and
+Cases: a null text counts as empty and becomes empty; lines of nothing but spaces always stay (other white space is a line like any other); a null site is no site; rows of the same id and
 text are one document, so both keep or lose the same lines; an empty table gives an empty one; a document that loses
 all lines stays, with an empty text; all columns of the input are kept, whatever their names.
 """
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh_name, staged, text_of
+from .shared import column, fresh_name, staged, text_of
 
 _KEY = ["_h1", "_h2"]
 
@@ -61,7 +61,7 @@ def drop_spread_lines(docs: DataFrame, min_sites: int = 10, id_col: str = "doc_i
     parts = F.split(text_of(text_col), "\n")
     marked = F.zip_with(parts, at_stays, lambda line, stay: F.struct(line.alias("line"), F.coalesce(stay, F.lit(True)).alias("stay")))
     left = F.transform(F.filter(marked, lambda x: x["stay"]), lambda x: x["line"])
-    out = [docs[c] if c != text_col else F.when(F.col(at_stays).isNull(), text_of(text_col)).otherwise(F.array_join(left, "\n")).alias(c) for c in docs.columns]
+    out = [column(docs, c) if c != text_col else F.when(F.col(at_stays).isNull(), text_of(text_col)).otherwise(F.array_join(left, "\n")).alias(c) for c in docs.columns]
     removed = F.size(F.filter(at_stays, lambda stay: ~stay))
     extra = [F.size(parts).cast("long").alias("n_lines"), F.when(F.col(at_stays).isNull(), 0).otherwise(removed).cast("long").alias("n_removed")]
     return both.select(*out, *(extra if counts else []))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh_name, let_go, text_of
+from .shared import column, fresh_name, let_go, text_of
 
 #: Marks with a class of their own; the rest of the classes are letters, capitals, digits, other ASCII and UTF-8 bytes.
 _OWN_CLASS = (" ", "\n", ".", ",", "!", "|", "%#$&*@", "<>{}[]=;", "-_'\"()")
@@ -228,7 +228,7 @@ def keep_from(docs: DataFrame, model: NeighbourVote, cut: float, text_col: str =
 def _scored(docs: DataFrame, model: NeighbourVote, kept: list[str], text_col: str, score: str) -> DataFrame:
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(pickle.dumps(model))
-    rows = docs.select(*(docs[c].alias(f"k{n}") for n, c in enumerate(kept)), *([] if text_col in kept else [text_of(text_col).alias("text")]))
+    rows = docs.select(*(column(docs, c).alias(f"k{n}") for n, c in enumerate(kept)), *([] if text_col in kept else [text_of(text_col).alias("text")]))
     kinds = [f"k{n} {rows.schema[f'k{n}'].dataType.simpleString()}" for n in range(len(kept))]
     at_text = kept.index(text_col) if text_col in kept else len(kept)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..folders import shared_path, shared_root, staged, sweep
 
-__all__ = ["batches_of", "fresh_name", "held", "let_go", "shared_path", "shared_root", "staged", "sweep", "text_of"]
+__all__ = ["batches_of", "column", "fresh_name", "held", "let_go", "shared_path", "shared_root", "staged", "sweep", "text_of"]
 
 _held: tuple[Hashable, Any] | None = None
 
@@ -39,6 +39,11 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def column(df: DataFrame, name: str) -> Column:
+    """The column of exactly that name, whatever marks it holds."""
+    return df["`" + name.replace("`", "``") + "`"]
+
+
 def fresh_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` doesn't have, upper and lower case being alike."""
     taken = {c.lower() for c in df.columns}

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from proseledger.llm import queries
 from proseledger.llm.decontaminate import ItemIndex, drop_contaminated, find_items, overlap, question_and_answer, words_of
+from proseledger.llm.line_dedup import drop_spread_lines
+from proseledger.llm.near_dup import keep_one
 from proseledger.llm.quality import NeighbourVote, features, fit, keep_from, score_documents, terms
 
 
@@ -182,12 +184,36 @@ def test_odd_rows_and_empty_tables(spark):
     bench = spark.createDataFrame([(1, odd.COPY), (2, odd.COPY), (None, "x"), (3, None)], "item_id long, text string")
     hits = sorted((r.doc_id, r.item_id) for r in find_items(odd.odd(spark), bench).collect())
     assert hits == [(4, 1), (4, 2), (5, 1), (5, 2), (6, 1), (6, 1), (6, 2), (6, 2)]
-    assert drop_contaminated(odd.odd(spark), bench).count() == odd.odd(spark).count() - 4
+    assert drop_contaminated(odd.odd(spark), bench).count() == odd.odd(spark).count() - 5  # the item without an id too
+    assert drop_contaminated(odd.odd(spark), bench.where("item_id is not null")).count() == odd.odd(spark).count() - 4
     assert find_items(odd.empty(spark), bench).count() == 0
     none = bench.where("1 = 0")
     assert find_items(odd.odd(spark), none).count() == 0 and drop_contaminated(odd.odd(spark), none).count() == odd.odd(spark).count()
 
 
+def test_no_item_widens_the_passages_of_others(spark):
+    """A question and an answer far apart are no item, however long other items are; long items are found in passages of their own."""
+    rng = random.Random(8)
+    words = lambda n, of: " ".join(f"{of}{rng.randrange(10**6)}" for _ in range(n))
+    question, answer, long = words(30, "q"), words(15, "a"), words(1500, "l")
+    rows = [(1, f"{question}. {words(600, 'x')} {answer}"), (2, f"{words(200, 'x')} {question}. {answer} {words(300, 'x')}"), (3, f"{words(700, 'x')} {long} {words(90, 'x')}"), (4, " ".join(long.split()[:500]))]
+    docs = odd.table(spark, rows)
+    items = [(1, f"{question}. {answer}"), (2, long), (3, words(70, "m")), (4, words(300, "n"))]
+    for n in (1, 2, 4):
+        bench = spark.createDataFrame(items[:n], "item_id long, text string")
+        want = [(2, 1), (3, 2)][: 1 + (n > 1)]
+        assert sorted((r.doc_id, r.item_id) for r in find_items(docs, bench).collect()) == want
+        assert sorted(r.doc_id for r in drop_contaminated(docs, bench).collect()) == sorted({1, 2, 3, 4} - {k for k, _ in want})
+
+
+def test_names_with_marks(spark):
+    docs = odd.odd(spark).withColumnsRenamed({"key": "a.b", "n": "c`d", "bucket": "e f"})
+    labels = spark.createDataFrame([(4, 1), (7, 0)], "doc_id long, quality int")
+    bench = spark.createDataFrame([(1, odd.COPY)], "item_id long, text string")
+    for out in (keep_from(docs, fit(docs, labels), 0.0), drop_contaminated(docs, bench), drop_spread_lines(docs, min_sites=2), keep_one(docs)):
+        assert out.columns == docs.columns and out.count() > 0
+
+
 def test_op10_finds_all_verbatim_items(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     bench = spark.read.parquet(f"{sf}/benchmark.parquet").collect()
