@@ -45,7 +45,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark.
 
-    Null and empty texts hold none; repeated rows stay or go together; items with a null id or text are searched for in none.
+    Null and empty texts hold none; repeated rows stay or go together; items with a null text are searched for in none, those with a null id like all others.
     """
     from proseledger.llm.decontaminate import drop_contaminated
 
