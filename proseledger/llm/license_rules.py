@@ -91,9 +91,9 @@ OTHERS = (
 WRITTEN = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", 1.0),
     ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 0.9),
-    ("x11", "except as contained in this notice the names? of the above? copyright holder|holders shall not be used in advertising", 0.9),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", 1.0),
-    ("0bsd", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 0.9),
+    ("x11", "except as contained in this notice the name|names s? of the|a above? x|copyright consortium|holder|holders shall not be used in advertising", 0.9),
+    ("isc", "permission to use copy modify and or? distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", 1.0),
+    ("0bsd", "permission to use copy modify and or? distribute this software for any purpose with or without fee is hereby granted", 0.9),
     ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", 1.0),
     ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", 1.0),
     ("apache-2.0", "you may not use this file except in compliance with the license", 0.9),
@@ -105,7 +105,7 @@ WRITTEN = (
     ("bsd-clauses", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", 0.8),
     ("bsd-clauses", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer", 0.8),
     ("bsd-3-clause", "may be used to endorse or promote products derived from this software without specific prior written permission", 0.9),
-    ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display the following acknowledgement or? acknowledgment? this product includes software developed by the university of california berkeley and its contributors redistribution", 0.9),
+    ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display the following acknowledgement|acknowledgment this product includes software developed by", 0.9),
     ("gpl-2.0", "under the terms of the gnu general public license as published by the free software foundation either? version 2", 1.0),
     ("gpl-3.0", "under the terms of the gnu general public license as published by the free software foundation either? version 3", 1.0),
     ("lgpl-2.1", "under the terms of the gnu lesser|library general public license as published by the free software foundation either? version 2 1?", 1.0),
@@ -169,7 +169,7 @@ _SPEAKING = ("licen", "spdx", "creative", "gplv", "wtfpl", "openrail", "reserved
 #: Names that are unambiguous without the word licence: by their version, parts or clauses. A bare "CC BY" or "new BSD" isn't.
 _PLAIN = re.compile(r"^cc by \w|^cc0|gpl version|clause|no attribution|rail m$")
 #: Substrings of which each rule needs one; a text without any isn't looked at further.
-ROOTS = (*_SPEAKING, "gpl", "cc", "bsd", "attribution", "bigscience", "apache", "openssl")
+ROOTS = (*_SPEAKING, "gpl", "cc", "bsd", "attribution", "bigscience", "apache", "openssl", "advertis")
 #: What rules that have no other root than this one need of a lower-case text.
 NARROWED = {"cc": r"cc(?:0|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by)"}
 _COMMON = {"license", "public", "version", "general", "software", "open"}

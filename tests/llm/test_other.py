@@ -110,6 +110,35 @@ def test_written_signatures_yield_their_labels(spark):
     assert all(slow_scan(text)[5].split(",") == got[k] for k, text in rows)
 
 
+#: Passages of licences as they are published. Labels that a scan must give, among others.
+PUBLISHED = [
+    (("mit", "x11"), "Copyright (C) 1996 X Consortium\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction.\n\nExcept as contained in this notice, the name of the X Consortium shall not be used in advertising or otherwise to promote the sale, use or other dealings in this Software without prior written authorization from the X Consortium."),
+    (("x11",), "Except as contained in this notice, the name(s) of the above copyright holders shall not be used in advertising or otherwise to promote the sale, use or other dealings in this Software without prior written authorization."),
+    (("x11",), "Except as contained in this notice, the name of a copyright holder shall not be used in advertising or otherwise to promote the sale, use or other dealings in this Software without prior written authorization of the copyright holder."),
+    (("bsd-4-clause", "bsd-clauses"), "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n3. All advertising materials mentioning features or use of this software must display the following acknowledgement:\n   This product includes software developed by the University of\n   California, Berkeley and its contributors.\n4. Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    (("bsd-4-clause",), "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization."),
+    (("isc",), "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    (("isc",), "Permission to use, copy, modify, and distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."),
+    (("0bsd",), "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\""),
+    (("postgresql",), "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph appear in all copies."),
+    (("apache-2.0",), "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an \"AS IS\" BASIS,"),
+    (("gpl-2.0", "gpl-notice"), "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    (("gpl-3.0",), "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    (("lgpl-2.1",), "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    (("mpl-2.0",), "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    (("zlib",), "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications"),
+    (("unlicense",), "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software"),
+    (("bsl-1.0",), "Boost Software License - Version 1.0 - August 17th, 2003\n\nPermission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\")"),
+    (("ofl-1.1",), "This Font Software is licensed under the SIL Open Font License, Version 1.1."),
+]
+
+
+def test_published_texts_yield_their_labels(spark):
+    got = {r.doc_id: r.labels.split(",") for r in scan(odd.table(spark, [(k, text) for k, (_, text) in enumerate(PUBLISHED)])).collect()}
+    assert [(labels, got[k]) for k, (labels, _) in enumerate(PUBLISHED) if not set(labels) <= set(got[k])] == []
+    assert all(slow_scan(text)[5].split(",") == got[k] for k, (_, text) in enumerate(PUBLISHED))
+
+
 def test_op2_same_as_sql(spark, sf):
     same(spark, sf, queries.op2_license_scan, queries.ORACLE_SQL["op2_license_scan"])
 
