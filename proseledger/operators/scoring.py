@@ -134,6 +134,14 @@ def score_texts(texts: DataFrame, scorer: Scorer) -> DataFrame:
     return dealt.mapInArrow(run, f"text_sha256 string, score double, breakdown {BREAKDOWN}").select(F.lit(scorer.model_id).alias("model_id"), "text_sha256", "score", "breakdown")
 
 
+def judged(rows: DataFrame, scorer: Scorer) -> DataFrame:
+    """Rows with score and breakdown, with klass, chip and reason."""
+    klass = class_by_score(F.col("score")) if scorer.rule == "score" else class_by_breakdown(F.col("breakdown"))
+    known = F.col("score").isNotNull()
+    reason = F.when(~known, "longer than the model takes")
+    return rows.withColumns({"klass": F.when(known, klass), "chip": F.when(known, chip(F.col("score"))), "reason": reason})
+
+
 def score_paragraphs(paragraphs: DataFrame, scorer: Scorer, cache: DataFrame | CacheTable | None = None) -> DataFrame:
     """Paragraphs with text_sha256, model_id, score, breakdown, klass, chip and reason.
 
@@ -154,10 +162,7 @@ def score_paragraphs(paragraphs: DataFrame, scorer: Scorer, cache: DataFrame | C
         else:
             fresh = score_texts(misses, scorer)
         rows = rows.join(hits.unionByName(fresh), "text_sha256")
-    klass = class_by_score(F.col("score")) if scorer.rule == "score" else class_by_breakdown(F.col("breakdown"))
-    known = F.col("score").isNotNull()
-    reason = F.when(~known, "longer than the model takes")
-    return rows.withColumns({"klass": F.when(known, klass), "chip": F.when(known, chip(F.col("score"))), "reason": reason})
+    return judged(rows, scorer)
 
 
 SCORERS = {"stub": HashStubScorer, "onnx": OnnxScorer}

@@ -7,7 +7,7 @@ from ..functions import text as T
 from ..operators import language as L
 from ..operators.report import CAVEAT
 from ..schemas import CLASSES
-from .queries import SINGLE_PAGE
+from .queries import OVERLAP, SINGLE_PAGE, WINDOW
 
 
 def _quote(s: str) -> str:
@@ -114,6 +114,14 @@ def _detected(rows: str, keys: str, learned: str = "SELECT lang, text FROM docum
     SELECT {keys}, detected, coalesce(n_parts, 0)::BIGINT AS n_parts, floor(ahead / n_parts)::BIGINT AS margin FROM (SELECT {keys} FROM rows) LEFT JOIN (SELECT * FROM ranked WHERE rank = 1) USING ({keys})"""
 
 
+_WINDOWS = (
+    f"SELECT source_kind, source_id, seq, lang, array_to_string(w[1 + k * {WINDOW - OVERLAP} : k * {WINDOW - OVERLAP} + {WINDOW}], ' ') AS text FROM (SELECT *, unnest(range(0, 1 + greatest(ceil((len(w) - {WINDOW}) / {WINDOW - OVERLAP}), 0)::BIGINT)) AS k "
+    f"FROM (SELECT *, string_split(text, ' ') AS w FROM ({_pages()}) WHERE lang = 'en'))"
+)
+_N_WORDS = "len(string_split(text, ' '))"
+_WINDOWED = f"SELECT source_id, seq, sum(score * {_N_WORDS}) / sum({_N_WORDS}) AS score, sum(ai * {_N_WORDS}) / sum({_N_WORDS}) AS ai, count(*) AS n_windows FROM ({_score(_WINDOWS)}) GROUP BY ALL"
+_BOTH = f"SELECT source_kind, source_id, seq, score, klass FROM ({_SCORED}) UNION ALL SELECT source_kind, source_id, seq, score, klass FROM ({_SCORED_DOCUMENTS})"
+
 _TURNS = _detected("SELECT conv_id, turn, text FROM conversations", "conv_id, turn")
 _HELD = f"{_CRC} % 5"
 
@@ -152,6 +160,11 @@ ORACLE_SQL: dict[str, str] = {
     "cached_scores": f"SELECT {_ROUNDED} FROM ({_SCORED})",
     "table_cached_scores": f"SELECT {_ROUNDED} FROM ({_SCORED})",
     "live_cached_scores": f"SELECT {_ROUNDED} FROM ({_SCORED})",
+    "windowed_scores": f"SELECT source_id, seq, round(score, 9) AS score, round(ai, 9) AS ai, (score >= 0.25)::INT + (score >= 0.5)::INT + (score >= 0.75)::INT AS klass, n_windows FROM ({_WINDOWED})",
+    "smoothed_scores": f"SELECT source_id, seq, round(score, 9) AS score, round(avg(score) OVER (PARTITION BY source_id ORDER BY seq RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING), 9) AS smoothed, "
+    f"round(CASE WHEN lag(seq) OVER w = seq - 1 THEN score - lag(score) OVER w END, 9) AS change FROM ({_SCORED}) WINDOW w AS (PARTITION BY source_id ORDER BY seq)",
+    "ai_runs": f"SELECT source_kind, source_id, min(seq) AS first, max(seq) AS last, count(*) AS n, round(avg(score), 9) AS mean_score FROM "
+    f"(SELECT *, seq - row_number() OVER (PARTITION BY source_kind, source_id ORDER BY seq) AS run FROM ({_BOTH}) WHERE klass >= 2) GROUP BY source_kind, source_id, run",
     "detected_turns": _TURNS,
     "detected_items": _detected("SELECT item_id, text FROM benchmark", "item_id"),
     "language_confusion": f"SELECT declared AS lang, detected, count(*) AS n FROM ({_detected(f'SELECT doc_id, lang AS declared, text FROM documents WHERE {_HELD} = 0', 'doc_id, declared', f'SELECT lang, text FROM documents WHERE {_HELD} <> 0')}) GROUP BY 1, 2",

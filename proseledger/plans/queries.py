@@ -15,7 +15,9 @@ from ..operators import report
 from ..operators.filters import admitted, analyzable, granted
 from ..operators.language import Profiles, detect, learn_profiles, with_language
 from ..operators.scoring import HashStubScorer, score_paragraphs, scorer
+from ..operators.runs import runs, smoothed
 from ..operators.segment import document_paragraphs, page_paragraphs
+from ..operators.windows import score_long
 from ..sources.pdf import StubPdfParser, parsed_pdfs, stub_pdf
 from ..sources.tables import as_documents, table
 from ..streaming.live_cache import live_scores
@@ -270,6 +272,28 @@ def english_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(score_paragraphs(analyzable(told), scorer("stub")))
 
 
+#: Windows of the query below: so many words, of which so many are the window before's too.
+WINDOW, OVERLAP = 40, 10
+
+
+def windowed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """English paragraphs in windows of 40 words, the path that a model takes; scores merged by length."""
+    out = score_long(_english_pages(spark, sf_dir), _BatchedStub(), WINDOW, OVERLAP)
+    return out.select("source_id", "seq", F.round("score", 9).alias("score"), F.round("breakdown.ai", 9).alias("ai"), F.col("klass").cast("int").alias("klass"), "n_windows")
+
+
+def smoothed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of English paragraphs with the means over their neighbours."""
+    out = smoothed(_scored(spark, sf_dir), reach=2)
+    return out.select("source_id", "seq", *(F.round(c, 9).alias(c) for c in ("score", "smoothed", "change")))
+
+
+def ai_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of paragraphs that read as heavily edited or AI-generated, of pages and documents."""
+    out = runs(_scored(spark, sf_dir).unionByName(_scored_documents(spark, sf_dir)), least_class=2)
+    return out.select("source_kind", "source_id", "first", "last", "n", F.round("mean_score", 9).alias("mean_score"))
+
+
 def stream_page_ai_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = page_summaries(spark, f"{sf_dir}/pages.parquet*", scorer("stub"))
     return out.select("source_id", "n_analyzed", "n_ai", F.round("ai_share", 9).alias("ai_share"))
@@ -315,6 +339,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cached_scores": cached_scores,
     "table_cached_scores": table_cached_scores,
     "live_cached_scores": live_cached_scores,
+    "windowed_scores": windowed_scores,
+    "smoothed_scores": smoothed_scores,
+    "ai_runs": ai_runs,
     "detected_turns": detected_turns,
     "detected_items": detected_items,
     "language_confusion": language_confusion,
