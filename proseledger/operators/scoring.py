@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+import socket
 from collections.abc import Iterator
 from pathlib import Path
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..folders import staged
@@ -67,6 +68,7 @@ class OnnxScorer:
             raise ValueError("overlong must be null or raise")
         self.overlong = overlong
         self.folder, self.max_tokens = Path(manifest).parent, max_tokens
+        self._path = Path(manifest)
         self.manifest = verified_manifest(manifest)
         self.model_id = self.manifest["model_id"]
         self._loaded: tuple | None = None
@@ -77,6 +79,9 @@ class OnnxScorer:
     def columns(self, text: Column) -> None:
         return None
 
+    def ready(self, spark: SparkSession) -> int:
+        return ready_everywhere(spark, str(self._path))
+
     def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if self._loaded is None:
             import onnxruntime
@@ -117,6 +122,30 @@ def verified_manifest(path: str) -> dict:
     return manifest
 
 
+def ready_everywhere(spark: SparkSession, manifest: str, tasks: int | None = None) -> int:
+    """Check a manifest's files where tasks run: on every executor, before the first text is scored. Raises what is wrong where; gives the number of tasks.
+
+    A barrier stage of as many tasks as run at once, so that every executor has some: all start together or none does.
+    """
+    tasks = tasks or spark.sparkContext.defaultParallelism
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            pass
+        try:
+            verified_manifest(manifest)
+            wrong = ""
+        except (OSError, ValueError, KeyError) as why:
+            wrong = f"{socket.gethostname()}: {why}"
+        yield pa.RecordBatch.from_arrays([pa.array([wrong])], ["wrong"])
+
+    found = [r["wrong"] for r in spark.range(0, tasks, 1, tasks).mapInArrow(check, "wrong string", barrier=True).collect()]
+    wrong = sorted({w for w in found if w})
+    if wrong:
+        raise ValueError("not ready: " + "; ".join(wrong))
+    return len(found)
+
+
 def score_texts(texts: DataFrame, scorer: Scorer) -> DataFrame:
     """Of (text_sha256, text), distinct: model_id, text_sha256, score, breakdown. Texts are dealt out anew, since a scan may be one task."""
 
@@ -129,6 +158,8 @@ def score_texts(texts: DataFrame, scorer: Scorer) -> DataFrame:
                 breakdown = pa.StructArray.from_arrays([pa.array(parts[:, k]) for k in range(4)], names=list(PARTS), mask=pa.array(none))
                 yield pa.RecordBatch.from_arrays([part.column("text_sha256"), pa.array(score.astype(float), mask=none), breakdown], ["text_sha256", "score", "breakdown"])
 
+    if hasattr(scorer, "ready"):
+        scorer.ready(texts.sparkSession)
     # texts of like length share a batch
     dealt = texts.select("text_sha256", "text").repartition("text_sha256").sortWithinPartitions(F.length("text"))
     return dealt.mapInArrow(run, f"text_sha256 string, score double, breakdown {BREAKDOWN}").select(F.lit(scorer.model_id).alias("model_id"), "text_sha256", "score", "breakdown")

@@ -165,6 +165,8 @@ ORACLE_SQL: dict[str, str] = {
     f"round(CASE WHEN lag(seq) OVER w = seq - 1 THEN score - lag(score) OVER w END, 9) AS change FROM ({_SCORED}) WINDOW w AS (PARTITION BY source_id ORDER BY seq)",
     "ai_runs": f"SELECT source_kind, source_id, min(seq) AS first, max(seq) AS last, count(*) AS n, round(avg(score), 9) AS mean_score FROM "
     f"(SELECT *, seq - row_number() OVER (PARTITION BY source_kind, source_id ORDER BY seq) AS run FROM ({_BOTH}) WHERE klass >= 2) GROUP BY source_kind, source_id, run",
+    "site_quantiles": f"SELECT {_HOST} AS host, count(*) AS n, round(quantile_disc(score, 0.1), 9) AS low, round(quantile_disc(score, 0.5), 9) AS middle, round(quantile_disc(score, 0.9), 9) AS high FROM ({_SCORED}) JOIN pages ON page_id = source_id GROUP BY 1",
+    "site_overlap": f"SELECT {_HOST} AS host, count(DISTINCT text_sha256) AS n_texts, count(DISTINCT text_sha256) FILTER (text_sha256 IN (SELECT text_sha256 FROM ({_SCORED_DOCUMENTS}))) AS n_shared FROM ({_SCORED}) JOIN pages ON page_id = source_id GROUP BY 1",
     "detected_turns": _TURNS,
     "detected_items": _detected("SELECT item_id, text FROM benchmark", "item_id"),
     "language_confusion": f"SELECT declared AS lang, detected, count(*) AS n FROM ({_detected(f'SELECT doc_id, lang AS declared, text FROM documents WHERE {_HELD} = 0', 'doc_id, declared', f'SELECT lang, text FROM documents WHERE {_HELD} <> 0')}) GROUP BY 1, 2",

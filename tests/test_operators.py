@@ -244,6 +244,20 @@ def test_cold_and_warm_cache_agree(spark, sf, tmp_path):
     assert cold == found(score_paragraphs(rows, HashStubScorer()))
 
 
+def test_a_damaged_copy_ends_the_job_before_any_score(spark, model_folder):
+    from proseledger.operators.scoring import ready_everywhere
+
+    model = OnnxScorer(str(model_folder / "manifest.json"))
+    assert ready_everywhere(spark, str(model_folder / "manifest.json")) == spark.sparkContext.defaultParallelism
+    (model_folder / "m.onnx").write_bytes(tiny_model([0.0, 1e-4, 2e-4, 9e-4]))
+    rows = spark.createDataFrame([("page", 1, 0, "en", "some text")], "source_kind string, source_id long, seq int, lang string, text string")
+    with pytest.raises(ValueError, match="not ready: .*isn't the file that the manifest pins"):
+        score_paragraphs(rows, model)
+    (model_folder / "m.onnx").unlink()
+    with pytest.raises(ValueError, match="not ready: .*missing"):
+        score_paragraphs(rows, model)
+
+
 def test_the_model_runs_once_after_pushed_filters(spark, sf):
     plan = score_paragraphs(analyzable(page_paragraphs(table(spark, sf, "pages"))), Batched())._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1
