@@ -158,7 +158,7 @@ def _exported(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and pages as the files that they would be exported to."""
     docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id", F.lit(".txt")).alias("path"), F.col("text").alias("value"))
     pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), "page_id", F.lit(".html")).alias("path"), F.col("html").alias("value"))
-    return document_paragraphs(as_documents(docs.unionByName(pages)).drop("doc_id").withColumnRenamed("source", "doc_id"), "export")
+    return document_paragraphs(as_documents(docs.unionByName(pages)), "export")
 
 
 def exported_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ pdf_pages = pdf_files
 
 
 def as_documents(files: DataFrame, lang: str = "en") -> DataFrame:
-    """Files (path, value) as documents: HTML files by their paragraphs, one to a line, others as they are. doc_id is a hash of the path.
+    """Files (path, value) as documents: HTML files by their paragraphs, one to a line, others as they are. doc_id is the path itself, since hashes of a billion paths may meet.
 
     The language is what an HTML file declares, and ``lang`` for all others.
     """
@@ -29,7 +29,7 @@ def as_documents(files: DataFrame, lang: str = "en") -> DataFrame:
     text = F.when(html, F.array_join(article_paragraphs(F.col("value")), "\n")).otherwise(F.coalesce("value", F.lit("")))
     declared = F.when(html, page_language(F.col("value")))
     rows = files.select(F.col("path").alias("source"), text.alias("text"), F.coalesce(F.nullif(declared, F.lit("")), F.lit(lang)).alias("lang"))
-    return rows.select(F.xxhash64("source").alias("doc_id"), "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    return rows.select(F.col("source").alias("doc_id"), "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def exported_documents(spark: SparkSession, path: str, lang: str = "en") -> DataFrame:
