@@ -18,9 +18,9 @@ def page_sketches(scored: DataFrame, k: int = SCORES_K, lg: int = TEXTS_LG) -> D
     return scored.groupBy("source_kind", "source_id").agg(F.count_if(known).alias("n"), *sketches)
 
 
-def merged_sketches(sketches: DataFrame, *by: str) -> DataFrame:
+def merged_sketches(sketches: DataFrame, *by: str, lg: int = TEXTS_LG) -> DataFrame:
     """The same of groups of pages (such as sites), from the pages' sketches alone; of all together without ``by``."""
-    return sketches.groupBy(*by).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("scores").alias("scores"), F.theta_union_agg("texts").alias("texts"))
+    return sketches.groupBy(*by).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("scores").alias("scores"), F.theta_union_agg("texts", F.lit(lg)).alias("texts"))
 
 
 def score_quantile(part: float, sketch: str = "scores") -> Column:
@@ -34,7 +34,7 @@ def n_texts(sketch: str = "texts") -> Column:
 
 def shared_texts(others: DataFrame, sketch: str = "texts") -> Column:
     """How many texts of a sketch the pages of ``others`` have too. Their sketches are merged to one, of at most 2 ** ``TEXTS_LG`` hashes, that goes to all tasks."""
-    all_others = others.agg(F.theta_union_agg("texts").alias("texts")).first()["texts"]
+    all_others = others.agg(F.theta_union_agg("texts", F.lit(TEXTS_LG)).alias("texts")).first()["texts"]
     if all_others is None:
         return F.lit(0).cast("long")
     return F.theta_sketch_estimate(F.theta_intersection(sketch, F.lit(bytes(all_others))))

@@ -24,7 +24,7 @@ def test_merged_sketches_hold_what_all_pages_do(spark):
 
 def test_errors_are_bounded_beyond_what_a_sketch_holds(spark):
     rows = scored(spark, 60_000)
-    whole = merged_sketches(page_sketches(rows, k=200, lg=10)).select("n", n_texts().alias("texts"), *(score_quantile(k / 20).alias(f"q{k}") for k in range(1, 20))).first()
+    whole = merged_sketches(page_sketches(rows, k=200, lg=10), lg=10).select("n", n_texts().alias("texts"), *(score_quantile(k / 20).alias(f"q{k}") for k in range(1, 20))).first()
     scores = np.sort([r.score for r in rows.collect() if r.score is not None])
     for k in range(1, 20):
         assert abs(np.searchsorted(scores, whole[f"q{k}"], "right") / len(scores) - k / 20) < 0.03
@@ -34,4 +34,6 @@ def test_errors_are_bounded_beyond_what_a_sketch_holds(spark):
 def test_shared_texts(spark):
     pages, others = page_sketches(scored(spark, 2000)), page_sketches(scored(spark, 2000, "document", 1000))
     assert merged_sketches(pages).select(shared_texts(others).alias("n")).first().n == 500
+    many = page_sketches(scored(spark, 40_000))  # more than the sketches of Spark's default size hold
+    assert merged_sketches(many).select(n_texts().alias("n")).first().n == 20_000 and merged_sketches(pages).select(shared_texts(many).alias("n")).first().n == 1000
     assert merged_sketches(pages).select(shared_texts(others.where("1 = 0")).alias("n")).first().n == 0
