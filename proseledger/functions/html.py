@@ -78,7 +78,7 @@ def decoded(text: Column) -> Column:
     return F.when(text.contains("&"), F.array_join(F.transform(named, part), "")).otherwise(text)
 
 
-def _meaning(named: Column) -> Column:
+def meaning(named: Column) -> Column:
     """What a token with its name is for paragraphs: text, a mark, a space or nothing."""
     token, name = named["token"], named["name"]
     bare = F.when(name.startswith("/"), F.substr(name, F.lit(2))).otherwise(name)
@@ -115,7 +115,7 @@ def page_paragraphs(html: Column, headings: bool = False) -> Column:
     """The paragraphs of a page in order, without empty ones; with or without its headings. A null page has none."""
     clean = F.translate(F.coalesce(html, F.lit("")), MARKS, "")
     named = F.transform(F.regexp_extract_all(clean, F.lit(TOKEN), F.lit(0)), lambda t: F.struct(t.alias("token"), F.lower(F.regexp_extract(t, NAME, 1)).alias("name")))
-    marked = F.array_join(F.transform(named, _meaning), "")
+    marked = F.array_join(F.transform(named, meaning), "")
     # an array of one binds what is looked at more than once, so that it is made once; the first part follows no tag of a region, for which a letter without meaning stands
     parts = F.split(F.concat(F.lit("-"), F.transform(F.array(marked), decoded)[0]), REGION)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..functions import html as H
 from ..functions import text as T
 from ..operators import language as L
+from ..operators.places import HOLDERS
 from ..operators.report import CAVEAT
 from ..schemas import CLASSES
 from .queries import OVERLAP, SINGLE_PAGE, WINDOW
@@ -24,20 +25,30 @@ def _decoded(x: str) -> str:
     return f"array_to_string(list_transform(string_split({x}, '&'), lambda e, k: {part}), '')"
 
 
-def _pages(headings: bool = False) -> str:
-    """The depth of a part is what has been opened less what has been closed, above the lowest that it has been."""
+def _mark(marks: str) -> str:
+    return " || ".join(f"chr({ord(c)})" if ord(c) < 32 else _quote(c) for c in marks)
+
+
+def _meaning(t: str) -> str:
     listed = lambda names: "(" + ", ".join(map(_quote, names)) + ")"
-    name, mark = f"lower(regexp_extract(t, {_quote(H.NAME)}, 1))", lambda m: " || ".join(f"chr({ord(c)})" if ord(c) < 32 else _quote(c) for c in m)
+    name = f"lower(regexp_extract({t}, {_quote(H.NAME)}, 1))"
     bare, opens = f"ltrim({name}, '/')", f"{name}[1:1] <> '/'"
-    meaning = (
-        f"CASE WHEN t[1:1] <> '<' OR t = '<' THEN t WHEN {name} = '' OR {name} IN {listed(H.RAW)} THEN '' "
-        f"WHEN {bare} = 'article' THEN CASE WHEN {opens} THEN {mark(H.REGION + 'A')} ELSE {mark(H.REGION + 'a')} END "
-        f"WHEN {bare} IN {listed(H.HIDDEN)} THEN CASE WHEN NOT {opens} THEN {mark(H.REGION + 'x')} WHEN t[-2:] = '/>' THEN {mark(H.INLINE)} ELSE {mark(H.REGION + 'X')} END "
-        f"WHEN {bare} IN {listed(H.HEADINGS)} THEN CASE WHEN {opens} THEN {mark(H.BREAK + H.HEADING)} ELSE {mark(H.BREAK)} END "
-        f"WHEN {bare} IN {listed(H.BLOCKS)} THEN {mark(H.BREAK)} WHEN {bare} = 'br' THEN ' ' ELSE {mark(H.INLINE)} END"
+    return (
+        f"CASE WHEN {t}[1:1] <> '<' OR {t} = '<' THEN {t} WHEN {name} = '' OR {name} IN {listed(H.RAW)} THEN '' "
+        f"WHEN {bare} = 'article' THEN CASE WHEN {opens} THEN {_mark(H.REGION + 'A')} ELSE {_mark(H.REGION + 'a')} END "
+        f"WHEN {bare} IN {listed(H.HIDDEN)} THEN CASE WHEN NOT {opens} THEN {_mark(H.REGION + 'x')} WHEN {t}[-2:] = '/>' THEN {_mark(H.INLINE)} ELSE {_mark(H.REGION + 'X')} END "
+        f"WHEN {bare} IN {listed(H.HEADINGS)} THEN CASE WHEN {opens} THEN {_mark(H.BREAK + H.HEADING)} ELSE {_mark(H.BREAK)} END "
+        f"WHEN {bare} IN {listed(H.BLOCKS)} THEN {_mark(H.BREAK)} WHEN {bare} = 'br' THEN ' ' ELSE {_mark(H.INLINE)} END"
     )
-    marked = f"array_to_string(list_transform(regexp_extract_all(translate(coalesce(html, ''), {mark(H.MARKS)}, ''), {_quote(H.TOKEN_RE2)}), lambda t: {meaning}), '')"
-    parts = f"SELECT page_id, lower(regexp_extract(html, {_quote(T.LANG)}, 1)) AS lang, string_split('-' || {_decoded(marked)}, {mark(H.REGION)}) AS p FROM pages"
+
+
+_TOKENS = f"regexp_extract_all(translate(coalesce(html, ''), {_mark(H.MARKS)}, ''), {_quote(H.TOKEN_RE2)})"
+
+
+def _pages(headings: bool = False) -> str:
+    """The depth of a part is what has been opened less what has been closed, above the lowest that it has been."""
+    marked = f"array_to_string(list_transform({_TOKENS}, lambda t: {_meaning('t')}), '')"
+    parts = f"SELECT page_id, lower(regexp_extract(html, {_quote(T.LANG)}, 1)) AS lang, string_split('-' || {_decoded(marked)}, {_mark(H.REGION)}) AS p FROM pages"
     stepped = f"SELECT page_id, lang, generate_subscripts(p, 1) AS k, unnest(p) AS part FROM ({parts})"
     moved = f"SELECT *, CASE part[1:1] WHEN 'A' THEN 1 WHEN 'a' THEN -1 ELSE 0 END AS da, CASE part[1:1] WHEN 'X' THEN 1 WHEN 'x' THEN -1 ELSE 0 END AS dx FROM ({stepped})"
     summed = f"SELECT *, sum(da) OVER w AS sa, sum(dx) OVER w AS sx FROM ({moved}) WINDOW w AS (PARTITION BY page_id ORDER BY k)"
@@ -93,6 +104,33 @@ _CRC = (
 )
 
 
+def _mark_places() -> str:
+    """Paragraphs by their tokens' places, with the innermost element whose tag stands before and whose end behind their start: the one opened last of those still open."""
+    holders = "(" + ", ".join(_quote(x) for n in HOLDERS for x in (n, "/" + n)) + ")"
+    article, hidden = (f"CASE meaning WHEN {_mark(H.REGION + x.upper())} THEN 1 WHEN {_mark(H.REGION + x)} THEN -1 ELSE 0 END" for x in "ax")
+    ends = f"(meaning[1:1] = chr(1) OR meaning IN ({_mark(H.REGION + 'A')}, {_mark(H.REGION + 'a')}))"
+    spoken = "(name = '' AND token[1:2] <> '<!' AND trim(regexp_replace(meaning, '\\s+', ' ', 'g')) <> '')"
+    return f"""
+    WITH cut AS (SELECT page_id, {_TOKENS} AS t FROM pages),
+    tokens AS (SELECT page_id, k, token, lower(regexp_extract(token, {_quote(H.NAME)}, 1)) AS name, {_meaning("token")} AS meaning, sum(length(token)) OVER (PARTITION BY page_id ORDER BY k) AS stop
+        FROM (SELECT page_id, generate_subscripts(t, 1) AS k, unnest(t) AS token FROM cut)),
+    summed AS (SELECT *, sum({article}) OVER w AS sa, sum({hidden}) OVER w AS sx FROM tokens WINDOW w AS (PARTITION BY page_id ORDER BY k)),
+    deep AS (SELECT *, sa > least(0, min(sa) OVER w) AS inside, sx > least(0, min(sx) OVER w) AS hidden FROM summed WINDOW w AS (PARTITION BY page_id ORDER BY k)),
+    shown AS (SELECT *, bool_or(inside) OVER (PARTITION BY page_id) AS articles FROM deep WHERE NOT hidden),
+    blocked AS (SELECT *, sum({ends}::INT) OVER (PARTITION BY page_id ORDER BY k) AS block FROM shown WHERE inside OR NOT articles OR {ends}),
+    blocks AS (SELECT page_id, block, string_agg(CASE WHEN meaning[1:1] = chr(2) THEN '' ELSE translate(meaning, chr(1), '') END, '' ORDER BY k) AS raw,
+        min(stop - length(ltrim(token, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))) FILTER ({spoken}) AS start, max(stop - length(token) + length(rtrim(token, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))) FILTER ({spoken}) AS stop FROM blocked GROUP BY 1, 2),
+    told AS (SELECT *, trim(regexp_replace(translate({_decoded("raw")}, chr(3) || chr(6), ''), '\\s+', ' ', 'g')) AS text FROM blocks WHERE raw[1:1] <> chr(3)),
+    places AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY block) - 1 AS seq, start, stop FROM told WHERE text <> ''),
+    tags AS (SELECT page_id, ltrim(name, '/') AS element, k, stop - length(token) AS start, stop, CASE WHEN name[1:1] = '/' THEN -1 ELSE 1 END AS step FROM tokens WHERE name IN {holders}),
+    levels AS (SELECT *, sum(step) OVER w AS s FROM tags WINDOW w AS (PARTITION BY page_id, element ORDER BY k)),
+    floors AS (SELECT *, s - least(0, min(s) OVER w) AS depth FROM levels WINDOW w AS (PARTITION BY page_id, element ORDER BY k)),
+    elements AS (SELECT page_id, element, start, coalesce((SELECT min(c.stop) FROM floors c WHERE c.page_id = o.page_id AND c.element = o.element AND c.k > o.k AND c.step < 0 AND c.depth < o.depth), 1e9) AS stop FROM floors o WHERE step > 0),
+    held AS (SELECT p.page_id, p.seq, arg_max(e.element, e.start) AS element, max(e.start) AS element_start FROM places p JOIN elements e ON e.page_id = p.page_id AND e.start <= p.start AND p.start < e.stop GROUP BY 1, 2)
+    SELECT p.page_id AS source_id, p.seq::INT AS seq, p.start::INT AS start, p.stop::INT AS "end", element, element_start::INT AS element_start, chip, klass
+    FROM places p JOIN ({_SCORED}) s ON s.source_id = p.page_id AND s.seq = p.seq LEFT JOIN held h ON h.page_id = p.page_id AND h.seq = p.seq"""
+
+
 def _parts(rows: str) -> str:
     """Of rows with a text, each with every part of its words."""
     words = f"'_' || regexp_replace(regexp_replace(lower(coalesce(text, '')), {_quote(L.NO_LETTERS)}, '__', 'g'), '^__|__$', '', 'g') || '_'"
@@ -167,6 +205,7 @@ ORACLE_SQL: dict[str, str] = {
     f"(SELECT *, seq - row_number() OVER (PARTITION BY source_kind, source_id ORDER BY seq) AS run FROM ({_BOTH}) WHERE klass >= 2) GROUP BY source_kind, source_id, run",
     "site_quantiles": f"SELECT {_HOST} AS host, count(*) AS n, round(quantile_disc(score, 0.1), 9) AS low, round(quantile_disc(score, 0.5), 9) AS middle, round(quantile_disc(score, 0.9), 9) AS high FROM ({_SCORED}) JOIN pages ON page_id = source_id GROUP BY 1",
     "site_overlap": f"SELECT {_HOST} AS host, count(DISTINCT text_sha256) AS n_texts, count(DISTINCT text_sha256) FILTER (text_sha256 IN (SELECT text_sha256 FROM ({_SCORED_DOCUMENTS}))) AS n_shared FROM ({_SCORED}) JOIN pages ON page_id = source_id GROUP BY 1",
+    "mark_places": _mark_places(),
     "detected_turns": _TURNS,
     "detected_items": _detected("SELECT item_id, text FROM benchmark", "item_id"),
     "language_confusion": f"SELECT declared AS lang, detected, count(*) AS n FROM ({_detected(f'SELECT doc_id, lang AS declared, text FROM documents WHERE {_HELD} = 0', 'doc_id, declared', f'SELECT lang, text FROM documents WHERE {_HELD} <> 0')}) GROUP BY 1, 2",

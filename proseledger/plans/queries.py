@@ -15,6 +15,7 @@ from ..operators import report
 from ..operators.filters import admitted, analyzable, granted
 from ..operators.language import Profiles, detect, learn_profiles, with_language
 from ..operators.scoring import HashStubScorer, score_paragraphs, scorer
+from ..operators.places import marked_places
 from ..operators.runs import runs, smoothed
 from ..operators.segment import document_paragraphs, page_paragraphs
 from ..operators.sketches import merged_sketches, n_texts, page_sketches, score_quantile, shared_texts
@@ -313,6 +314,12 @@ def site_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _site_sketches(spark, sf_dir).select("host", n_texts().alias("n_texts"), shared_texts(documents).alias("n_shared"))
 
 
+def mark_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each mark stands in its page's HTML, and the innermost element that holds it."""
+    out = marked_places(table(spark, sf_dir, "pages"), _scored(spark, sf_dir))
+    return out.withColumn("klass", F.col("klass").cast("int"))
+
+
 def stream_page_ai_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = page_summaries(spark, f"{sf_dir}/pages.parquet*", scorer("stub"))
     return out.select("source_id", "n_analyzed", "n_ai", F.round("ai_share", 9).alias("ai_share"))
@@ -363,6 +370,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ai_runs": ai_runs,
     "site_quantiles": site_quantiles,
     "site_overlap": site_overlap,
+    "mark_places": mark_places,
     "detected_turns": detected_turns,
     "detected_items": detected_items,
     "language_confusion": language_confusion,
