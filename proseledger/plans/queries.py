@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..folders import shared_path, staged
+from ..folders import shared_path
 from ..functions.marks import class_name
 from ..functions.text import host
 from ..operators import cache as score_cache
@@ -18,7 +18,7 @@ from ..operators.scoring import HashStubScorer, score_paragraphs, scorer
 from ..operators.places import marked_places
 from ..operators.runs import runs, smoothed
 from ..operators.segment import document_paragraphs, page_paragraphs
-from ..operators.sketches import merged_sketches, n_texts, page_sketches, score_quantile, shared_texts
+from ..operators.sites import score_quantiles, text_overlap
 from ..operators.windows import score_long
 from ..sources.pdf import StubPdfParser, parsed_pdfs, stub_pdf
 from ..sources.tables import as_documents, table
@@ -296,22 +296,21 @@ def ai_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("source_kind", "source_id", "first", "last", "n", F.round("mean_score", 9).alias("mean_score"))
 
 
-def _site_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages' sketches, stored, then added up to sites."""
+def _site_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored paragraphs with their sites."""
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("source_id"), host(F.col("url")).alias("host"))
-    stored = staged(page_sketches(_scored(spark, sf_dir)), "page-sketches")
-    return merged_sketches(stored.join(pages, "source_id"), "host")
+    return _scored(spark, sf_dir).select("source_id", "score", "text_sha256").join(pages, "source_id")
 
 
 def site_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each site the scores that a tenth, half and nine tenths of its paragraphs don't exceed."""
-    return _site_sketches(spark, sf_dir).select("host", "n", *(F.round(score_quantile(q), 9).alias(name) for name, q in (("low", 0.1), ("middle", 0.5), ("high", 0.9))))
+    found = score_quantiles(_site_paragraphs(spark, sf_dir), "host", {"low": "0.1", "middle": "0.5", "high": "0.9"})
+    return found.select("host", "n", *(F.round(name, 9).alias(name) for name in ("low", "middle", "high")))
 
 
 def site_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each site its distinct paragraphs, and how many of them stand in documents too."""
-    documents = page_sketches(_scored_documents(spark, sf_dir))
-    return _site_sketches(spark, sf_dir).select("host", n_texts().alias("n_texts"), shared_texts(documents).alias("n_shared"))
+    return text_overlap(_site_paragraphs(spark, sf_dir), _scored_documents(spark, sf_dir), "host")
 
 
 def mark_places(spark: SparkSession, sf_dir: str) -> DataFrame:
