@@ -1,6 +1,7 @@
 import sys
 import time
 
+import numpy as np
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -110,3 +111,29 @@ def test_a_live_entry_is_taken_and_an_expired_one_scored_again(spark, tmp_path):
     arrive("c", [(6, "one")])
     third = run(20_000)
     assert third[6] == (True, first[1][1]) and len(third) == 6
+
+
+class Together(HashStubScorer):
+    """Its score is the number of texts that were handed over together."""
+
+    def columns(self, text):
+        return None
+
+    def batch(self, texts):
+        assert len(texts) == len(set(texts)) <= 64
+        return np.full(len(texts), float(len(texts))), np.full((len(texts), 4), 0.25)
+
+
+def test_live_texts_are_scored_by_buckets(spark, tmp_path):
+    """One call for each bucket and not for each text, each text once, and later batches find every entry of their buckets."""
+    arrive = lambda name, rows: spark.createDataFrame([(k, f"https://a.x/{k}", f"<html lang=en><p>text {n}") for k, n in rows], "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "in" / name))
+    run = lambda: live_scores(spark, str(tmp_path / "in" / "*"), Together(), 3_600_000, str(tmp_path / "out"), str(tmp_path / "state"), buckets=4).collect()
+    arrive("a", [(k, k % 100) for k in range(300)])
+    first = run()
+    assert len(first) == 300 and all(r.fresh for r in first) and min(r.score for r in first) > 5
+    own = {r.text_sha256: r.score for r in first}
+    assert len(own) == 100
+    arrive("b", [(1000 + k, 50 + k) for k in range(100)])
+    second = [r for r in run() if r.source_id >= 1000]
+    assert len(second) == 100 and sum(r.fresh for r in second) == 50
+    assert all(r.fresh == (r.text_sha256 not in own) and (r.fresh or r.score == own[r.text_sha256]) for r in second)
