@@ -4,18 +4,19 @@ from __future__ import annotations
 
 import json
 import os
-import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 from .bpe import byte_letters, check_byte_level
 from .pieces import PieceTable
 from .shared import held
 
-#: One white-space character and a word.
-_WORD = re.compile(r"[ \n]\S+")
+#: One white-space character and a word, without any other white space or separator.
+_WORD = r"^[ \n][^\s\pZ\x{0B}\x{1C}-\x{1F}\x{85}]+$"
 
 
 class LibraryEncoder:
@@ -36,7 +37,7 @@ class LibraryEncoder:
         self._tokenizer.no_padding()
         self._tokenizer.encode_special_tokens = plain_specials
         added = {i: t.content for i, t in self._tokenizer.get_added_tokens_decoder().items()}
-        self.table = PieceTable(self._batch, () if plain_specials else tuple(added.values()), limit_bytes)
+        self.table = PieceTable(self._batch, () if plain_specials else tuple(added.values()), limit_bytes, marks=True)
         letters = byte_letters()
         self.n_bytes = np.zeros(1 + max([*self._tokenizer.get_vocab().values()]), np.int64)
         for token, i in self._tokenizer.get_vocab().items():
@@ -44,19 +45,18 @@ class LibraryEncoder:
 
     def _batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each of texts. Those of one white-space character and a word are encoded as one text, which is cut by its ids' bytes."""
-        words: list[int] = []
-        rest: list[int] = []
-        for k, text in enumerate(texts):
-            (words if _WORD.fullmatch(text) else rest).append(k)
+        given = pa.array(texts, pa.large_string())
+        is_word = pc.match_substring_regex(given, _WORD).to_numpy(zero_copy_only=False)
+        n_bytes = pc.binary_length(given).to_numpy()
+        words, rest = np.flatnonzero(is_word), np.flatnonzero(~is_word).tolist()
         out = [b""] * len(texts)
         for at in range(0, len(words), 20_000):
             part = words[at : at + 20_000]
-            ids = np.array(self._tokenizer.encode_batch_fast(["".join(texts[k] for k in part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum([len(texts[k].encode()) for k in part])
-            cuts = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends, "right").tolist()
+            ids = np.array(self._tokenizer.encode_batch_fast(["".join([texts[k] for k in part.tolist()])], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum(n_bytes[part]), "right") * 4
             blob, start = ids.tobytes(), 0
-            for k, cut in zip(part, cuts, strict=True):
-                out[k] = blob[start * 4 : cut * 4]
+            for k, cut in zip(part.tolist(), cuts.tolist(), strict=True):
+                out[k] = blob[start:cut]
                 start = cut
         for k, found in zip(rest, self._tokenizer.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False), strict=True):
             out[k] = array("I", found.ids).tobytes()

@@ -1,6 +1,7 @@
 import hashlib
 import json
 import lzma
+import random
 import zlib
 from pathlib import Path
 
@@ -220,3 +221,16 @@ def test_fields_and_odd_rows(spark, vocabulary):
     assert {r.section for r in none} == {-1} and len(none) == docs.count()
     with pytest.raises(ValueError, match="rule"):
         attribute_tokens(docs, vocabulary, rule="other")
+
+
+def test_words_and_marks_are_encoded_apart(vocabulary):
+    """The library is given a word once, whatever marks follow it; ids stay those of whole texts."""
+    encoder, library = LibraryEncoder(vocabulary), Tokenizer.from_file(vocabulary)
+    marks = [chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]
+    encoder.encode("".join(f"a vinganst{m} b" for m in marks))
+    assert [p for p in encoder.table if "vinganst" in p] == ["vinganst"]
+    rng = random.Random(4)
+    parts = [*marks, "'", "'s", "'t", "9", "A", "z", "é", "×", "²", "٣", "字", "e\u0301", " ", " ", "\n", "\t", "\u3000", "\x85", "\u200b", "<|endoftext|>"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 25))) for _ in range(5000)]
+    want = [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in encoder.encode_many(texts)] == want
