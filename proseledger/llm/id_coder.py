@@ -43,6 +43,13 @@ class _Model:
         self.symbols, self.steps, self._lookup = symbols, steps, lookup
         self.classes = max(1, min(CLASSES, symbols, _TABLE // symbols))
         self.counts = np.zeros((self.classes, symbols), np.int32)
+        # a reader's jumps may pass the end of a distribution, by two buckets at most
+        self.stride = symbols + 1 + (2 << _BUCKET) * lookup
+        self._own, self._parts = np.empty(self.counts.shape, np.float32), np.empty(self.counts.shape, np.int32)
+        self._buckets = np.empty((self.classes, symbols - 1) if lookup else 0, np.int64)
+        self._starts = np.zeros((self.classes, self.stride), np.int32)
+        self._starts[:, symbols:] = 1 << _BITS1
+        self.cum = self._starts.reshape(-1)
         self.pending: list[np.ndarray] = []
         self.due = 1
         self.slots = 1 << min(20, max(10, n.bit_length() - 2))
@@ -60,26 +67,28 @@ class _Model:
         # every operation is elementwise on single floats, so that it rounds alike everywhere
         prior = ((zero + 0.1) * (PRIOR / (zero.sum() + 0.1 * self.symbols))).astype(np.float32)
         scale = (((1 << _BITS1) - self.symbols - 1) / (self.counts.sum(1, dtype=np.int64) + PRIOR)).astype(np.float32)
-        own = np.add(self.counts, prior, dtype=np.float32)
-        own *= scale[:, None]
-        self.cum = np.zeros((self.classes, self.symbols + 1), np.int32)
-        np.cumsum(own.astype(np.int32) + 1, axis=1, out=self.cum[:, 1:])
-        self.cum[:, -1] = 1 << _BITS1
+        np.add(self.counts, prior, out=self._own, dtype=np.float32)
+        self._own *= scale[:, None]
+        np.copyto(self._parts, self._own, casting="unsafe")  # rounds down
+        self._parts += 1
+        np.cumsum(self._parts[:, :-1], axis=1, out=self._starts[:, 1 : self.symbols])
         if self._lookup:
             # for each bucket the last symbol that starts before it, with one bucket more in front of each class; the first symbol starts at 0
             wide = (1 << (_BITS1 - _BUCKET)) + 1
-            at = (self.cum[:, 1:-1] >> _BUCKET) + (np.arange(self.classes, dtype=np.int32) * wide + 1)[:, None]
-            self.index = np.cumsum(np.bincount(at.ravel(), minlength=self.classes * wide).reshape(self.classes, wide), 1).ravel()
-        self.cum = self.cum.ravel()
+            np.right_shift(self._starts[:, 1 : self.symbols], _BUCKET, out=self._buckets)
+            self._buckets += (np.arange(self.classes) * wide + 1)[:, None]
+            counts = np.bincount(self._buckets.reshape(-1), minlength=self.classes * wide).reshape(self.classes, wide)
+            self.index = np.cumsum(counts, 1, dtype=np.int32).ravel()
 
     def _weigh(self) -> None:
         # 32 of the weight at least are order 1's, so that every id can be coded
-        self.mass2 = (self.seen[:, 1] * ((1 << _BITS_WEIGHT) - 32) // self.seen.sum(1)) << _BITS1
-        self.w1 = (1 << _BITS_WEIGHT) - (self.mass2 >> _BITS1)
+        share2 = self.seen[:, 1] * ((1 << _BITS_WEIGHT) - 32) // self.seen.sum(1)
+        # all frequencies are under 2**31, and vectors of single integers take half the time
+        self.mass2, self.w1 = (share2 << _BITS1).astype(np.int32), ((1 << _BITS_WEIGHT) - share2).astype(np.int32)
 
     def predict(self) -> None:
         self.kind = np.minimum(self.last, self.classes - 1)
-        self.row = self.kind * (self.symbols + 1)
+        self.row = self.kind * self.stride
         self.slot = ((self.before * 50_021 + self.last * 7) * 2_654_435_761 >> 9) & (self.slots - 1)
         self.e2 = self.after2.take(self.slot).astype(np.int64)
         self.p2, self.k2 = self.e2 >> 3, self.e2 & 7
@@ -99,26 +108,22 @@ class _Model:
         at = self.row + self.p2
         low = self.w * self.cum.take(at)
         high = self.w * self.cum.take(at + 1) + self.m2
-        guessed = (value >= low) & (value < high)
-        plain = value - self.m2 * (value >= high)
-        plain[guessed] = 0
+        over = value >= high
+        open_ = (value < low) | over  # the others are the guessed symbols
         # true division is exact enough to round down: the numbers are under 2**30 and 2**12
-        part = (plain / self.w).astype(np.int64)
+        part = ((value - self.m2 * over) * open_ / self.w).astype(np.int32)
         bucket = self.kind * ((1 << (_BITS1 - _BUCKET)) + 1) + (part >> _BUCKET)
         # a bucket's first symbol may have started before it
-        ids, most = self.index.take(bucket), self.index.take(bucket + 1)
-        ids[guessed] = most[guessed]
-        todo = np.flatnonzero(most > ids)
-        low, high, row, part = ids[todo], most[todo], self.row[todo], part[todo]
-        while len(todo):
-            middle = (low + high + 1) >> 1
-            under = self.cum.take(row + middle) <= part
-            low, high = np.where(under, middle, low), np.where(under, high, middle - 1)
-            done = low == high
-            ids[todo[done]] = low[done]
-            more = ~done
-            todo, low, high, row, part = todo[more], low[more], high[more], row[more], part[more]
-        np.copyto(ids, self.p2, where=guessed)
+        first, most = self.index.take(bucket), self.index.take(bucket + 1)
+        ids = np.where(open_, first, self.p2)
+        todo = ((most > first) & open_).nonzero()[0]
+        if len(todo):
+            row, part = self.row[todo], part[todo]
+            place = row + first[todo]
+            for bit in range(int((most - first)[todo].max()).bit_length() - 1, -1, -1):
+                further = place + (1 << bit)
+                place = np.where(self.cum.take(further) <= part, further, place)
+            ids[todo] = place - row
         return ids
 
     def learn(self, ids: np.ndarray, step: int) -> None:
@@ -132,7 +137,7 @@ class _Model:
         self.before, self.last = self.last, ids
         self.pending.append(self.kind * self.symbols + ids)
         if step + 1 >= self.due:
-            self.counts += np.bincount(np.concatenate(self.pending), minlength=self.counts.size).astype(np.int32).reshape(self.counts.shape)
+            np.add.at(self.counts.reshape(-1), np.concatenate(self.pending), np.int32(1))  # of the counts' own kind: others take ten times as long
             self.pending = []
             self.due = step + 1 + max(1, min(step // 3, self.steps // 10))
             self._spread()
@@ -156,38 +161,43 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
     often = np.bincount(ids)
     used = np.flatnonzero(often)
     used = used[np.argsort(-often[used], kind="stable")]
-    place = np.zeros(len(often), np.int64)
+    place = np.zeros(len(often), np.int32)
     place[used] = np.arange(len(used))
     steps = -(-n // lanes)
-    padded = np.zeros(steps * lanes, np.int64)  # the padding at the end is coded too, as the first symbol
-    padded[:n] = place[ids]
+    padded = np.zeros(steps * lanes, np.int32)  # the padding at the end is coded too, as the first symbol
+    padded[:n] = place.take(ids)
     columns = np.ascontiguousarray(padded.reshape(lanes, steps).T)
     model = _Model(n, lanes, steps, len(used), lookup=False)
     low, rng = np.zeros(lanes, np.int64), np.full(lanes, 1 << (_LEAST + _DIGIT), np.int64)
-    digits = np.zeros((lanes, steps * 2 + 8), np.int32)
-    at = np.zeros(lanes, np.int64)
+    lane_of: list[np.ndarray] = []  # of the digits, which come out by steps
+    digits: list[np.ndarray] = []
     for step in range(steps):
+        now = columns[step].astype(np.int64)
         model.predict()
-        start, own = model.span(columns[step])
+        start, own = model.span(now)
         unit = rng >> _BITS
         low += unit * start
         rng = unit * own
-        while len(full := np.flatnonzero(rng < 1 << _LEAST)):
-            part, where = low[full], at[full]
-            digits[full, where] = part >> _LEAST  # a carry stays in the digit until the end
+        full = (rng < 1 << _LEAST).nonzero()[0]
+        while len(full):
+            part, wider = low[full], rng[full] << _DIGIT
+            lane_of.append(full.astype(np.uint16))
+            digits.append((part >> _LEAST).astype(np.int32))  # a carry stays in the digit until the end
             low[full] = (part & ((1 << _LEAST) - 1)) << _DIGIT
-            rng[full] <<= _DIGIT
-            at[full] = where + 1
-        model.learn(columns[step], step)
+            rng[full] = wider
+            full = full[wider < 1 << _LEAST]
+        model.learn(now, step)
     # as few digits as tell the final range: the lane's range is at least 2**_LEAST
-    low += (1 << _LEAST) - 1
-    digits[np.arange(lanes), at] = low >> _LEAST
-    at += 1
-    while (over := np.argwhere(digits >= 1 << _DIGIT)).size:
-        digits[over[:, 0], over[:, 1]] -= 1 << _DIGIT
-        digits[over[:, 0], over[:, 1] - 1] += 1
+    lane_of.append(np.arange(lanes, dtype=np.uint16))
+    digits.append(((low + ((1 << _LEAST) - 1)) >> _LEAST).astype(np.int32))
+    lane = np.concatenate(lane_of)
+    at = np.bincount(lane, minlength=lanes)
+    ordered = np.concatenate(digits)[np.argsort(lane, kind="stable")]  # by lanes, within a lane by steps
+    while (over := np.flatnonzero(ordered >= 1 << _DIGIT)).size:
+        ordered[over] -= 1 << _DIGIT
+        ordered[over - 1] += 1
     listed, lengths = zlib.compress(used.astype("<u4").tobytes()), zlib.compress(at.astype("<u4").tobytes())
-    return head(len(used), len(listed), len(lengths)) + listed + lengths + digits[np.arange(digits.shape[1]) < at[:, None]].astype("<u2").tobytes()
+    return head(len(used), len(listed), len(lengths)) + listed + lengths + ordered.astype("<u2").tobytes()
 
 
 def decode_block(block: bytes) -> np.ndarray:
@@ -204,17 +214,14 @@ def decode_block(block: bytes) -> np.ndarray:
         digits = np.frombuffer(block, "<u2", offset=at_lengths + size).astype(np.int64)
         if len(used) != symbols or not 0 < symbols <= n or lanes != lanes_for(n) or len(lengths) != lanes or lengths.sum() != len(digits):
             raise ValueError("damaged block: its parts don't fit")
-        ends = np.cumsum(lengths)
-        at = ends - lengths
-
-        def next_digits(which: np.ndarray | slice) -> np.ndarray:
-            where = at[which].copy()
-            at[which] = where + 1
-            return np.where(where < ends[which], digits[np.minimum(where, len(digits) - 1)], 0)
-
+        # the reader is two digits ahead: zeros follow each lane's own
+        padded = np.zeros(len(digits) + 2 * lanes, np.int64)
+        padded[np.arange(len(digits)) + np.repeat(2 * np.arange(lanes), lengths)] = digits
+        at = np.cumsum(lengths + 2) - lengths - 2  # where the next digits are
         code = np.zeros(lanes, np.int64)  # less the encoder's low
         for _ in range(3):
-            code = code << _DIGIT | next_digits(slice(None))
+            code = code << _DIGIT | padded[at]
+            at += 1
         steps = -(-n // lanes)
         model = _Model(n, lanes, steps, symbols, lookup=True)
         rng = np.full(lanes, 1 << (_LEAST + _DIGIT), np.int64)
@@ -223,18 +230,22 @@ def decode_block(block: bytes) -> np.ndarray:
             model.predict()
             unit = rng >> _BITS
             # exact, too: the quotient is under 2**31 and the divisor under 2**19
-            ids = model.find(np.minimum((code / unit).astype(np.int64), (1 << _BITS) - 1))
+            ids = model.find(np.clip(code / unit, 0, (1 << _BITS) - 1).astype(np.int32))
             start, own = model.span(ids)
             code -= unit * start
             rng = unit * own
-            while len(full := np.flatnonzero(rng < 1 << _LEAST)):
-                code[full] = code[full] << _DIGIT | next_digits(full)
-                rng[full] <<= _DIGIT
-            out[step] = ids
+            full = (rng < 1 << _LEAST).nonzero()[0]
+            while len(full):
+                where, wider = at[full], rng[full] << _DIGIT
+                code[full] = code[full] << _DIGIT | padded[where]
+                at[full] = where + 1
+                rng[full] = wider
+                full = full[wider < 1 << _LEAST]
+            out[step] = used.take(ids)
             model.learn(ids, step)
     except (zlib.error, IndexError, ValueError) as why:
         raise ValueError(f"damaged block: {why}") from why
-    ids = used[np.ascontiguousarray(out.T).reshape(-1)[:n]].astype("<u4")
+    ids = np.ascontiguousarray(out.T).reshape(-1)[:n].astype("<u4", copy=False)
     if zlib.crc32(ids) != crc:
         raise ValueError("damaged block: the checksum differs")
     return ids

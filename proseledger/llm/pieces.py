@@ -33,7 +33,8 @@ def _tangled(text: str) -> bool:
 def _as_in_text(pieces: pa.Array) -> list[str]:
     none, space = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
     spaced = pc.if_else(pc.starts_with(pieces, "\n"), pieces, pc.binary_join_element_wise(none, pieces, space))
-    return pc.if_else(pc.starts_with(pieces, _FIRST), pc.utf8_slice_codeunits(pieces, len(_FIRST)), spaced).to_pylist()
+    whole = pc.if_else(pc.starts_with(pieces, _FIRST), pc.utf8_slice_codeunits(pieces, len(_FIRST)), spaced)
+    return whole.to_numpy(zero_copy_only=False).tolist()
 
 
 class PieceTable(dict):
