@@ -53,7 +53,7 @@ class _Model:
         self.pending: list[np.ndarray] = []
         self.due = 1
         self.slots = 1 << min(20, max(10, n.bit_length() - 2))
-        self.after2 = np.zeros(self.slots, np.int32)
+        self.after2 = np.zeros(self.slots, np.uint16 if symbols < 1 << 13 else np.int32)  # the smaller, the more of it stays in the processor's cache
         self.last = np.zeros(lanes, np.int64)
         self.before = np.zeros(lanes, np.int64)
         self.rank = np.minimum(np.log2(1 + np.arange(symbols) / 16).astype(np.int64) // 2, 3)
@@ -63,10 +63,10 @@ class _Model:
 
     def _spread(self) -> None:
         """Order 1 as frequencies of at least 1 that sum to 2**_BITS1 in each class."""
-        zero = self.counts.sum(0, dtype=np.int64)
+        zero = self.counts.sum(0, dtype=np.int32).astype(np.int64)
         # every operation is elementwise on single floats, so that it rounds alike everywhere
         prior = ((zero + 0.1) * (PRIOR / (zero.sum() + 0.1 * self.symbols))).astype(np.float32)
-        scale = (((1 << _BITS1) - self.symbols - 1) / (self.counts.sum(1, dtype=np.int64) + PRIOR)).astype(np.float32)
+        scale = (((1 << _BITS1) - self.symbols - 1) / (self.counts.sum(1, dtype=np.int32).astype(np.int64) + PRIOR)).astype(np.float32)
         np.add(self.counts, prior, out=self._own, dtype=np.float32)
         self._own *= scale[:, None]
         np.copyto(self._parts, self._own, casting="unsafe")  # rounds down
@@ -87,21 +87,22 @@ class _Model:
         self.mass2, self.w1 = (share2 << _BITS1).astype(np.int32), ((1 << _BITS_WEIGHT) - share2).astype(np.int32)
 
     def predict(self) -> None:
+        # all places are there: "clip" only saves the checks
         self.kind = np.minimum(self.last, self.classes - 1)
         self.row = self.kind * self.stride
         self.slot = ((self.before * 50_021 + self.last * 7) * 2_654_435_761 >> 9) & (self.slots - 1)
-        self.e2 = self.after2.take(self.slot).astype(np.int64)
+        self.e2 = self.after2.take(self.slot, mode="clip").astype(np.int64)
         self.p2, self.k2 = self.e2 >> 3, self.e2 & 7
-        self.state = self.k2 * 4 + self.rank.take(self.last)
-        self.w, self.m2 = self.w1.take(self.state), self.mass2.take(self.state)
+        self.state = self.k2 * 4 + self.rank.take(self.last, mode="clip")
+        self.w, self.m2 = self.w1.take(self.state, mode="clip"), self.mass2.take(self.state, mode="clip")
 
     def span(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cumulative and own frequency of symbols in the mixture."""
         self.hit2 = self.p2 == ids
         at = self.row + ids
-        start = self.cum.take(at)
+        start = self.cum.take(at, mode="clip")
         low = self.w * start + self.m2 * (self.p2 < ids)
-        return low, self.w * (self.cum.take(at + 1) - start) + self.m2 * self.hit2
+        return low, self.w * (self.cum.take(at + 1, mode="clip") - start) + self.m2 * self.hit2
 
     def find(self, value: np.ndarray) -> np.ndarray:
         """The symbols whose spans hold the values."""

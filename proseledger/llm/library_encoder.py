@@ -44,7 +44,7 @@ class LibraryEncoder:
         self._model = self._tokenizer.model
         # an added token that may stand inside a word is found by the tokenizer, not by its model
         self._by_model = not any(re.fullmatch(r"[\w\s]*", t) for t in added.values())
-        self.table = PieceTable(self._batch, () if plain_specials else tuple(added.values()), limit_bytes, marks=True)
+        self.table = PieceTable(self._batch, () if plain_specials else tuple(added.values()), limit_bytes, marks=True, arrow=True)
         letters = byte_letters()
         self._letter_of = np.zeros(256, "<u4")
         self._letter_of[[*letters.values()]] = [ord(c) for c in letters]
@@ -52,11 +52,10 @@ class LibraryEncoder:
         for token, i in self._tokenizer.get_vocab().items():
             self.n_bytes[i] = len(token) if i not in added and all(c in letters for c in token) else len(token.encode())
 
-    def _batch(self, texts: list[str]) -> list[bytes]:
+    def _batch(self, given: pa.Array) -> list[bytes]:
         """The ids of each of texts. Other pieces than letters, if of one white-space character and a word, are encoded as one text, which is cut by its ids' bytes."""
-        given = pa.array(texts, pa.large_string())
         is_word = pc.match_substring_regex(given, _WORD).to_numpy(zero_copy_only=False)
-        out = [b""] * len(texts)
+        out = [b""] * len(given)
         if self._by_model:
             letters = pc.match_substring_regex(given, _LETTERS)
             is_letters = letters.to_numpy(zero_copy_only=False)
@@ -65,18 +64,18 @@ class LibraryEncoder:
             for k, piece in zip(np.flatnonzero(is_letters).tolist(), joined.split(chr(self._letter_of[10])), strict=False):
                 out[k] = array("I", [token.id for token in self._model.tokenize(piece)]).tobytes()
         else:
-            is_letters = np.zeros(len(texts), bool)
+            is_letters = np.zeros(len(given), bool)
         n_bytes = pc.binary_length(given).to_numpy()
-        words, rest = np.flatnonzero(is_word & ~is_letters), np.flatnonzero(~is_word & ~is_letters).tolist()
+        words, rest = np.flatnonzero(is_word & ~is_letters), np.flatnonzero(~is_word & ~is_letters)
         for at in range(0, len(words), 20_000):
             part = words[at : at + 20_000]
-            ids = np.array(self._tokenizer.encode_batch_fast(["".join([texts[k] for k in part.tolist()])], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self._tokenizer.encode_batch_fast(["".join(given.take(pa.array(part)).to_pylist())], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum(n_bytes[part]), "right") * 4
             blob, start = ids.tobytes(), 0
             for k, cut in zip(part.tolist(), cuts.tolist(), strict=True):
                 out[k] = blob[start:cut]
                 start = cut
-        for k, found in zip(rest, self._tokenizer.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False), strict=True):
+        for k, found in zip(rest.tolist(), self._tokenizer.encode_batch_fast(given.take(pa.array(rest)).to_pylist(), add_special_tokens=False), strict=True):
             out[k] = array("I", found.ids).tobytes()
         return out
 
