@@ -7,6 +7,8 @@ the commonest of their second id, and the sum of its links' counts.
 
 Documents are encoded once, in chunks of some millions of characters; a chunk keeps its links as places in its list of distinct id pairs. The lists are
 summed to counts by a shuffle of one row for each pair and chunk, and joined back to the chunks' lists, so no pair's count is ever broadcast.
+A chunk is many rows of bounded size: parts of its list, and runs of texts with their links, compressed. So no row of the files, of the shuffle or between the JVM
+and Python is large; rows of whole chunks filled the heap and much beside it. The counts of a chunk's pairs come as rows before its links, by a sort that may spill.
 
 Cases: a null or empty text, and a text that the tokens of either side don't give back byte for byte (such as one with U+2581, which the second
 side's tokens use for a space), has no tokens: zeros and an empty digest; special tokens' strings are text; very long texts are a chunk of their own;
@@ -36,6 +38,8 @@ from .shared import batches_of, held, let_go, staged, text_of
 _LOST = 0xFFFFFFFF
 #: Characters of the texts that are aligned at once, and of those that share a list of id pairs.
 PART, CHUNK = 1 << 19, 2 << 20
+#: Most links, texts and distinct pairs in a row of a chunk; a text with more links goes over several rows.
+LINKS, TEXTS, PAIRS = 1 << 17, 1 << 10, 1 << 14
 #: Ids are below this; a pair of ids is one number.
 _IDS = 1 << 32
 _SPACE = "▁"
@@ -167,21 +171,71 @@ def token_aligner(path_a: str, path_b: str) -> TokenAligner:
 _COUNTS = ("n_a", "n_b", "n_groups", "n_overlaps", "n_products")
 
 
+def _runs(stops: np.ndarray, most_links: int, most_texts: int) -> Iterator[tuple[int, int]]:
+    """Runs of texts with no more links together, or of one text; ``stops`` are the numbers of links up to each."""
+    first = 0
+    while first < len(stops):
+        before = stops[first - 1] if first else 0
+        last = min(max(int(np.searchsorted(stops, before + most_links, "right")), first + 1), first + most_texts)
+        yield first, last
+        first = last
+
+
+def _in_list(values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def _packed(columns: dict[str, pa.Array]) -> bytes:
+    """Arrays of any lengths and types as compressed bytes: a column that Spark hands to Python row by row costs less the fewer parts it has."""
+    sink = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_arrays([_in_list(c) for c in columns.values()], [*columns])
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd", use_threads=False)) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> dict[str, pa.Array]:
+    with pa.ipc.open_stream(data, options=pa.ipc.IpcReadOptions(use_threads=False)) as found:
+        batch = found.read_next_batch()
+    return {name: batch.column(name)[0].values for name in batch.schema.names}
+
+
+def _chunk_rows(number: int, ids: pa.Array, parts: list[dict], most_links: int, most_texts: int, most_pairs: int) -> Iterator[pa.RecordBatch]:
+    """The rows of one chunk of texts: its distinct pairs, the most frequent ones first, and then its texts with the places of their links' pairs.
+
+    A text with too many links for a row has rows before its own that hold links and no text.
+    """
+    pairs, links, n = np.unique(np.concatenate([x["pairs"] for x in parts]), return_inverse=True, return_counts=True)
+    order = np.argsort(-n, kind="stable")  # small places for most links, which compress better
+    place = np.empty(len(pairs), np.uint16 if len(pairs) <= 1 << 16 else np.uint32)
+    place[order] = np.arange(len(pairs))
+    links = place[links]
+    columns = {"ids": ids} | {c: pa.array(np.concatenate([x[c] for x in parts]), pa.int64()) for c in _COUNTS}
+    columns["groups_sha256"] = pa.array([d for x in parts for d in x["groups_sha256"]], pa.string())
+
+    def row(at: int, pairs: pa.Array, n_pairs: pa.Array, body: bytes | None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([at]), pairs, n_pairs, pa.array([body], pa.binary())], ["chunk", "at", "pairs", "n_pairs", "body"])
+
+    for low in range(0, len(pairs), most_pairs):
+        some = order[low : low + most_pairs]
+        yield row(low, _in_list(pa.array(pairs[some])), _in_list(pa.array(n[some], pa.int64())), None)
+    at, none = len(pairs), pa.nulls(1, pa.list_(pa.int64()))
+    stops = np.cumsum(columns["n_groups"].to_numpy())  # a link for each group
+    for first, last in _runs(stops, most_links, most_texts):
+        low, high = int(stops[first - 1]) if first else 0, int(stops[last - 1])
+        while high - low > most_links:
+            yield row(at, none, none, _packed({c: x.slice(0, 0) for c, x in columns.items()} | {"links": pa.array(links[low : low + most_links])}))
+            low, at = low + most_links, at + 1
+        yield row(at, none, none, _packed({c: x.slice(first, last - first) for c, x in columns.items()} | {"links": pa.array(links[low:high])}))
+        at += 1
+
+
 def _chunks(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: str) -> DataFrame:
-    """One row for each chunk of documents: their ids and counts, its distinct pairs with their links, and the place of each link's pair in that list."""
+    """The rows of all chunks of documents; ``at`` orders those of a chunk, and is the place of the first pair in rows of pairs."""
     rows = docs.select(docs[id_col].alias("id"), text_of(text_col).alias("text"))
-    schema = f"chunk long, ids array<{rows.schema['id'].dataType.simpleString()}>, {', '.join(f'{c} array<long>' for c in _COUNTS)}, groups_sha256 array<string>, pairs array<long>, n_pairs array<long>, links array<int>"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner, number = token_aligner(path_a, path_b), TaskContext.get().partitionId() << 32
-
-        def made(ids: list[pa.Array], parts: list[dict], number: int) -> pa.RecordBatch:
-            pairs, links, n = np.unique(np.concatenate([x["pairs"] for x in parts]), return_inverse=True, return_counts=True)
-            counts = [pa.array(np.concatenate([x[c] for x in parts]), pa.int64()) for c in _COUNTS]
-            columns = [pa.concat_arrays(ids), *counts, pa.array([d for x in parts for d in x["groups_sha256"]], pa.string()), pa.array(pairs), pa.array(n, pa.int64()), pa.array(links.astype(np.int32))]
-            names = ["ids", *_COUNTS, "groups_sha256", "pairs", "n_pairs", "links"]
-            return pa.RecordBatch.from_arrays([pa.array([number]), *(pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns)], ["chunk", *names])
-
         ids: list[pa.Array] = []
         parts: list[dict] = []
         total = 0
@@ -195,12 +249,43 @@ def _chunks(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: st
                     total += size
                     first, size = k + 1, 0
                 if total >= CHUNK:
-                    yield made(ids, parts, number)
+                    yield from _chunk_rows(number, pa.concat_arrays(ids), parts, LINKS, TEXTS, PAIRS)
                     ids, parts, total, number = [], [], 0, number + 1
         if parts:
-            yield made(ids, parts, number)
-
-    return rows.mapInArrow(encode, schema)
+            yield from _chunk_rows(number, pa.concat_arrays(ids), parts, LINKS, TEXTS, PAIRS)
+
+    return rows.mapInArrow(encode, "chunk long, at long, pairs array<long>, n_pairs array<long>, body binary")
+
+
+class _Known:
+    """Takes the rows of chunks in order, the counts of a chunk's pairs before its texts, and gives the texts' sums of them."""
+
+    def __init__(self) -> None:
+        self._number: int | None = None
+        self._values: list[np.ndarray] = []
+        self._totals = self._best = np.zeros(0, np.int64)
+        self._carried = np.zeros(3, np.int64)  # links, best ones and sum of a text's rows before its own
+
+    def add(self, values: np.ndarray) -> None:
+        """Counts of pairs, each twice that and one more for the best of their second id."""
+        self._values.append(values)
+
+    def texts(self, number: int, links: np.ndarray, n_groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Best links and sums of links' counts of the texts of a row, whose numbers of links are ``n_groups``."""
+        if number != self._number:
+            values = np.concatenate([*self._values, np.zeros(0, np.int64)])
+            self._number, self._totals, self._best = number, values >> 1, values & 1
+        self._values = []
+        totals, best = self._totals[links], self._best[links]
+        if not len(n_groups):
+            self._carried += (len(links), best.sum(), totals.sum())
+            return n_groups, n_groups
+        first = np.zeros((3, len(n_groups)), np.int64)
+        first[:, 0], self._carried = self._carried, np.zeros(3, np.int64)
+        stops = np.cumsum(n_groups - first[0])
+        starts = np.r_[0, stops[:-1]]
+        good, upto = np.r_[0, np.cumsum(best)], np.r_[0, np.cumsum(totals)]
+        return good[stops] - good[starts] + first[1], upto[stops] - upto[starts] + first[2]
 
 
 def align_tokens(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,31 +296,34 @@ def align_tokens(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_i
     """
     spark = docs.sparkSession
     with batches_of(spark, 1000):  # so that neither side holds many texts
-        chunks = staged(_chunks(docs, path_a, path_b, id_col, text_col), "aligned")
-    listed = chunks.select("chunk", F.posexplode(F.arrays_zip("pairs", "n_pairs")).alias("at", "x")).select("chunk", "at", F.col("x.pairs").alias("pair"), F.col("x.n_pairs").alias("n"))
+        chunks = staged(_chunks(docs, path_a, path_b, id_col, text_col), "aligned", large_rows=True)
+    listed = chunks.select("chunk", "at", F.posexplode(F.arrays_zip("pairs", "n_pairs")).alias("k", "x"))
+    listed = listed.select("chunk", (F.col("at") + F.col("k")).alias("at"), F.col("x.pairs").alias("pair"), F.col("x.n_pairs").alias("n"))
     counts = listed.groupBy("pair").agg(F.sum("n").alias("n")).withColumn("b", F.col("pair") % _IDS)
     counts = staged(counts, "pair-counts")
     most = counts.groupBy("b").agg(F.max("n").alias("most"))  # a row for each id of the second vocabulary at most
-    counts = counts.join(F.broadcast(most), "b").select("pair", F.col("n").alias("total"), (F.col("n") == F.col("most")).alias("best"))
-    known = listed.select("chunk", "at", "pair").join(counts, "pair").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("at", "total", "best"))).alias("known"))
-    known = known.select("chunk", F.col("known.total").alias("totals"), F.col("known.best").alias("best"))
-    joined = chunks.select("chunk", "ids", *_COUNTS, "groups_sha256", "links").join(known, "chunk", "left")
-    kind = chunks.schema["ids"].dataType.elementType.simpleString()
+    counts = counts.join(F.broadcast(most), "b").select("pair", (2 * F.col("n") + (F.col("n") == F.col("most")).cast("long")).alias("value"))
+    known = listed.select("chunk", "at", "pair").join(counts, "pair").select("chunk", "at", "value", F.lit(None).cast("binary").alias("body"))
+    texts = chunks.where(F.col("body").isNotNull()).select("chunk", "at", F.lit(None).cast("long").alias("value"), "body")
+    dealt = known.unionByName(texts).repartition("chunk").sortWithinPartitions("chunk", "at").select("chunk", "value", "body")
     names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_overlaps", "n_products"]
-    schema = f"id {kind}, " + ", ".join(f"{c} {'string' if c == 'groups_sha256' else 'long'}" for c in names)
+    schema = f"id {docs.select(docs[id_col]).schema[0].dataType.simpleString()}, " + ", ".join(f"{c} {'string' if c == 'groups_sha256' else 'long'}" for c in names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()  # this task encodes nothing
+        known = _Known()
         for batch in batches:
-            for row in range(batch.num_rows):
-                x = {c: batch.column(c)[row].values for c in batch.schema.names if c != "chunk"}
-                links = x["links"].to_numpy()
-                totals, best = (np.zeros(0, np.int64) if x[c] is None else x[c].to_numpy(zero_copy_only=False) for c in ("totals", "best"))
-                stops = np.cumsum(x["n_groups"].to_numpy())  # a link for each group
-                starts = stops - x["n_groups"].to_numpy()
-                upto, good = (np.r_[0, np.cumsum(v[links].astype(np.int64))] for v in (totals, best))
-                given = x | {"n_links": x["n_groups"], "n_best": pa.array(good[stops] - good[starts]), "count_sum": pa.array(upto[stops] - upto[starts])}
-                yield pa.RecordBatch.from_arrays([x["ids"], *(given[c] for c in names)], ["id", *names])
-
-    with batches_of(spark, 4):  # a row holds a chunk
-        return staged(joined.mapInArrow(count, schema).withColumnRenamed("id", id_col), "alignment")
+            numbers, bodies, after = batch.column("chunk").to_numpy(), batch.column("body"), 0
+            values = batch.column("value").fill_null(0).to_numpy()
+            for row in np.flatnonzero(bodies.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                known.add(values[after:row])
+                after = row + 1
+                x = _unpacked(bodies[row].as_py())
+                best, sums = known.texts(numbers[row], x["links"].to_numpy(), x["n_groups"].to_numpy())
+                given = x | {"n_links": x["n_groups"], "n_best": pa.array(best, pa.int64()), "count_sum": pa.array(sums, pa.int64())}
+                if len(best):
+                    yield pa.RecordBatch.from_arrays([x["ids"], *(given[c] for c in names)], ["id", *names])
+            known.add(values[after:].copy())  # so that the batch goes
+
+    with batches_of(spark, 4000, 4 << 20):
+        return staged(dealt.mapInArrow(count, schema).withColumnRenamed("id", id_col), "alignment")

@@ -103,6 +103,27 @@ def test_odd_rows_and_several_chunks(spark, tokenizers, vocabulary, monkeypatch)
     assert len(zeros) == 3 and all(r.n_a == r.n_b == r.n_groups == r.n_links == r.count_sum == 0 and r.groups_sha256 == "" for r in zeros)
 
 
+def test_small_rows_of_a_chunk(spark, tokenizers, vocabulary, monkeypatch):
+    long = [(40, "the word and words, " * 30), (41, "a"), (42, None), (43, "é" * 25 + " the word\n" * 9), (44, "the Word!! "), (45, "x  y" * 20)]
+    docs = odd.table(spark, long + odd.odd_rows() + long).repartition(1)
+    want = slow([(r.doc_id, r.text) for r in docs.collect()], tokenizers)
+    for name, value in {"LINKS": 7, "TEXTS": 2, "PAIRS": 3}.items():
+        monkeypatch.setattr(alignment, name, value)
+    compare(align_tokens(docs, vocabulary, MODEL), want)
+    monkeypatch.setattr(alignment, "PART", 50)
+    monkeypatch.setattr(alignment, "CHUNK", 700)
+    compare(align_tokens(docs, vocabulary, MODEL), want)
+
+
+def test_no_row_of_a_chunk_is_large(spark, vocabulary):
+    rng = np.random.default_rng(1)
+    words = np.array(["".join(map(chr, rng.integers(97, 123, n))) for n in rng.integers(1, 9, 9000)])
+    texts = [" ".join(words[rng.integers(0, 9000, n)]) for n in (200_000, 30_000, 30_000, *[1000] * 60)]
+    chunks = alignment._chunks(odd.table(spark, [*enumerate(texts), *((k, "") for k in range(100, 4000))]).repartition(1), vocabulary, MODEL, "doc_id", "text").toArrow()
+    assert sum(map(len, texts)) > 1_500_000
+    assert max(chunks.slice(k, 1).nbytes for k in range(len(chunks))) < 600_000
+
+
 @given(TEXTS)
 @settings(max_examples=1500, deadline=None)
 def test_pieces_are_those_of_the_whole_text(text):
